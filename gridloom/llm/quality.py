@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, follow-the-regularised-leader.
 
 Tokens are maximal runs of word bytes (letters, digits, bytes over 127) or of other
-printable bytes; features are single tokens and pairs of neighbours, hashed to
-2**bits slots, and a feature's value is SCALE * count / number of features. A text's score is the
+printable bytes; features are single tokens and pairs of neighbours (a token beside
+itself is one feature, whichever token it is), hashed to 2**bits slots, and a feature's value is SCALE * count / number of features. A text's score is the
 logistic function of one sparse dot product.
 
 The model is fitted on at most `sample_rows` labelled rows (those of the smallest id
@@ -26,6 +26,8 @@ from gridloom.llm.common import BYTE_VALUE, Rolling, U64, blocks, held_out, labe
 
 SCALE = 30.0
 
+_TWICE = mix(np.array([2], U64))[0]
+
 _KIND = np.full(256, 2, np.uint8)
 _KIND[:33] = 0
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
@@ -47,6 +49,7 @@ def features(block, bits: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         pair = mix(h[:-1] * U64(3) + h[1:])
     same = row[:-1] == row[1:]
+    pair[h[:-1] == h[1:]] = _TWICE
     slot = np.concatenate([h, pair[same]]) >> U64(64 - bits)
     return slot.astype(np.int64), np.concatenate([row, row[:-1][same]])
 
