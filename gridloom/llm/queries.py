@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import packing, quality, search, toxicity
+from gridloom.llm import language, minhash, packing, quality, search, toxicity
 from gridloom.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,5 +39,5 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_packing, op9_quality, op10_search)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_language, op6_minhash, op7_packing, op9_quality, op10_search)}
 ORACLES = {"op10_search": search.ORACLE}
