@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import language, minhash, packing, quality, search, toxicity
+from gridloom.llm import language, minhash, packing, personal, quality, search, toxicity
 from gridloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_language, op6_minhash, op7_packing, op9_quality, op10_search)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_language, op5_personal, op6_minhash, op7_packing, op9_quality, op10_search)}
 ORACLES = {"op10_search": search.ORACLE}
