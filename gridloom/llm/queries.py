@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import language, minhash, packing, personal, quality, search, toxicity
+from gridloom.llm import decontaminate, language, minhash, packing, personal, quality, search, toxicity
 from gridloom.llm.common import table
 
 
@@ -39,9 +39,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_language, op5_personal, op6_minhash, op7_packing, op9_quality, op10_search)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_language, op5_personal, op6_minhash, op7_packing, op8_decontaminate, op9_quality, op10_search)}
 ORACLES = {"op10_search": search.ORACLE}
