@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, language, minhash, packing, personal, quality, search, substrings, toxicity
+from gridloom.llm import decontaminate, language, minhash, packing, personal, quality, search, substrings, suffixes, toxicity
 from gridloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op4_language, op5_personal, op6_minhash, op7_packing, op8_decontaminate, op9_quality, op10_search)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_suffixes, op4_language, op5_personal, op6_minhash, op7_packing, op8_decontaminate, op9_quality, op10_search)}
 ORACLES = {"op10_search": search.ORACLE}
