@@ -9,10 +9,13 @@ to the smaller weight. A slot holds its earliest point: slots of two documents a
 probability equal to their weighted Jaccard similarity.
 
 Documents of equal words are one text. Texts that agree in a band of `rows` slots are
-candidates. Each text is first verified against the smallest id of its bands; within
-bands that still hold several classes, all pairs of different classes whose signatures
-allow the threshold (six standard deviations) are verified. Verification compares whole
-multisets. Classes are the connected components of verified links.
+candidates. Each text is first verified against the smallest id of its bands. Within bands
+that still hold several classes, each text is then verified, in a few rounds, against the
+texts of other classes whose signatures are most like its own; what is joined in a round
+need not be compared in the next. In the end all remaining pairs of different classes are
+verified whose signatures and sizes allow the threshold (by four standard deviations), so
+no link is lost for want of a comparison. Verification compares whole multisets. Classes
+are the connected components of verified links.
 
 Edge cases: null and empty texts have no shingles and are in no one else's class; rows
 with a null doc_id keep a null class; rows that repeat a doc_id share its class; an empty
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BYTE_VALUE, U64, Rolling, blocks, mix, stash, window_starts, words
+from gridloom.llm.common import BYTE_VALUE, U64, Rolling, blocks, free_shuffles, mix, stash, window_starts, words
 from gridloom.llm.graph import components
 
 SHINGLE = 5
@@ -117,17 +120,17 @@ def signatures(docs: DataFrame, m: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary")
 
 
-def band_keys(sigs: DataFrame, m: int, rows: int) -> DataFrame:
+def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
     """doc_id, band for each band of a signature."""
 
     def run(batches):
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, m // rows, rows).astype(U64)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, m)[:, : bands * rows].reshape(-1, bands, rows).astype(U64)
             with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(m // rows, dtype=U64) * _LEVEL, sig.shape[:2])
+                key = np.broadcast_to(np.arange(bands, dtype=U64) * _LEVEL, sig.shape[:2])
                 for j in range(rows):
                     key = mix(key * U64(3) + sig[:, :, j])
-            ids = np.repeat(np.asarray(b.column("doc_id")), m // rows)
+            ids = np.repeat(np.asarray(b.column("doc_id")), bands)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel().view(np.int64))], ["doc_id", "band"])
 
     return sigs.select("doc_id", "sig").mapInArrow(run, "doc_id long, band long")
@@ -161,7 +164,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     centres = sizes.select(F.col("a").alias("doc_id"), F.col("a").alias("star"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("nth"))
     wanted = members.unionByName(centres)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = texts.join(wanted, "doc_id").select("doc_id", "star", "part", "nth", "text")
+    rows = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "star", "part", "nth", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "star", "part").sortWithinPartitions("star", "part", "nth")
 
@@ -182,8 +185,8 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(rows: DataFrame, m: int, least: float) -> DataFrame:
-    """Pairs of different classes in one band whose signatures agree in enough slots.
+def _cross_pairs(rows: DataFrame, m: int, least: float, ratio: float, best: int | None) -> DataFrame:
+    """Pairs of different classes in one band whose signatures agree in enough slots; of each text the `best` only.
 
     A band of many texts is cut into chunks; every two chunks are one group, so a group
     holds at most 2 * 512 signatures whatever the band's size.
@@ -191,46 +194,65 @@ def _cross_pairs(rows: DataFrame, m: int, least: float) -> DataFrame:
     size = rows.groupBy("band").agg(F.ceil(F.count("*") / 512).cast("int").alias("chunks"))
     rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "class", "sig")
+    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "class", "n", "sig")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, cls, own, x = (np.asarray(t.column(c)) for c in ("doc_id", "class", "own", "x"))
-        y = np.asarray(t.column("y"))
+        ids, cls, own, n = (np.asarray(t.column(c)) for c in ("doc_id", "class", "own", "n"))
+        within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
-        a_out, b_out = [], []
+        pairs = [np.zeros((0, 2), np.int64)]
         for i in range(len(ids)):
-            use = (cls > cls[i]) & ((own != own[i]) | (x == y))
+            use = (cls != cls[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
+            if not within:
+                use &= own != own[i]
+            if best is None:
+                use &= cls > cls[i]
             near = np.flatnonzero(use)
-            near = near[(sig[near] == sig[i]).sum(1) >= least * m]
-            a_out.append(np.minimum(ids[near], ids[i]))
-            b_out.append(np.maximum(ids[near], ids[i]))
-        return pa.table([pa.array(np.concatenate(a_out), pa.int64()), pa.array(np.concatenate(b_out), pa.int64())], ["a", "b"])
+            like = (sig[near] == sig[i]).mean(1)
+            near, like = near[like >= least], like[like >= least]
+            if best is not None:
+                near = near[np.lexsort((ids[near], -like))[:best]]
+            pairs.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return rows.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), keep (it is that document), for each row of docs."""
-    m = bands * rows
-    slack = threshold - 6 * (threshold * (1 - threshold) / m) ** 0.5
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, more_slots: int = 30, rounds: int = 3) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), keep (it is that document), for each row of docs.
+
+    A signature has bands * rows slots for the bands and more_slots that only sharpen estimates.
+    """
+    m = bands * rows + more_slots
+    slack = threshold - 4 * (threshold * (1 - threshold) / m) ** 0.5
     sigs = stash(signatures(docs, m))
     texts = sigs.where("n > 0 and doc_id is not null")
     copies = stash(texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id")))
     heads = texts.join(copies.select(F.col("text_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = band_keys(heads, m, rows)
+    keyed = band_keys(heads, m, bands, rows)
     shared = keyed.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     keyed = stash(keyed.join(shared.select("band", "low"), "band"))
-    first = stash(keyed.where("doc_id > low").groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a")).select("a", "b"))
-    links = stash(verify(docs, first, threshold))
+    # Only texts with a candidate are ever read again.
+    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(keyed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    pool = stash(pool)
+    free_shuffles(docs.sparkSession)
+    tried = stash(keyed.where("doc_id > low").groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a")).select("a", "b"))
+    links = stash(verify(pool, tried, threshold))
     label = components(links)
-    classed = keyed.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("class"))
-    mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-    mixed = stash(classed.join(mixed, "band"))
-    if not mixed.isEmpty():
-        signed = mixed.join(heads.select("doc_id", "sig"), "doc_id")
-        more = _cross_pairs(signed, m, slack).join(first, ["a", "b"], "left_anti")
-        links = stash(links.unionByName(verify(docs, stash(more), threshold)))
-        label = components(links)
+    for best in [2] * rounds + [None]:
+        classed = keyed.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("class"))
+        mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
+        signed = classed.join(mixed, "band").join(heads.select("doc_id", "n", "sig"), "doc_id")
+        more = stash(_cross_pairs(signed, m, slack, threshold, best).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        new = stash(verify(pool, more, threshold))
+        free_shuffles(docs.sparkSession)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            label = components(links)
     named = copies.join(label.withColumnRenamed("node", "text_id"), "text_id", "left").select("k1", "k2", F.coalesce("label", "text_id").alias("class_id"))
     out = sigs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
