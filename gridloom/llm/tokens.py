@@ -19,10 +19,23 @@ _SPLIT = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTER}{
 _BEYOND = re.compile("[^\x00-į]")
 
 
+class _Index(dict):
+    """word -> number; a word not met before gets the next number and is listed in new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Tokens:
     """ids(texts) with a bounded store of known words."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -32,32 +45,33 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         assert len(last) == len(new), "the vocabulary split a word"
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.first = np.concatenate([self.first, last + self.first[-1]])
         self.flat = np.concatenate([self.flat, ids])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > self.most:
             self.clear()
-        plain = [not _BEYOND.search(t) and "<|" not in t for t in texts]
-        words = [_SPLIT.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        index = self.index
-        new = {w for ws in words for w in ws if w not in index}
-        if new:
-            self._learn(list(new))
+        look = self.index.__getitem__
+        at = []
+        for t in texts:
+            plain = t.isascii() or not _BEYOND.search(t)
+            words = _SPLIT.findall(t.lower()) if plain and "<|" not in t else None
+            at.append(None if words is None else np.fromiter(map(look, words), np.int64, len(words)))
+        if self.index.new:
+            self._learn()
         out = []
-        for text, ws, p in zip(texts, words, plain):
-            if not p:
+        for text, a in zip(texts, at):
+            if a is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            start, n = self.first[at], self.first[at + 1] - self.first[at]
+            start, n = self.first[a], self.first[a + 1] - self.first[a]
             out.append(self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())])
         return out
