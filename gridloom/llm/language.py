@@ -20,6 +20,7 @@ together (0.5: no difference; towards 1: clear), and 1 if only one language is k
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from gridloom.llm.common import held_out
 
 PIECE = 256
 TOTAL_CHARS = 1 << 18
+#: Most different characters told apart, and most cells of all transition tables (4 bytes each).
+ALPHABET, CELLS = 255, 1 << 25
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _AUTOMATA: dict[tuple, tuple] = {}
 
@@ -75,7 +78,7 @@ def automata(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarra
     """Names, the symbol of each character (the last: not in the samples), one table each."""
     if samples not in _AUTOMATA:
         _AUTOMATA.clear()
-        known = sorted({c for _, t in samples for c in t})
+        known = _alphabet(t for _, t in samples)
         symbol = np.full(0x110000, len(known), np.int16)
         symbol[[ord(c) for c in known]] = np.arange(len(known))
         tables = [suffix_automaton(symbol[_points(t)], len(known) + 1) for _, t in samples]
@@ -83,6 +86,14 @@ def automata(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarra
     return _AUTOMATA[samples]
 
 
+def _alphabet(texts) -> list[str]:
+    """The most frequent characters of the samples; others match nothing."""
+    counts = Counter()
+    for t in texts:
+        counts.update(t)
+    return sorted(sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET])
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -170,12 +181,13 @@ def learn(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1 << 15)
     for r in sorted(rows.mapInArrow(shorten, "key long, lang string, text string").collect()):
         if len(texts.get(r.lang, "")) < sample_chars and r.text:
             texts[r.lang] = f"{texts[r.lang]} {r.text}" if r.lang in texts else r.text
-    each = min(sample_chars, TOTAL_CHARS // max(len(texts), 1))
+    width = len(_alphabet(texts.values())) + 1
+    each = min(sample_chars, TOTAL_CHARS // max(len(texts), 1), CELLS // (2 * width * max(len(texts), 1)))
     return tuple((name, texts[name][:each]) for name in sorted(texts))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
-    """Adds nothing to docs but reads doc_id and text: doc_id, held_out, lang_pred, score."""
+    """doc_id, held_out, lang_pred, score of each row of docs."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, **options))
 
@@ -185,3 +197,19 @@ def identify(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def readable(docs: DataFrame, **options) -> DataFrame:
+    """docs without the documents that are in no language (`und`), all columns kept.
+
+    Where no language could be learned, documents without a letter go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, **options))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            keep = [n != "und" for n in predict(texts, shared.value)[0]] if shared.value else [bool(normal(t)) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -257,3 +257,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
     out = sigs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("keep"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each class, that of the smallest id; documents without a doc_id stay."""
+    gone = near_duplicates(docs, **options).where("not keep").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
