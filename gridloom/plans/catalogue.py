@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from gridloom.plans import mapping
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (mapping,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
