@@ -13,9 +13,11 @@ candidates. Each text is first verified against the smallest id of its bands. Wi
 that still hold several classes, each text is then verified, in a few rounds, against the
 texts of other classes whose signatures are most like its own; what is joined in a round
 need not be compared in the next. In the end all remaining pairs of different classes are
-verified whose signatures and sizes allow the threshold (by four standard deviations), so
-no link is lost for want of a comparison. Verification compares whole multisets. Classes
-are the connected components of verified links.
+compared whose signatures and sizes allow the threshold (by four standard deviations), so
+no link is lost for want of a comparison: bands take their texts' multisets along (as
+32-bit hashes) and compare within, each pair in the first band it shares, and only pairs
+that reach the threshold, or lie too near it for such hashes, leave the band. Every link
+is verified on whole multisets. Classes are the connected components of verified links.
 
 Edge cases: null and empty texts have no shingles and are in no one else's class; rows
 with a null doc_id keep a null class; rows that repeat a doc_id share its class; an empty
@@ -121,7 +123,7 @@ def signatures(docs: DataFrame, m: int) -> DataFrame:
 
 
 def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, band for each band of a signature."""
+    """doc_id, band, nth (its number) for each band of a signature."""
 
     def run(batches):
         for b in batches:
@@ -131,9 +133,10 @@ def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
                 for j in range(rows):
                     key = mix(key * U64(3) + sig[:, :, j])
             ids = np.repeat(np.asarray(b.column("doc_id")), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel().view(np.int64))], ["doc_id", "band"])
+            nth = np.tile(np.arange(bands, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel().view(np.int64)), pa.array(nth)], ["doc_id", "band", "nth"])
 
-    return sigs.select("doc_id", "sig").mapInArrow(run, "doc_id long, band long")
+    return sigs.select("doc_id", "sig").mapInArrow(run, "doc_id long, band long, nth int")
 
 
 def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -185,41 +188,83 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(rows: DataFrame, m: int, least: float, ratio: float, best: int | None) -> DataFrame:
-    """Pairs of different classes in one band whose signatures agree in enough slots; of each text the `best` only.
-
-    A band of many texts is cut into chunks; every two chunks are one group, so a group
-    holds at most 2 * 512 signatures whatever the band's size.
-    """
+def _chunked(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of each band by pairs of chunks (x, y): a group holds at most 2 * 512 texts whatever the band's size."""
     size = rows.groupBy("band").agg(F.ceil(F.count("*") / 512).cast("int").alias("chunks"))
     rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "class", "n", "sig")
+    return rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *columns).groupBy("band", "x", "y")
+
+
+def _opened(t: pa.Table, m: int):
+    """ids, classes, sizes, signatures of a group, and which texts each may be compared with."""
+    ids, cls, own, n = (np.asarray(t.column(c)) for c in ("doc_id", "class", "own", "n"))
+    within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
+    return ids, cls, n, sig, lambda i, c: (c != c[i]) & (within | (own != own[i]))
+
+
+def _best_pairs(rows: DataFrame, m: int, least: float, ratio: float, best: int) -> DataFrame:
+    """For each text of a band the `best` of other classes whose signatures are most like its own."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, cls, own, n = (np.asarray(t.column(c)) for c in ("doc_id", "class", "own", "n"))
-        within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
+        ids, cls, n, sig, may = _opened(t, m)
         pairs = [np.zeros((0, 2), np.int64)]
         for i in range(len(ids)):
-            use = (cls != cls[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
-            if not within:
-                use &= own != own[i]
-            if best is None:
-                use &= cls > cls[i]
-            near = np.flatnonzero(use)
+            near = np.flatnonzero(may(i, cls) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i])))
             like = (sig[near] == sig[i]).mean(1)
             near, like = near[like >= least], like[like >= least]
-            if best is not None:
-                near = near[np.lexsort((ids[near], -like))[:best]]
+            near = near[np.lexsort((ids[near], -like))[:best]]
             pairs.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return _chunked(rows, "doc_id", "class", "n", "sig").applyInArrow(run, "a long, b long").distinct()
+
+
+def _bag_hashes(pool: DataFrame) -> DataFrame:
+    """doc_id, bag: sorted 32-bit hashes of (shingle, occurrence)."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for value, weight in _bags(b.column("text")):
+                nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                out.append(np.unique((mix(np.repeat(value, weight) + nth.astype(U64) * _STEP) >> U64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bag"])
+
+    return pool.mapInArrow(run, "doc_id long, bag binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, more_slots: int = 30, rounds: int = 3) -> DataFrame:
+def _all_pairs(rows: DataFrame, m: int, bands: int, width: int, least: float, threshold: float) -> DataFrame:
+    """All pairs of different classes that may reach the threshold, less those that links found in the group make needless."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, cls, n, sig, may = _opened(t, m)
+        cls, nth = cls.copy(), t.column("nth")[0].as_py()
+        bags = [np.frombuffer(x, np.uint32) for x in t.column("bag").to_pylist()]
+        out = []
+        for i in range(len(ids)):
+            near = np.flatnonzero(may(i, cls) & (ids > ids[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+            same = sig[near] == sig[i]
+            like = same.mean(1) >= least
+            first = same[:, : bands * width].reshape(-1, bands, width).all(2).argmax(1) == nth
+            for j in near[like & first]:
+                if cls[j] == cls[i]:
+                    continue
+                both = np.intersect1d(bags[i], bags[j], assume_unique=True).size
+                close = both / max(len(bags[i]) + len(bags[j]) - both, 1)
+                if close >= threshold - 0.01:
+                    out.append((ids[i], ids[j]))
+                if close >= threshold + 0.01:
+                    cls[cls == cls[j]] = cls[i]
+        a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _chunked(rows, "nth", "doc_id", "class", "n", "sig", "bag").applyInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, more_slots: int = 30, rounds: int = 1) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), keep (it is that document), for each row of docs.
 
     A signature has bands * rows slots for the bands and more_slots that only sharpen estimates.
@@ -240,11 +285,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
     tried = stash(keyed.where("doc_id > low").groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a")).select("a", "b"))
     links = stash(verify(pool, tried, threshold))
     label = components(links)
-    for best in [2] * rounds + [None]:
-        classed = keyed.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("class"))
+    for last in [False] * rounds + [True]:
+        classed = keyed.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "nth", "doc_id", F.coalesce("label", "doc_id").alias("class"))
         mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
         signed = classed.join(mixed, "band").join(heads.select("doc_id", "n", "sig"), "doc_id")
-        more = stash(_cross_pairs(signed, m, slack, threshold, best).join(tried, ["a", "b"], "left_anti"))
+        if last:
+            more = _all_pairs(signed.join(_bag_hashes(pool).hint("merge"), "doc_id"), m, bands, rows, slack, threshold)
+        else:
+            more = _best_pairs(signed, m, slack, threshold, 2)
+        more = stash(more.join(tried, ["a", "b"], "left_anti"))
+        free_shuffles(docs.sparkSession)
         if more.isEmpty():
             continue
         tried = tried.unionByName(more)
