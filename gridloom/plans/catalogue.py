@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import mapping
+from gridloom.plans import freespace, mapping
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mapping,):
+for _module in (mapping, freespace):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
