@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import freespace, mapping
+from gridloom.plans import freespace, mapping, sequences
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mapping, freespace):
+for _module in (mapping, freespace, sequences):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
