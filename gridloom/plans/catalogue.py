@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import freespace, mapping, sequences
+from gridloom.plans import evaluation, freespace, mapping, sequences
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mapping, freespace, sequences):
+for _module in (mapping, freespace, sequences, evaluation):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
