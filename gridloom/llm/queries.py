@@ -56,4 +56,4 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_suffixes, op4_language, op5_personal, op6_minhash, op7_packing, op8_decontaminate, op9_quality, op10_search)}
-ORACLES = {"op10_search": search.ORACLE}
+ORACLES = {"op2_substrings": substrings.ORACLE, "op3_suffixes": suffixes.ORACLE, "op10_search": search.ORACLE}

@@ -254,3 +254,17 @@ def dedup(docs: DataFrame, size: int = 35) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+ORACLE = """
+WITH w AS MATERIALIZED (
+  SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word, len(ws) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
+), s AS (
+  SELECT doc_id, i, n, word, CASE WHEN i + 34 <= n THEN sha256(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h FROM w
+), c AS (SELECT *, CASE WHEN h IS NULL THEN 0 WHEN count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS many FROM s),
+k AS (SELECT *, max(many) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+g AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -424,3 +424,21 @@ def dedup(docs: DataFrame, size: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+# Bytes are pairs of hexadecimal digits.
+ORACLE = """
+WITH t AS MATERIALIZED (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT doc_id, x, unnest(range(1, CAST(length(x) // 2 - 48 AS BIGINT))) AS p FROM t WHERE length(x) >= 100),
+h AS MATERIALIZED (SELECT doc_id, p, md5(substring(x, 2 * p - 1, 100)) AS h FROM w),
+m AS (SELECT h, min(doc_id) AS low FROM h GROUP BY h HAVING count(*) > 1),
+b AS (SELECT h.doc_id, h.p FROM h JOIN m ON h.h = m.h WHERE h.doc_id > m.low),
+o AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM b),
+r AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM r GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS after, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM s),
+k AS (SELECT t.doc_id, string_agg(substring(x, 2 * after - 1, 2 * (a - after)), '' ORDER BY a) || coalesce(max(CASE WHEN back = 1 THEN substring(x, 2 * z - 1) END), '') AS kept,
+  count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed FROM e JOIN t ON e.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
