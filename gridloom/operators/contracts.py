@@ -130,7 +130,9 @@ GATES = (
     ("miou_19", 0.65, False), ("class_iou_min", 0.10, False), ("unknown_coverage", 0.01, True), ("range_miou_near", 0.60, False),
     ("range_miou_middle", 0.45, False), ("range_miou_far", 0.20, False), ("range_unknown", 0.02, True), ("thing_pq", 0.65, False),
     ("class_recall_min", 0.70, False), ("near_recall", 0.90, False), ("middle_recall", 0.85, False), ("far_recall", 0.70, False),
+    ("small_recall", 0.85, False), ("medium_recall", 0.90, False), ("large_recall", 0.90, False),
     ("unmatched_per_100", 100.0, True), ("unsupported_free_cells", 0.0, True), ("false_free_rate", None, True), ("terrain_iou", None, False),
+    ("false_drivable_rate", None, True), ("static_velocity_error_m", None, True), ("moving_velocity_error_m", None, True),
 )
 
 

@@ -85,6 +85,27 @@ def association(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> D
     return out.select("label", "tp", "fp", "fn", "id_switches", "fragmentations", "false_tracks", F.try_divide("weighted", "tp").alias("association_jaccard"))
 
 
+def panoptic_quality(truth: DataFrame, predicted: DataFrame, matches: DataFrame, *by: str) -> DataFrame:
+    """by, tp, fp, fn, recall, pq of segments; truth and predicted have frame_id, by and gt or pred, matches iou too."""
+    key = ["frame_id", *by]
+    t = truth.join(matches.select(*key, "gt", "iou"), [*key, "gt"], "left").groupBy(*by).agg(F.count("iou").alias("tp"), F.count_if(F.col("iou").isNull()).alias("fn"), F.coalesce(F.sum("iou"), d(0)).alias("s"))
+    p = predicted.join(matches.select(*key, "pred"), [*key, "pred"], "left_anti").groupBy(*by).agg(F.count("*").alias("fp"))
+    out = t.join(p, list(by), "left").fillna(0, ["fp"])
+    return out.select(*by, "tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"), F.try_divide("s", F.col("tp") + (F.col("fp") + F.col("fn")) / d(2)).alias("pq"))
+
+
+def deadlines(df: DataFrame, value: str, limit: float, *by: str) -> DataFrame:
+    """Runs, misses and the worst overrun of a time limit."""
+    over = F.col(value) > limit
+    return df.groupBy(*by).agg(F.count(value).alias("runs"), F.count_if(over).alias("misses"), F.coalesce(F.max(F.when(over, F.col(value) - d(limit))), d(0)).alias("worst"))
+
+
+def coverage(cells: DataFrame, state: str, radius: float, *by: str) -> DataFrame:
+    """Area (m2) of each state among cells whose centres lie within a radius of the sensor (center_x_m, center_y_m, size_m, sx, sy)."""
+    dx, dy = F.col("center_x_m") - F.col("sx"), F.col("center_y_m") - F.col("sy")
+    return cells.where(F.sqrt(dx * dx + dy * dy) < radius).groupBy(*by, state).agg(F.count("*").alias("cells"), F.sum(F.col("size_m") * F.col("size_m")).alias("area_m2"))
+
+
 def percentiles(df: DataFrame, value: str, *by: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact linear percentiles and the maximum of each group."""
     p = F.percentile(value, F.array(*map(d, at)))

@@ -91,6 +91,38 @@ def association_report(spark, sf_dir):
     return metrics.association(t, p, metrics.match_segments(s)).withColumn("association_jaccard", F.round("association_jaccard", 9))
 
 
+@query(f"""WITH s AS MATERIALIZED ({_SEG}), {_MATCH}, j AS (SELECT t.label, iou FROM t LEFT JOIN m USING (frame_id, label, gt)),
+f AS (SELECT p.label, count(*) AS fp FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.frame_id = p.frame_id AND m.label = p.label AND m.pred = p.pred) GROUP BY p.label)
+SELECT j.label, count(iou) AS tp, coalesce(any_value(fp), 0) AS fp, count(*) - count(iou) AS fn, round(count(iou) / CAST(count(*) AS DOUBLE), 9) AS recall,
+ round(coalesce(sum(iou), 0) / (count(iou) + (coalesce(any_value(fp), 0) + count(*) - count(iou)) / {num(2.0)}), 9) AS pq FROM j LEFT JOIN f ON f.label = j.label GROUP BY j.label""")
+def panoptic_quality(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    t, p = s.select("frame_id", "label", "gt").distinct(), s.where("pred > 0").select("frame_id", "label", "pred").distinct()
+    return metrics.panoptic_quality(t, p, metrics.match_segments(s), "label").withColumns({"recall": F.round("recall", 9), "pq": F.round("pq", 9)})
+
+
+@query("SELECT event_type, count(value) AS runs, count(*) FILTER (WHERE value > 40) AS misses, round(coalesce(max(value) FILTER (WHERE value > 40) - 40, 0), 6) AS worst FROM events GROUP BY event_type")
+def deadline_summary(spark, sf_dir):
+    return metrics.deadlines(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", 40.0, "event_type").withColumn("worst", F.round("worst", 6))
+
+
+@query(f"""SELECT frame_id, semantic, count(*) AS cells, round(sum(size_m * size_m), 6) AS area_m2 FROM ({_snapshot_sql(view_sql("wide_points"), GRID)})
+  WHERE sqrt((center_x_m - {num(0.027)}) * (center_x_m - {num(0.027)}) + (center_y_m - {num(-0.038)}) * (center_y_m - {num(-0.038)})) < 20 GROUP BY frame_id, semantic""")
+def coverage_area(spark, sf_dir):
+    """Area of each class within 20 m of the sensor."""
+    c = _snapshot(spark, sf_dir).withColumns({"sx": d(0.027), "sy": d(-0.038)})
+    return metrics.coverage(c, "semantic", 20.0, "frame_id").withColumn("area_m2", F.round("area_m2", 6))
+
+
+@query(f"""WITH s AS ({_snapshot_sql(view_sql("dense_points"), GRID)}) SELECT a.frame_id, a.level, a.ix, a.iy, a.semantic AS shown, b.semantic AS truth FROM s a JOIN s b
+  ON b.frame_id = (a.frame_id + 1) % 8 AND a.level = b.level AND a.ix = b.ix AND a.iy = b.iy WHERE b.semantic <> 0""")
+def cell_truth_majority(spark, sf_dir):
+    """What a cell shows against the majority class of another scan's points in it."""
+    s = cells.snapshot(cells.keyed(view(spark, sf_dir, "dense_points"), GRID), GRID).select("frame_id", "level", "ix", "iy", "semantic")
+    truth = s.where("semantic <> 0").select(((F.col("frame_id") + 7) % 8).alias("frame_id"), "level", "ix", "iy", F.col("semantic").alias("truth"))
+    return s.withColumnRenamed("semantic", "shown").join(truth, ["frame_id", "level", "ix", "iy"])
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max, count(value) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
     out = metrics.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "event_type")
