@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; bounds a worker's memory at about forty times this.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
 

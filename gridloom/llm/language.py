@@ -42,7 +42,7 @@ def normal(text: str | None) -> str:
 
 
 def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] -> state of the automaton of all substrings; -1: none, 0: start."""
+    """Transitions [state, symbol] -> state of the automaton of all substrings; 0: none (nothing leads to the start)."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -68,7 +68,7 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(moves), alphabet), -1, np.int32)
+    table = np.zeros((len(moves), alphabet), np.uint16 if len(moves) <= 1 << 16 else np.uint32)
     for state, m in enumerate(moves):
         table[state, list(m)] = list(m.values())
     return table
@@ -111,9 +111,7 @@ def phrases(table: np.ndarray, grid: np.ndarray, lengths: np.ndarray) -> np.ndar
     for i in range(grid.shape[0]):
         n = live[i]
         to = flat[state[:n] * width + grid[i, :n]]
-        ended = to < 0
-        count[:n] += ended
-        to[ended] = 0
+        count[:n] += to == 0
         state[:n] = to
     return count + (state > 0)
 

@@ -146,6 +146,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
         if path not in _TOKENS:
             _TOKENS[path] = Tokens(path)
         end = np.array([end_id], np.uint32)
+        try:
+            yield from cut(batches, end)
+        finally:  # the worker stays; what it knows would add to the next task's memory
+            _TOKENS[path].clear()
+
+    def cut(batches, end):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(ids), 256):

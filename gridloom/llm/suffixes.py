@@ -70,7 +70,7 @@ def _cuts(batches, size: int):
     """(block id, batch part, block); the id tells partition, number and content."""
     part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for block in blocks(batch.column("text")):
+        for block in blocks(batch.column("text"), 1 << 21):
             own = batch.slice(block.lo, block.n)
             yield part << 40 | n << 16 | zlib.crc32(repr(own.select(["doc_id", "key"]).to_pydict()).encode()) & 0xFFFF, own, block
             n += 1
