@@ -35,10 +35,14 @@ class _Index(dict):
 class Tokens:
     """ids(texts) with a bounded store of known words."""
 
-    def __init__(self, path: str, most: int = 800_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # For words that are normalised and split already.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -50,7 +54,7 @@ class Tokens:
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         assert len(last) == len(new), "the vocabulary split a word"
         self.first = np.concatenate([self.first, last + self.first[-1]])
