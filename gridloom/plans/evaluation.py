@@ -283,10 +283,10 @@ def terrain_contract(spark, sf_dir):
 def visibility_contract(spark, sf_dir):
     """Published cells do not overlap; every free cell has a beam across it and keeps the margin (all counts 0)."""
     p = scan(spark, sf_dir)
-    free = freespace.free_cells(p, GRID, FREE)
+    free = freespace.free_cells(p, GRID, FREE).persist()  # read by four checks; what is lost is computed again
     beams = freespace.beams(p, GRID, FREE)
     observed = cells.keyed(p, GRID).select("frame_id", "level", "ix", "iy").distinct()
-    every = observed.unionByName(free.select("frame_id", "level", "ix", "iy"))
+    every = observed.unionByName(free.select("frame_id", "level", "ix", "iy")).persist()
     n = lambda df, name: df.agg(F.count("*").alias(name))
     parts = [
         n(contracts.repeated_cells(every, "frame_id"), "repeated"),
