@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BYTE_VALUE, SPACE, U64, Block, Rolling, blocks, mix
+from gridloom.llm.common import BYTE_VALUE, SPACE, U64, Block, Rolling, blocks, bounded_batches, lean, mix, stash
 
 SAMPLES, STRIDE, EMBED, SHORT = 8, 5, 96, 40
 SPAN = SAMPLES * STRIDE
@@ -245,6 +245,7 @@ class Index:
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetitions: int = 3, agree: float = 0.45, group_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, item_id, distance of the items that a document holds."""
+    bounded_batches(docs.sparkSession)
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-total // group_bytes) or 1
@@ -253,7 +254,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetition
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
         shared = docs.sparkSession.sparkContext.broadcast((sorted((r.item_id, r.text) for r in rows), repetitions, similarity, agree))
-        found = texts.mapInArrow(_searcher(shared), "doc_id long, item_id long, distance int")
+        found = texts.mapInArrow(lean(_searcher(shared)), "doc_id long, item_id long, distance int")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -277,5 +278,6 @@ def _searcher(shared):
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold an item; documents without a doc_id stay."""
-    bad = leaks(docs, items, **options).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_leaked"), F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    # Written first: if they are few, Spark sees it and broadcasts them rather than shuffle the texts.
+    bad = stash(leaks(docs, items, **options).select(F.col("doc_id").alias("_leaked")).where("_leaked is not null").distinct())
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held_out
+from gridloom.llm.common import bounded_batches, held_out, lean
 
 PIECE = 256
 TOTAL_CHARS = 1 << 18
@@ -164,6 +164,7 @@ def predict(texts: list[str | None], samples) -> tuple[list[str], np.ndarray]:
 
 def learn(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1 << 15) -> tuple[tuple[str, str], ...]:
     """(language, training text) by name, from at most sample_rows rows."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
@@ -176,7 +177,7 @@ def learn(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1 << 15)
 
     rows = rows.select(F.xxhash64("doc_id").alias("key"), "lang", "text")
     texts: dict[str, str] = {}
-    for r in sorted(rows.mapInArrow(shorten, "key long, lang string, text string").collect()):
+    for r in sorted(rows.mapInArrow(lean(shorten), "key long, lang string, text string").collect()):
         if len(texts.get(r.lang, "")) < sample_chars and r.text:
             texts[r.lang] = f"{texts[r.lang]} {r.text}" if r.lang in texts else r.text
     width = len(_alphabet(texts.values())) + 1
@@ -194,7 +195,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
             names, score = predict(b.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def readable(docs: DataFrame, **options) -> DataFrame:
@@ -210,4 +211,4 @@ def readable(docs: DataFrame, **options) -> DataFrame:
             keep = [n != "und" for n in predict(texts, shared.value)[0]] if shared.value else [bool(normal(t)) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

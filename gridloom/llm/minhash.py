@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BYTE_VALUE, U64, Rolling, blocks, free_shuffles, mix, stash, window_starts, words
+from gridloom.llm.common import BYTE_VALUE, U64, Rolling, blocks, bounded_batches, free_shuffles, lean, mix, stash, window_starts, words
 from gridloom.llm.graph import components
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, m: int) -> DataFrame:
                     ["doc_id", "k1", "k2", "n", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, n long, sig binary")
 
 
 def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
@@ -136,7 +136,7 @@ def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
             nth = np.tile(np.arange(bands, dtype=np.int32), len(sig))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel().view(np.int64)), pa.array(nth)], ["doc_id", "band", "nth"])
 
-    return sigs.select("doc_id", "sig").mapInArrow(run, "doc_id long, band long, nth int")
+    return sigs.select("doc_id", "sig").mapInArrow(lean(run), "doc_id long, band long, nth int")
 
 
 def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -185,7 +185,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                     b_out.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _chunked(rows: DataFrame, *columns: str) -> DataFrame:
@@ -233,7 +233,7 @@ def _bag_hashes(pool: DataFrame) -> DataFrame:
                 out.append(np.unique((mix(np.repeat(value, weight) + nth.astype(U64) * _STEP) >> U64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bag"])
 
-    return pool.mapInArrow(run, "doc_id long, bag binary")
+    return pool.mapInArrow(lean(run), "doc_id long, bag binary")
 
 
 def _all_pairs(rows: DataFrame, m: int, bands: int, width: int, least: float, threshold: float) -> DataFrame:
@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
 
     A signature has bands * rows slots for the bands and more_slots that only sharpen estimates.
     """
+    bounded_batches(docs.sparkSession)
     m = bands * rows + more_slots
     slack = threshold - 4 * (threshold * (1 - threshold) / m) ** 0.5
     sigs = stash(signatures(docs, m))
@@ -311,5 +312,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, that of the smallest id; documents without a doc_id stay."""
-    gone = near_duplicates(docs, **options).where("not keep").select(F.col("doc_id").alias("_gone")).distinct()
+    # Written first: if they are few, Spark sees it and broadcasts them rather than shuffle the texts.
+    gone = stash(near_duplicates(docs, **options).where("not keep").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

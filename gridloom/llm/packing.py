@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stash
+from gridloom.llm.common import bounded_batches, lean, stash
 from gridloom.llm.tokens import Tokens
 
 _TOKENS: dict[str, Tokens] = {}
@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, capacity: int = 4096, parts: int = 64) -> DataFrame:
@@ -194,5 +194,6 @@ def pack(cut: DataFrame, capacity: int = 4096, parts: int = 64) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pack(stash(pieces(docs, path, capacity, end_id)), capacity, parts)

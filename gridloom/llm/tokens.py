@@ -38,12 +38,12 @@ class Tokens:
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.path, self.most, self.whole = path, most, None
         # For words that are normalised and split already.
         self.words = Tokenizer.from_file(path)
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = self.words.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
@@ -52,6 +52,14 @@ class Tokens:
         self.index = _Index()
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _encode(self, text: str) -> list[int]:
+        """By the vocabulary file's own rules; few texts need it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
         ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
@@ -74,7 +82,7 @@ class Tokens:
         out = []
         for text, a in zip(texts, at):
             if a is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(self._encode(text), np.uint32))
                 continue
             start, n = self.first[a], self.first[a + 1] - self.first[a]
             out.append(self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())])
