@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,9 +103,11 @@ def advance(state: State, sequence: int, frame_id: int, ts_ns: int, candidates:
 
 def frames_of(pdf: pd.DataFrame) -> Iterator[tuple[int, int, list[tuple]]]:
     """(frame_id, ts_ns, candidates) in order; a row with a null instance marks a frame without candidates."""
-    for (frame, ts), part in pdf.sort_values(["frame_id", "ts_ns", "instance_id"]).groupby(["frame_id", "ts_ns"], sort=True):
-        part = part[part.instance_id.notna()]
-        yield int(frame), int(ts), [(int(r.instance_id), int(r.semantic), r.status, tuple(float(getattr(r, b)) for b in BOX)) for r in part.itertuples()]
+    pdf = pdf.sort_values(["frame_id", "ts_ns", "instance_id"])
+    boxes = pdf[list(BOX)].to_numpy(dtype=float).tolist()
+    rows = zip(pdf.frame_id.tolist(), pdf.ts_ns.tolist(), pdf.instance_id.tolist(), pdf.semantic.tolist(), pdf.status.tolist(), boxes)
+    for (frame, ts), part in groupby(rows, key=lambda r: r[:2]):
+        yield int(frame), int(ts), [(int(i), int(c), status, tuple(b)) for _, _, i, c, status, b in part if i == i and i is not None]
 
 
 def as_frame(rows: list[tuple]) -> pd.DataFrame:
