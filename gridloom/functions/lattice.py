@@ -20,8 +20,8 @@ def base_index(x: Column) -> Column:
 
 
 def floor_div(b: Column, r: int) -> Column:
-    """Integer division that rounds down (Spark's `div` rounds towards zero)."""
-    return ((b - F.pmod(b, F.lit(r).cast("long"))) / F.lit(r)).cast("long") if r != 1 else b
+    """Integer division that rounds down (Spark's `div` rounds towards zero); exact for indices below 2**50."""
+    return F.floor(b / d(r)).cast("long") if r != 1 else b
 
 
 def gap(lower: Column, width: float, s: Column) -> Column:

@@ -24,7 +24,7 @@ def test_cell_borders(spark):
 
 
 def test_division_rounds_down(spark):
-    rows = [(int(b),) for b in range(-25, 26)]
+    rows = [(int(b),) for b in range(-25, 26)] + [(s * (k + e),) for s in (-1, 1) for k in (1 << 25, 10**9, 10**12) for e in range(-11, 12)]
     df = frame(spark, rows, "b long").select("b", *(lattice.floor_div(F.col("b"), r).alias(f"r{r}") for r in (1, 2, 8, 10)))
     assert all(row[f"r{r}"] == row.b // r for row in df.collect() for r in (1, 2, 8, 10))
 
