@@ -118,3 +118,13 @@ def test_settings(tmp_path):
         with pytest.raises(ValueError):
             load(p)
     assert Settings().tracking.capacity == 512
+
+
+def test_looking_ahead_only_refines_ahead(spark):
+    rng = np.random.default_rng(3)
+    pts = frame(spark, [(i, float(x), float(y), 0.0, 0.0) for i, (x, y) in enumerate(rng.uniform(-60, 60, (1500, 2)))], "i long, mx double, my double, sx double, sy double")
+    levels = lambda ahead: {r.i: (r.level, r.mx) for r in cells.keyed(pts, GRID, ahead).select("i", "level", "mx").collect()}
+    plain, same, far = levels(None), levels((d(1.0), d(0.0), d(1.0))), levels((d(1.0), d(0.0), d(2.0)))
+    assert plain == same
+    moved = [i for i in plain if far[i] != plain[i]]
+    assert moved and all(far[i][0] < plain[i][0] and plain[i][1] > -1 for i in moved)

@@ -90,3 +90,16 @@ def test_both_component_ways_agree(spark):
             groups.setdefault((r.grp, str(r.component)), set()).add((r.grp, r.vx, r.vy, r.vz))
         sets.append({frozenset(g) for g in groups.values()})
     assert sets[0] == sets[1] and len(sets[0]) > 1
+
+
+def test_receipts(spark):
+    rows = [(f, i, float(i) / 3) for f in range(3) for i in range(5)]
+    make = lambda r: spark.createDataFrame(r, "frame_id long, point_count long, v double")
+    rules = {"support": F.col("point_count") > 10}
+    one = {r.frame_id: r for r in contracts.receipts(make(rows), contracts.violations(make(rows), rules, "frame_id"), "frame_id").collect()}
+    back = make(rows[::-1]).repartition(3)
+    two = {r.frame_id: r for r in contracts.receipts(back, contracts.violations(back, rules, "frame_id"), "frame_id").collect()}
+    assert one == two and all(r.status == "accepted" and r.rows == 5 for r in one.values())
+    other = make([*rows[:-1], (2, 11, 0.5)])
+    three = {r.frame_id: r for r in contracts.receipts(other, contracts.violations(other, rules, "frame_id"), "frame_id").collect()}
+    assert three[0] == one[0] and (three[2].status, three[2].error, three[2].digest) == ("rejected", "support", None)
