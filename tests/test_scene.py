@@ -103,3 +103,22 @@ def test_receipts(spark):
     other = make([*rows[:-1], (2, 11, 0.5)])
     three = {r.frame_id: r for r in contracts.receipts(other, contracts.violations(other, rules, "frame_id"), "frame_id").collect()}
     assert three[0] == one[0] and (three[2].status, three[2].error, three[2].digest) == ("rejected", "support", None)
+
+
+def test_forged_terrain_and_overlaps_are_found(spark):
+    from gridloom.config import Fusion
+
+    good = (1, 0, 0, 9, True, 0.05, -1.7, 10_000_000_000)
+    forged = {
+        "range": (7, 0, 0, 9, True, 0.05, 0.0, good[7]), "time": (*good[:7], 10_000_000_001), "valid": (0, 0, 0, 9, True, 0.5, 0.0, good[7]),
+        "height": (0, 0, 0, 9, False, -1.0, 3.0, good[7]), "stale": (*good[:7], 1), "drivable": (1, 0, 1, 9, True, 0.05, 0.0, good[7]),
+    }
+    schema = "terrain int, occupancy int, flags int, semantic int, ground_valid boolean, ground_sigma_m double, ground_height_m double, last_seen long"
+    rules = contracts.terrain_rules(Fusion(), F.lit(10_000_000_000))
+    broken = lambda row: {r.rule for r in contracts.violations(spark.createDataFrame([row], schema), rules).collect() if r.broken}
+    assert broken(good) == set()
+    for rule, row in forged.items():
+        assert rule in broken(row), rule
+    c = spark.createDataFrame([(0, 0, 3, 3), (0, 1, 1, 1), (0, 1, 5, 5), (0, 1, 5, 5), (0, 2, 9, 9)], "frame_id long, level int, ix long, iy long")
+    assert [(r.level, r.ix) for r in contracts.covered_cells(c, GRID, "frame_id").collect()] == [(0, 3)]
+    assert [(r.level, r.ix, r.n) for r in contracts.repeated_cells(c, "frame_id").collect()] == [(1, 5, 2)]
