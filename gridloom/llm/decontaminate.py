@@ -1,21 +1,27 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are compared lower-cased (ASCII) with runs of white space as one space. The CGK
-random walk reads a window symbol by symbol; at every step a random bit chosen by step
-and symbol says whether to move on, so that two windows at a small edit distance meet
-again after an edit and their embeddings have a small Hamming distance. A repetition
-has its own random bits and samples one of each STRIDE steps; the SAMPLES sampled symbols
-are the window's hash. Windows start at each word of a document; an item's windows start
-at each of its words, so undisturbed stretches anywhere in a leaked item are enough.
-Hits whose embeddings agree in less than `agree` of EMBED steps are dropped, as are those
-without a second hit of the item at nearly the same alignment (all items of more than one
-window, that is). The rest is verified: the exact smallest edit distance of the whole item
-to any part of the text around the hit must be at most (1 - similarity) of its length.
-Measured recall is 1 at 10 % random edits and about 0.95 at 19 %.
-
-Items shorter than SHORT characters have no room for a walk; they are sought verbatim,
-as whole words. Items are broadcast in groups of at most `group_bytes`; further groups
-take further passes, so any number of items is covered.
+Texts are compared lower-cased (ASCII) with runs of white space as one space. An item is
+found where the smallest edit distance of the whole item to any part of the text is at most
+(1 - similarity) of its length. How places to verify are found depends on the length:
+
+Items under `exact_below` characters are searched exactly, so that no place is missed. An
+item that may hold k errors is cut into k + 1 pieces, one of which must occur verbatim;
+the parts around that piece are tried with their share of the errors, from small to large.
+Items shorter than SHORT are sought verbatim, as whole words.
+
+For longer items the CGK random walk reads a window symbol by symbol; at every step a random
+bit chosen by step and symbol says whether to move on, so that two windows at a small edit
+distance meet again after an edit and their embeddings have a small Hamming distance. A
+repetition has its own random bits and samples one of each STRIDE steps; the SAMPLES sampled
+symbols are the window's hash. Windows have a fixed size, not the item's: they start at each
+word of documents and items, so undisturbed stretches anywhere in a leaked item are enough. Hits whose
+embeddings agree in less than `agree` of EMBED steps are dropped, as are, for items of at least
+TWO_HITS characters, those without a second hit of the item at nearly the same alignment.
+The rest is verified. The target is a recall of 0.97 for random edits at the full distance;
+the README states what was measured, by length. A larger `exact_below` searches more items exactly.
+
+Items are broadcast in groups of at most `group_bytes`; further groups take further passes,
+so any number of items is covered.
 
 Edge cases: null and empty texts and items match nothing; equal items each match;
 repeated doc_ids give a row for each of their texts that matches; empty tables give no
@@ -24,6 +30,8 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +39,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import BYTE_VALUE, SPACE, U64, Block, Rolling, blocks, bounded_batches, lean, mix, stash
 
-SAMPLES, STRIDE, EMBED, SHORT = 8, 5, 96, 40
+SAMPLES, STRIDE, EMBED, SHORT, TWO_HITS = 8, 5, 96, 40, 190
 SPAN = SAMPLES * STRIDE
 _FIRST, _NEAR = 5, 32
+_PIECE, _GAP, _CHUNK = 5, 256, 1 << 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[SPACE] = 32
@@ -114,8 +123,13 @@ class Walk:
         return live[same >= least * EMBED]
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    return (mix(code.astype(U64)) >> U64(42)).astype(np.int64)
+def _bits(n: int) -> int:
+    """Bits of a table of n entries that few others meet, as small as a core's cache if n allows."""
+    return min(22, max(14, int(128 * n).bit_length()))
+
+
+def _slot(code: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(code.astype(U64)) >> U64(64 - bits)).astype(np.int64)
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -147,10 +161,134 @@ def fit_distance(peq: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+def tree(lo: int, hi: int, n: int, above: tuple = ()) -> list[tuple]:
+    """Leaves of a part of an item cut into n pieces: (start, end, errors) of the piece and of all parts around it.
+
+    A part of n pieces may hold n - 1 errors. If both halves held more than theirs, so would the
+    part; so one leaf occurs exactly, with every part around it within its errors.
+    """
+    path = ((lo, hi, n - 1), *above)
+    if n == 1:
+        return [path]
+    left = (n + 1) // 2
+    cut = lo + (hi - lo) * left // n
+    return tree(lo, cut, left, path) + tree(cut, hi, n - left, path)
+
+
+class Pieces:
+    """Exact approximate search: pieces found verbatim, the parts around them by bit-parallel edit distance.
+
+    Characters are folded to 63 symbols (0: in no item), which can only add candidates.
+    """
+
+    def __init__(self, chars: list[str], most: list[int], use: list[int]):
+        rank = Counter()
+        for k in use:
+            rank.update(chars[k])
+        self.symbol = np.zeros(0x110000, np.uint8)
+        for i, c in enumerate(sorted(rank, key=lambda c: (-rank[c], c))):
+            self.symbol[ord(c)] = i % 63 + 1
+        seeds: dict[int, list[tuple]] = {}
+        segments, steps = [], []
+        for k in use:
+            code = self.symbol[_points(chars[k])]
+            at: dict[tuple[int, int], int] = {}
+            for path in tree(0, len(code), min(most[k] + 1, len(code))):
+                inner = [p for p in path if p[1] - p[0] <= 64] or [(path[0][0], path[0][0] + 64, 0)]
+                lo, hi, _ = inner[-1]
+                if (lo, hi) not in at:
+                    at[lo, hi] = len(segments)
+                    segments.append(code[lo:hi])
+                o, n = path[0][0], min(_PIECE, path[0][1] - path[0][0])
+                key = 0
+                for x in code[o : o + n].tolist():
+                    key = key << 6 | x
+                seeds.setdefault(n, []).append((key, k, o, at[lo, hi], len(steps)))
+                steps.append([(a - lo, b - a, e, o - a) for a, b, e in inner if b - a > n])
+        masks = np.zeros((len(segments), 64), U64)
+        for i, x in enumerate(segments):
+            for j, c in enumerate(x.tolist()):
+                masks[i, c] |= U64(1 << j)
+        self.masks = masks.ravel()
+        # [level, piece]: offset in the segment, length, errors, place of the piece in the part; length 0: no such level.
+        self.levels = np.zeros((max((len(x) for x in steps), default=0), len(steps), 4), np.int64)
+        for i, x in enumerate(steps):
+            for j, step in enumerate(x):
+                self.levels[j, i] = step
+        self.seeds = {}
+        for n, rows in sorted(seeds.items()):
+            table = np.array(sorted(rows), np.int64)
+            seen = np.zeros(1 << _bits(len(table)), bool)
+            seen[_fold(table[:, 0].astype(np.uint32), seen)] = True
+            self.seeds[n] = (seen, table[:, 0].astype(np.uint32), table[:, 1:])
+
+    def within(self, symbols: np.ndarray, at: np.ndarray, segment: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Where the part of each step occurs around its piece at `at` with its errors at most."""
+        off, size, errors, lead = steps.T
+        pos = at - lead - errors
+        base, shift, top = segment * 64, off.astype(U64), (size - 1).astype(U64)
+        pv, mv = np.full(len(at), ~U64(0)), np.zeros(len(at), U64)
+        score = size.copy()
+        best = score.copy()
+        one = U64(1)
+        for j in range(int((size + 2 * errors).max())):
+            eq = self.masks[base + symbols[pos + j]] >> shift
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            score += ((ph >> top) & one).view(np.int64) - ((mh >> top) & one).view(np.int64)
+            np.minimum(best, score, out=best)
+            ph, mh = ph << one, mh << one
+            pv, mv = mh | ~(xv | ph), ph & xv
+        return best <= errors
+
+    def hits(self, rows: list[str]) -> list[tuple[int, int, int]]:
+        """(row, item, where the item would start) by row, item and start."""
+        gap = "\0" * _GAP
+        points = _points(gap + gap.join(rows) + gap)
+        symbols = self.symbol[points]
+        size = np.array([len(r) for r in rows], np.int64)
+        first = np.cumsum(size + _GAP) - size
+        if self.symbol[0]:
+            for e in [0, *(first + size)]:
+                symbols[e : e + _GAP] = 0
+        found, key, have = [np.zeros((0, 3), np.int64)], np.zeros(len(symbols), np.uint32), 0
+        for n, (seen, keys, about) in self.seeds.items():
+            while have < n:
+                key = (key[: len(symbols) - have] << np.uint32(6)) | symbols[have:]
+                have += 1
+            live = np.concatenate([lo + np.flatnonzero(seen[_fold(key[lo : lo + _CHUNK], seen)]) for lo in range(0, len(key), _CHUNK)])
+            a, b = (np.searchsorted(keys, key[live], side) for side in ("left", "right"))
+            for lo in range(0, len(live), 1 << 14):
+                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
+                at = np.repeat(live[lo : lo + (1 << 14)], y - x)
+                entry = np.repeat(x - np.cumsum(y - x) + (y - x), y - x) + np.arange(len(at))
+                for part in range(0, len(at), _CHUNK):
+                    p, (k, o, segment, i) = at[part : part + _CHUNK], about[entry[part : part + _CHUNK]].T
+                    for level in self.levels:
+                        check = np.flatnonzero(level[i, 1])
+                        if len(check):
+                            keep = np.ones(len(p), bool)
+                            keep[check] = self.within(symbols, p[check], segment[check], level[i[check]])
+                            p, k, o, segment, i = (v[keep] for v in (p, k, o, segment, i))
+                    row = np.searchsorted(first, p, side="right") - 1
+                    found.append(np.stack([row, k, p - o - first[row]], 1))
+        return np.unique(np.concatenate(found), axis=0).tolist()
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _fold(key: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(33 - len(table).bit_length())
+
+
 class Index:
-    """Items and, for each repetition, their windows' hashes."""
+    """Items and, for each repetition, their windows' hashes; the pieces of items under `exact_below` characters."""
 
-    def __init__(self, items: list[tuple[int, str]], repetitions: int, similarity: float, agree: float):
+    def __init__(self, items: list[tuple[int, str]], repetitions: int, similarity: float, agree: float, exact_below: int):
         self.agree = agree
         block = next(blocks(pa.array([t for _, t in items], pa.string()), 1 << 62))
         text, bounds = normal(block)
@@ -159,42 +297,48 @@ class Index:
         self.chars = [r.decode("utf-8", "replace") for r in raw]
         self.most = [int((1 - similarity) * len(c) + 1e-9) for c in self.chars]
         self.bytes = np.array([len(r) for r in raw])
+        sizes = np.array([len(c) for c in self.chars])
         self.short: dict[int, dict[int, list[int]]] = {}
         for k, (r, c) in enumerate(zip(raw, self.chars)):
             if r and len(c) < SHORT:
                 rolling = Rolling(BYTE_VALUE[np.frombuffer(r, np.uint8)])
                 h = int(rolling.slices(np.array([0]), np.array([len(r)]))[0])
                 self.short.setdefault(len(r), {}).setdefault(h, []).append(k)
+        exact = [k for k, n in enumerate(sizes) if SHORT <= n < exact_below]
+        self.pieces = Pieces(self.chars, self.most, exact) if exact else None
         at = word_starts(text)
         owner = np.searchsorted(bounds[:, 0], at, side="right") - 1
         ends = bounds[:, 0] + self.bytes
-        use = (ends[owner] - at >= SPAN // 2 + 2) & (np.array([len(c) for c in self.chars])[owner] >= SHORT)
+        use = (ends[owner] - at >= SPAN // 2 + 2) & (sizes[owner] >= max(exact_below, SHORT))
         at, owner = at[use], owner[use]
         self.walks = []
-        for seed in range(repetitions):
+        for seed in range(repetitions if len(at) else 0):
             walk = Walk(seed)
             code, to = walk.first(text, at)
             key = walk.rest(text, code, to)
-            seen = np.zeros(1 << 22, bool)
-            seen[_slot(code)] = True
+            seen = np.zeros(1 << _bits(len(code)), bool)
+            seen[_slot(code, len(seen).bit_length() - 1)] = True
             order = np.argsort(key, kind="stable")
             self.walks.append((walk, seen, key[order], owner[order], (at - bounds[owner, 0])[order], walk.embed(text, at[order])))
-        self.need = np.minimum(np.bincount(owner, minlength=len(items)), 2)
+        self.need = np.where(sizes < TWO_HITS, 1, np.minimum(np.bincount(owner, minlength=len(items)), 2))
         self.peq = [masks(c) for c in self.chars]
 
     def hits(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (item, where the item would start) by item and start."""
         out = [np.zeros((0, 3), np.int64)]
         for walk, seen, keys, owner, offset, embedded in self.walks:
-            code, to = walk.first(text, at)
-            live = np.flatnonzero(seen[_slot(code)])
-            key = walk.rest(text, code[live], to[live])
+            kept = []
+            for lo in range(0, len(at), 4 * _CHUNK):
+                code, to = walk.first(text, at[lo : lo + 4 * _CHUNK])
+                near = np.flatnonzero(seen[_slot(code, len(seen).bit_length() - 1)])
+                kept.append((near + lo, walk.rest(text, code[near], to[near])))
+            live, key = (np.concatenate(x) for x in zip(*kept))
             a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             n = b - a
             where = np.repeat(live, n)
             entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            for lo in range(0, len(where), 1 << 16):
-                w, e = at[where[lo : lo + (1 << 16)]], entry[lo : lo + (1 << 16)]
+            for lo in range(0, len(where), 4 * _CHUNK):
+                w, e = at[where[lo : lo + 4 * _CHUNK]], entry[lo : lo + 4 * _CHUNK]
                 near = walk.agreeing(text, w, embedded, e, self.agree)
                 out.append(np.stack([owner[e[near]], w[near] - offset[e[near]], offset[e[near]]], 1))
         found = np.unique(np.concatenate(out), axis=0)
@@ -206,11 +350,11 @@ class Index:
         """(row of the block, item, distance) of the items found in each text."""
         text, bounds = normal(block)
         found: dict[tuple[int, int], int] = {}
-        at = word_starts(text)
-        if not len(at):
-            return []
-        row_of = np.searchsorted(bounds[:, 0], at, side="right") - 1
-        if self.short:
+        if self.pieces:
+            self.by_pieces([bytes(text[a:b]).decode("utf-8", "replace") for a, b in bounds], found)
+        at = word_starts(text) if self.walks or self.short else np.zeros(0, np.int64)
+        if self.short and len(at):
+            row_of = np.searchsorted(bounds[:, 0], at, side="right") - 1
             rolling = Rolling(BYTE_VALUE[text])
             for n, known in self.short.items():
                 ok = at + n <= bounds[row_of, 1]
@@ -222,6 +366,22 @@ class Index:
                     for k in known[int(x)]:
                         if bytes(text[p : p + n]).decode("utf-8", "replace") == self.chars[k]:
                             found[row, k] = 0
+        if len(at) and self.walks:
+            self.by_walks(text, bounds, at, found)
+        return [(row, k, d) for (row, k), d in found.items()]
+
+    def by_pieces(self, rows: list[str], found: dict[tuple[int, int], int]) -> None:
+        last: dict[tuple[int, int], int] = {}
+        for row, k, p in self.pieces.hits(rows):
+            if found.get((row, k)) == 0 or ((row, k) in last and p - last[row, k] < 16):
+                continue
+            last[row, k] = p
+            slack = self.most[k] + 16
+            d = fit_distance(self.peq[k], len(self.chars[k]), rows[row][max(0, p - slack) : max(0, p + len(self.chars[k]) + slack)])
+            if d <= self.most[k] and d < found.get((row, k), 1 << 30):
+                found[row, k] = d
+
+    def by_walks(self, text: np.ndarray, bounds: np.ndarray, at: np.ndarray, found: dict[tuple[int, int], int]) -> None:
         hits = self.hits(text, at)
         # A hit's start may lie before its text, so its row is that of any place within the item.
         last: dict[tuple[int, int], int] = {}
@@ -240,10 +400,9 @@ class Index:
                 d = fit_distance(self.peq[k], len(self.chars[k]), bytes(text[a:b]).decode("utf-8", "replace"))
                 if d <= self.most[k] and d < found.get((row, k), 1 << 30):
                     found[row, k] = d
-        return [(row, k, d) for (row, k), d in found.items()]
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetitions: int = 3, agree: float = 0.45, group_bytes: int = 1 << 23) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetitions: int = 4, agree: float = 0.45, exact_below: int = 160, group_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, item_id, distance of the items that a document holds."""
     bounded_batches(docs.sparkSession)
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -253,7 +412,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetition
     out = None
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
-        shared = docs.sparkSession.sparkContext.broadcast((sorted((r.item_id, r.text) for r in rows), repetitions, similarity, agree))
+        shared = docs.sparkSession.sparkContext.broadcast((sorted((r.item_id, r.text) for r in rows), repetitions, similarity, agree, exact_below))
         found = texts.mapInArrow(lean(_searcher(shared)), "doc_id long, item_id long, distance int")
         out = found if out is None else out.unionByName(found)
     return out

@@ -95,3 +95,20 @@ def test_edge_rows(spark):
     assert kept.columns == d.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "6", "None"]
     assert decontaminate.leaks(d.limit(0), i).count() == decontaminate.leaks(d, i.limit(0)).count() == 0
+
+
+def _planted(rng, length, rate):
+    """Items of a length cut from sentences, each edited and planted in a document of its own."""
+    items = [(i, sentence(rng, length)[: length + i % 9].strip()) for i in range(40)]
+    return items, [(i, f"{sentence(rng, 20)} {edited(rng, t, rate)} {sentence(rng, 20)}") for i, t in items]
+
+
+def test_recall_by_length_at_the_full_distance(spark):
+    rng = np.random.default_rng(3)
+    for length in (42, 60, 82, 170):
+        for rate in (0.05, 0.1, 0.15, 0.19):
+            items, docs = _planted(rng, length, rate)
+            want = {(i, i, x) for (i, t), (_, p) in zip(docs, items) if (x := fit(normal(p), normal(t))) <= int(0.2 * len(normal(p)) + 1e-9)}
+            got = {tuple(r) for r in decontaminate.leaks(*frames(spark, docs, items)).collect()}
+            assert len(want) > 10
+            assert len(want & got) >= (1 if length < 160 else 0.97) * len(want), (length, rate)
