@@ -14,7 +14,8 @@ bit chosen by step and symbol says whether to move on, so that two windows at a
 distance meet again after an edit and their embeddings have a small Hamming distance. A
 repetition has its own random bits and samples one of each STRIDE steps; the SAMPLES sampled
 symbols are the window's hash. Windows have a fixed size, not the item's: they start at each
-word of documents and items, so undisturbed stretches anywhere in a leaked item are enough. Hits whose
+word of documents and items, and at each character of a stretch of more than STRETCH bytes
+without a space, so undisturbed stretches anywhere in a leaked item are enough. Hits whose
 embeddings agree in less than `agree` of EMBED steps are dropped, as are, for items of at least
 TWO_HITS characters, those without a second hit of the item at nearly the same alignment.
 The rest is verified. The target is a recall of 0.97 for random edits at the full distance;
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import BYTE_VALUE, SPACE, U64, Block, Rolling, blocks, bounded_batches, lean, mix, stash
 
-SAMPLES, STRIDE, EMBED, SHORT, TWO_HITS = 8, 5, 96, 40, 190
+SAMPLES, STRIDE, EMBED, SHORT, STRETCH, TWO_HITS = 8, 5, 96, 40, 24, 190
 SPAN = SAMPLES * STRIDE
 _FIRST, _NEAR = 5, 32
 _PIECE, _GAP, _CHUNK = 5, 256, 1 << 12
@@ -69,8 +70,19 @@ def normal(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, np.stack([start, end], 1)
 
 
-def word_starts(text: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((text[:-1] == 32) & (text[1:] != 32) & (text[1:] != 0)) + 1
+def window_places(text: np.ndarray) -> np.ndarray:
+    """Where windows start: at each word, and at each character of a stretch of more than STRETCH bytes without a space."""
+    blank = (text == 32) | (text == 0)
+    word = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    size = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - word
+    more = np.flatnonzero(size > STRETCH)
+    if not len(more):
+        return word
+    n = size[more]
+    inner = np.repeat(word[more] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    place = np.zeros(len(text), bool)
+    place[word] = place[inner[text[inner] & 0xC0 != 0x80]] = True
+    return np.flatnonzero(place)
 
 
 class Walk:
@@ -306,7 +318,7 @@ class Index:
                 self.short.setdefault(len(r), {}).setdefault(h, []).append(k)
         exact = [k for k, n in enumerate(sizes) if SHORT <= n < exact_below]
         self.pieces = Pieces(self.chars, self.most, exact) if exact else None
-        at = word_starts(text)
+        at = window_places(text)
         owner = np.searchsorted(bounds[:, 0], at, side="right") - 1
         ends = bounds[:, 0] + self.bytes
         use = (ends[owner] - at >= SPAN // 2 + 2) & (sizes[owner] >= max(exact_below, SHORT))
@@ -352,7 +364,7 @@ class Index:
         found: dict[tuple[int, int], int] = {}
         if self.pieces:
             self.by_pieces([bytes(text[a:b]).decode("utf-8", "replace") for a, b in bounds], found)
-        at = word_starts(text) if self.walks or self.short else np.zeros(0, np.int64)
+        at = window_places(text) if self.walks or self.short else np.zeros(0, np.int64)
         if self.short and len(at):
             row_of = np.searchsorted(bounds[:, 0], at, side="right") - 1
             rolling = Rolling(BYTE_VALUE[text])

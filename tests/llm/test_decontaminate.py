@@ -112,3 +112,13 @@ def test_recall_by_length_at_the_full_distance(spark):
             got = {tuple(r) for r in decontaminate.leaks(*frames(spark, docs, items)).collect()}
             assert len(want) > 10
             assert len(want & got) >= (1 if length < 160 else 0.97) * len(want), (length, rate)
+
+
+def test_text_without_spaces(spark):
+    rng = np.random.default_rng(4)
+    han = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 900, n))
+    items = [(i, han(n)) for i, n in enumerate((60, 80, 200, 240))]
+    docs = [(i, han(150) + t + han(90)) for i, t in items]
+    docs += [(10 + i, han(150) + t[: len(t) // 3] + "\u3042" + t[len(t) // 3 + 1 :] + han(90)) for i, t in items]
+    got = {tuple(r) for r in decontaminate.leaks(*frames(spark, docs, items)).collect()}
+    assert got == {(i, i, 0) for i, _ in items} | {(10 + i, i, 1) for i, _ in items}
