@@ -7,7 +7,8 @@ found where the smallest edit distance of the whole item to any part of the text
 Items under `exact_below` characters are searched exactly, so that no place is missed. An
 item that may hold k errors is cut into k + 1 pieces, one of which must occur verbatim;
 the parts around that piece are tried with their share of the errors, from small to large.
-Items shorter than SHORT are sought verbatim, as whole words.
+This holds for the shortest too: items under 1 / (1 - similarity) characters may hold no
+error and match wherever they occur, inside words as well.
 
 For longer items the CGK random walk reads a window symbol by symbol; at every step a random
 bit chosen by step and symbol says whether to move on, so that two windows at a small edit
@@ -38,9 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BYTE_VALUE, SPACE, U64, Block, Rolling, blocks, bounded_batches, lean, mix, stash
+from gridloom.llm.common import SPACE, U64, Block, blocks, bounded_batches, lean, mix, stash
 
-SAMPLES, STRIDE, EMBED, SHORT, STRETCH, TWO_HITS = 8, 5, 96, 40, 24, 190
+SAMPLES, STRIDE, EMBED, STRETCH, TWO_HITS = 8, 5, 96, 24, 190
+#: Items of fewer characters would be sought verbatim only: none are.
+SHORT = 0
 SPAN = SAMPLES * STRIDE
 _FIRST, _NEAR = 5, 32
 _PIECE, _GAP, _CHUNK = 5, 256, 1 << 12
@@ -310,18 +313,12 @@ class Index:
         self.most = [int((1 - similarity) * len(c) + 1e-9) for c in self.chars]
         self.bytes = np.array([len(r) for r in raw])
         sizes = np.array([len(c) for c in self.chars])
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k, (r, c) in enumerate(zip(raw, self.chars)):
-            if r and len(c) < SHORT:
-                rolling = Rolling(BYTE_VALUE[np.frombuffer(r, np.uint8)])
-                h = int(rolling.slices(np.array([0]), np.array([len(r)]))[0])
-                self.short.setdefault(len(r), {}).setdefault(h, []).append(k)
-        exact = [k for k, n in enumerate(sizes) if SHORT <= n < exact_below]
+        exact = [k for k, n in enumerate(sizes) if 0 < n < exact_below]
         self.pieces = Pieces(self.chars, self.most, exact) if exact else None
         at = window_places(text)
         owner = np.searchsorted(bounds[:, 0], at, side="right") - 1
         ends = bounds[:, 0] + self.bytes
-        use = (ends[owner] - at >= SPAN // 2 + 2) & (sizes[owner] >= max(exact_below, SHORT))
+        use = (ends[owner] - at >= SPAN // 2 + 2) & (sizes[owner] >= exact_below)
         at, owner = at[use], owner[use]
         self.walks = []
         for seed in range(repetitions if len(at) else 0):
@@ -364,21 +361,8 @@ class Index:
         found: dict[tuple[int, int], int] = {}
         if self.pieces:
             self.by_pieces([bytes(text[a:b]).decode("utf-8", "replace") for a, b in bounds], found)
-        at = window_places(text) if self.walks or self.short else np.zeros(0, np.int64)
-        if self.short and len(at):
-            row_of = np.searchsorted(bounds[:, 0], at, side="right") - 1
-            rolling = Rolling(BYTE_VALUE[text])
-            for n, known in self.short.items():
-                ok = at + n <= bounds[row_of, 1]
-                w = at[ok]
-                w = w[(text[w + n] == 32) | (text[w + n] == 0)]
-                h = rolling.slices(w, w + n)
-                for p, x in zip(w[(hit := np.isin(h, np.array(list(known), U64)))], h[hit]):
-                    row = int(np.searchsorted(bounds[:, 0], p, side="right") - 1)
-                    for k in known[int(x)]:
-                        if bytes(text[p : p + n]).decode("utf-8", "replace") == self.chars[k]:
-                            found[row, k] = 0
-        if len(at) and self.walks:
+        at = window_places(text) if self.walks else ()
+        if len(at):
             self.by_walks(text, bounds, at, found)
         return [(row, k, d) for (row, k), d in found.items()]
 

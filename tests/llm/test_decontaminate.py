@@ -117,8 +117,18 @@ def test_recall_by_length_at_the_full_distance(spark):
 def test_text_without_spaces(spark):
     rng = np.random.default_rng(4)
     han = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 900, n))
-    items = [(i, han(n)) for i, n in enumerate((60, 80, 200, 240))]
+    items = [(i, han(n)) for i, n in enumerate((12, 30, 80, 200, 240))]
     docs = [(i, han(150) + t + han(90)) for i, t in items]
     docs += [(10 + i, han(150) + t[: len(t) // 3] + "\u3042" + t[len(t) // 3 + 1 :] + han(90)) for i, t in items]
     got = {tuple(r) for r in decontaminate.leaks(*frames(spark, docs, items)).collect()}
     assert got == {(i, i, 0) for i, _ in items} | {(10 + i, i, 1) for i, _ in items}
+
+
+def test_short_items_with_errors_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    items = [(n, sentence(rng, 12)[:n].strip()) for n in range(3, 40)] + [(50, "What is the boiling point?"), (51, "nul\0 item here")]
+    docs = [(d, sentence(rng, 12) + '"' + edited(rng, items[d % 39][1], (0, 0.05, 0.15)[d % 3]) + "), " + sentence(rng, 9)) for d in range(117)]
+    docs += [(200, 'He asked: "What is the boiling point?"'), (201, "what is teh boiling point"), (202, "(nul\0 itemhere)")]
+    want = {(d, i, x) for d, t in docs for i, p in items if (x := fit(normal(p), normal(t))) <= int(0.2 * len(normal(p)) + 1e-9)}
+    assert {(200, 50, 0), (201, 50, 3), (202, 51, 1)} <= want
+    assert {tuple(r) for r in decontaminate.leaks(*frames(spark, docs, items)).collect()} == want
