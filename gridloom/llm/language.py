@@ -6,9 +6,10 @@ the match); the language whose automaton needs the fewest phrases per character
 
 Texts are lower-cased, runs of what is not a letter become one space, and parsing
 restarts every PIECE characters, so that all pieces of many texts advance together, one
-array operation per character position. Training text is at most `sample_rows` labelled
-documents (those of the smallest id hashes) and `sample_chars` characters a language,
-less if there are many languages, so that all automata together stay within a fixed size.
+array operation per character position. Training text is, for each language, at most
+`sample_rows` labelled documents (those of the smallest id hashes) and `sample_chars`
+characters. Every character of it counts: transitions by the most frequent characters are
+tables of a fixed size in all, the others are sorted edges.
 
 Edge cases: a text that is null or has no letter is `und` with score 0, as is every
 text if no labelled text has a letter. Ties go to the smaller language name. Repeated
@@ -24,15 +25,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bounded_batches, held_out, lean
 
 PIECE = 256
-TOTAL_CHARS = 1 << 18
-#: Most different characters told apart, and most cells of all transition tables (4 bytes each).
-ALPHABET, CELLS = 255, 1 << 25
+#: Most cells of all transition tables (4 bytes each); what they do not hold is in sorted edges.
+CELLS = 1 << 25
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _AUTOMATA: dict[tuple, tuple] = {}
 
@@ -41,8 +41,30 @@ def normal(text: str | None) -> str:
     return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
 
 
-def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] -> state of the automaton of all substrings; 0: none (nothing leads to the start)."""
+class Automaton:
+    """All substrings of a text: transitions by symbols under `width` in a table, by others in sorted edges; 0: none."""
+
+    def __init__(self, text: np.ndarray, width: int):
+        moves = transitions(text)
+        self.table = np.zeros((len(moves), width + 1), np.uint16 if len(moves) <= 1 << 16 else np.uint32)
+        edges = []
+        for state, m in enumerate(moves):
+            for c, to in m.items():
+                if c < width:
+                    self.table[state, c] = to
+                else:
+                    edges.append((c << 32 | state, to))
+        edges = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        self.keys, self.to = np.append(edges[:, 0], 1 << 62), np.append(edges[:, 1], 0)
+
+    def rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = symbol.astype(np.int64) << 32 | state
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], 0)
+
+
+def transitions(text: np.ndarray) -> list[dict[int, int]]:
+    """For each state of the automaton of all substrings, symbol -> state; nothing leads to the start, 0."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -68,49 +90,52 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(moves), alphabet), np.uint16 if len(moves) <= 1 << 16 else np.uint32)
-    for state, m in enumerate(moves):
-        table[state, list(m)] = list(m.values())
-    return table
+    return moves
 
 
-def automata(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-    """Names, the symbol of each character (the last: not in the samples), one table each."""
+def automata(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, list[Automaton]]:
+    """Names, the symbol of each character (the last: not in the samples), one automaton each."""
     if samples not in _AUTOMATA:
         _AUTOMATA.clear()
         known = _alphabet(t for _, t in samples)
-        symbol = np.full(0x110000, len(known), np.int16)
+        symbol = np.full(0x110000, len(known), np.int32)
         symbol[[ord(c) for c in known]] = np.arange(len(known))
-        tables = [suffix_automaton(symbol[_points(t)], len(known) + 1) for _, t in samples]
+        width = min(len(known), max(CELLS // (2 * sum(len(t) for _, t in samples) + 1) - 1, 0))
+        tables = [Automaton(symbol[_points(t)], width) for _, t in samples]
         _AUTOMATA[samples] = ([n for n, _ in samples], symbol, tables)
     return _AUTOMATA[samples]
 
 
 def _alphabet(texts) -> list[str]:
-    """The most frequent characters of the samples; others match nothing."""
+    """The characters of the samples, the most frequent first."""
     counts = Counter()
     for t in texts:
         counts.update(t)
-    return sorted(sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET])
+    return sorted(counts, key=lambda c: (-counts[c], c))
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def phrases(table: np.ndarray, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def phrases(automaton: Automaton, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each row of grid (by column: the symbols of a piece), all rows in step.
 
     Rows must be in descending order of length.
     """
-    width = table.shape[1]
-    flat = table.ravel()
+    width = automaton.table.shape[1]
+    flat = automaton.table.ravel()
+    common = np.minimum(grid, width - 1)
+    some = (grid >= width - 1).any(1) if len(automaton.to) > 1 else np.zeros(len(grid), bool)
     state = np.zeros(len(lengths), np.int32)
     count = np.zeros(len(lengths), np.int32)
     live = np.searchsorted(-lengths, -np.arange(grid.shape[0]), side="left")
     for i in range(grid.shape[0]):
         n = live[i]
-        to = flat[state[:n] * width + grid[i, :n]]
+        to = flat[state[:n] * width + common[i, :n]]
+        if some[i]:
+            where = np.flatnonzero(grid[i, :n] >= width - 1)
+            to[where] = automaton.rare(state[where], grid[i, where])
         count[:n] += to == 0
         state[:n] = to
     return count + (state > 0)
@@ -166,23 +191,23 @@ def learn(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1 << 15)
     """(language, training text) by name, from at most sample_rows rows."""
     bounded_batches(docs.sparkSession)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows)
+    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
-    def shorten(batches):  # what one document can add to a language's sample is all that is sent
+    def shorten(batches):  # what one document can add to a language's sample
         for b in batches:
             texts = [normal(t)[:sample_chars] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array(texts)], ["key", "lang", "text"])
-
-    rows = rows.select(F.xxhash64("doc_id").alias("key"), "lang", "text")
-    texts: dict[str, str] = {}
-    for r in sorted(rows.mapInArrow(lean(shorten), "key long, lang string, text string").collect()):
-        if len(texts.get(r.lang, "")) < sample_chars and r.text:
-            texts[r.lang] = f"{texts[r.lang]} {r.text}" if r.lang in texts else r.text
-    width = len(_alphabet(texts.values())) + 1
-    each = min(sample_chars, TOTAL_CHARS // max(len(texts), 1), CELLS // (2 * width * max(len(texts), 1)))
-    return tuple((name, texts[name][:each]) for name in sorted(texts))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array(texts, pa.string())], ["key", "lang", "text"])
+
+    rows = rows.select(F.xxhash64("doc_id").alias("key"), "lang", "text").mapInArrow(lean(shorten), "key long, lang string, text string").where("text <> ''")
+    # Only the rows that fill a language's sample are sent.
+    before = Window.partitionBy("lang").orderBy("key", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("have", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("have") < sample_chars)
+    texts: dict[str, list[str]] = {}
+    for key, lang, text in sorted(rows.select("key", "lang", "text").collect()):
+        texts.setdefault(lang, []).append(text)
+    return tuple((name, " ".join(texts[name])[:sample_chars]) for name in sorted(texts))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

@@ -57,3 +57,33 @@ def test_edge_rows(spark):
     assert sum(i == 7 for i, _, _ in got) == 2
     assert {r.lang_pred for r in language.identify(odd.where("lang is null")).collect()} == {"und"}
     assert language.identify(df.limit(0)).count() == 0
+
+
+def test_every_character_counts():
+    rng = np.random.default_rng(6)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    samples = tuple((n, "".join(rng.choice(han[lo : lo + 1500], 4000))) for n, lo in (("aa", 0), ("bb", 700), ("cc", 1500)))
+    texts = ["".join(rng.choice(han, n)) for n in (3, 10, 300)] + [t[50:60] for _, t in samples]
+    got = language.parse_counts(texts, samples)
+    assert got.tolist() == [[count_phrases(t, s) for _, s in samples] for t in texts]
+    assert language.predict(texts[3:], samples)[0] == ["aa", "bb", "cc"]
+
+
+def test_sparse_edges_equal_the_table(monkeypatch):
+    rng = np.random.default_rng(7)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    samples = (("x", make("abcde ", 300)), ("y", make("defgh ", 200)))
+    texts = [make("abcdefgh ß", n) for n in (1, 5, 256, 700)]
+    want = [[count_phrases(t, s) for _, s in samples] for t in texts]
+    for cells in (0, 3000, 5000):
+        monkeypatch.setattr(language, "CELLS", cells)
+        language._AUTOMATA.clear()
+        assert language.parse_counts(texts, samples).tolist() == want
+
+
+def test_every_language_gets_its_sample(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(rng.choice(list("abcdefg"), 400)), "often") for i in range(400)]
+    rows += [(1000 + i, "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 400)), f"rare{i % 9}") for i in range(360)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20, sample_chars=6000)
+    assert {n: len(t) for n, t in learned} == {n: 6000 for n in ["often", *(f"rare{i}" for i in range(9))]}
