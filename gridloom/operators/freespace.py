@@ -78,11 +78,13 @@ def near_conflicts(points: DataFrame, grid: Grid, free: FreeSpace) -> DataFrame:
 
 
 def free_cells(points: DataFrame, grid: Grid, free: FreeSpace) -> DataFrame:
-    """CELL, ray_support, beam_point_id, rejected of the kept free cells, by (level, ix, iy) up to the cap of a frame."""
+    """CELL, ray_support, beam_point_id, rejected of the kept free cells, by (level, ix, iy) up to the cap of a frame; rejected: cells of the frame beyond the cap."""
     found = corridor_cells(beams(points, grid, free), grid, free)
     found = found.join(occupied_keys(points, grid), list(CELL), "left_anti").join(near_conflicts(points, grid, free), list(CELL), "left_anti")
     order = Window.partitionBy("frame_id").orderBy("level", "ix", "iy")
-    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= free.max_cells).drop("nth")
+    total = F.count("*").over(Window.partitionBy("frame_id"))
+    found = found.withColumns({"nth": F.row_number().over(order), "rejected": F.greatest(F.lit(0).cast("long"), total - F.lit(free.max_cells))})
+    return found.where(F.col("nth") <= free.max_cells).drop("nth")
 
 
 def occupancy(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:

@@ -18,6 +18,7 @@ from gridloom.config import Tracking
 from gridloom.functions.labels import THINGS
 
 OUT = "sequence long, frame_id long, ts_ns long, track_id long, instance_id long, lifecycle string, birth_ns long, last_observed_ns long, confidence double"
+REJECTED = "sequence long, frame_id long, ts_ns long, instance_id long"
 CANDIDATES = "sequence long, frame_id long, ts_ns long, instance_id long, semantic int, status string, cx double, cy double, cz double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
 BOX = ("cx", "cy", "cz", "x0", "y0", "z0", "x1", "y1", "z1")
 
@@ -126,3 +127,16 @@ def track(candidates: DataFrame, s: Tracking = Tracking()) -> DataFrame:
         return as_frame(out)
 
     return candidates.groupBy("sequence").applyInPandas(run, OUT)
+
+
+def rejected(candidates: DataFrame, s: Tracking = Tracking()) -> DataFrame:
+    """REJECTED: the instances that track() refuses, as a sequence has no room for more tracks."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = State(), []
+        for frame, ts, cands in frames_of(pdf):
+            state, _, refused = advance(state, int(key[0]), frame, ts, cands, s)
+            out += [(int(key[0]), frame, ts, i) for i in refused]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in REJECTED.split(", ")])
+
+    return candidates.groupBy("sequence").applyInPandas(run, REJECTED)

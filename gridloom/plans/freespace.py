@@ -74,13 +74,13 @@ def margin_band(spark, sf_dir):
 
 @query(_FREE_SQL)
 def margin_band_antijoin(spark, sf_dir):
-    return freespace.free_cells(scan(spark, sf_dir), GRID, FREE)
+    return freespace.free_cells(scan(spark, sf_dir), GRID, FREE).drop("rejected")
 
 
 @query(f"SELECT frame_id, level, ix, iy, ray_support, beam_point_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY level, ix, iy) AS rn FROM ({_FREE_SQL})) WHERE rn <= 300")
 def free_cells_limited(spark, sf_dir):
     """A frame's free cells up to a cap of 300, in (level, ix, iy) order."""
-    return freespace.free_cells(scan(spark, sf_dir), GRID, FreeSpace(max_cells=300))
+    return freespace.free_cells(scan(spark, sf_dir), GRID, FreeSpace(max_cells=300)).drop("rejected")
 
 
 _OCC = f"""SELECT frame_id, level, ix, iy, count(*) FILTER (WHERE obstacle) AS obstacle_support,
@@ -124,7 +124,7 @@ SELECT f.frame_id, f.level, f.ix, f.iy, f.beam_point_id, round(v.mz, 6) AS retur
 def free_cell_export(spark, sf_dir):
     """Every second frame's free cells with the height of the beam that proves each."""
     p = scan(spark, sf_dir)
-    f = freespace.free_cells(p, GRID, FREE).where("frame_id % 2 = 0").drop("ray_support")
+    f = freespace.free_cells(p, GRID, FREE).where("frame_id % 2 = 0").drop("ray_support", "rejected")
     z = p.select("frame_id", F.col("point_id").alias("beam_point_id"), F.round("mz", 6).alias("return_z_m"))
     return f.join(z, ["frame_id", "beam_point_id"])
 

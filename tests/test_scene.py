@@ -47,6 +47,12 @@ def test_cap_keeps_the_first_cells(spark):
     assert free(spark, [BEAM], max_cells=3) == {(1, 188, 0), (1, 189, 0), (1, 190, 0)}
 
 
+def test_cells_beyond_the_cap_are_counted(spark):
+    for cap, rejected in ((3, 9), (12, 0), (20, 0)):
+        got = freespace.free_cells(scene(spark, [BEAM]), GRID, FreeSpace(max_cells=cap)).collect()
+        assert {r.rejected for r in got} == {rejected} and len(got) == 12 - rejected
+
+
 @pytest.mark.parametrize("pt", [(20.02, 0.03, -1.73, 13, 1), (20.02, 0.03, -1.73, 9, 2), (20.02, 0.03, -1.73, 0, 1), (2.0, 0.03, -1.0, 9, 1), (20.02, 0.03, 1.0, 9, 1), (20.02, 0.03, -1.73, 9, 0)])
 def test_never_free(spark, pt):
     assert free(spark, [pt]) == set()

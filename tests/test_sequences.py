@@ -75,6 +75,16 @@ def test_stream_equals_batch_and_keeps_the_contract(spark, tmp_path):
     assert contracts.lifecycle_violations(batch.withColumn("lifecycle", F.when(F.col("frame_id") == 7, "tentative").otherwise(F.col("lifecycle")))).count() > 0
 
 
+def test_instances_beyond_capacity_are_returned(spark):
+    c = candidates(spark, 1)
+    per = {r.sequence: r.n for r in c.groupBy("sequence").agg(F.count("*").alias("n")).collect()}
+    refused = tracks.rejected(c, Tracking(capacity=2)).collect()
+    kept = tracks.track(c, Tracking(capacity=2)).collect()
+    assert {q: sum(r.sequence == q for r in refused) for q in per} == {q: n - 2 for q, n in per.items()}
+    assert sorted((r.sequence, r.instance_id) for r in [*refused, *kept]) == sorted((r.sequence, r.instance_id) for r in c.collect())
+    assert tracks.rejected(c).count() == 0
+
+
 def test_late_frames_become_rejected_rows(spark, tmp_path):
     c = candidates(spark, 4).where("sequence = 0")
     for n, f in enumerate((2, 1, 3)):
