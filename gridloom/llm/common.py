@@ -10,6 +10,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in tests."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of its own only where Spark runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -149,7 +153,11 @@ class Rolling:
     """Prefix polynomial hashes of a sequence: the hash of any slice in two reads."""
 
     def __init__(self, symbols: np.ndarray, base: int = _PRIME):
-        powers = _POWERS.setdefault(base, _Powers(base))
+        if base not in _POWERS:
+            while len(_POWERS) > 4:
+                _POWERS.pop(next(iter(_POWERS)))
+            _POWERS[base] = _Powers(base)
+        powers = _POWERS[base]
         up, self.down = powers.upto(len(symbols) + 1)
         self.prefix = np.zeros(len(symbols) + 1, U64)
         with np.errstate(over="ignore"):
@@ -168,6 +176,38 @@ class Rolling:
 #: A random value for each byte.
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
+#: Longer slices have equal polynomial hashes modulo 2**64 more often than by chance (from 1,024 symbols on, for every base).
+_LONG = 64
+
+
+class Key:
+    """The secret of one run: byte values, an odd base and a key for digests, drawn from a seed."""
+
+    def __init__(self, seed: int):
+        x = mix(np.arange(300, dtype=U64) + mix(np.array([seed], U64))[0])
+        self.values, self.base, self.salt = x[:256], int(x[256]) | 1, x[257:259].tobytes()
+
+    def word_hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of slices; those of many bytes by a keyed cryptographic digest."""
+        out = Rolling(self.values[data], self.base).slices(start, end)
+        for i in np.flatnonzero(end - start > _LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=self.salt).digest(), "little")
+        return out
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what the number of buckets is chosen by."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets_for(docs: DataFrame, bucket_bytes: int = 1 << 24) -> int:
+    """Buckets of the hash space of about bucket_bytes of text each, two for each shuffle partition at least.
+
+    A block of texts sends a row to each bucket, so there are 2**14 at most.
+    """
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-text_bytes(docs) // bucket_bytes)), 1 << 14)
+
 
 # ---------------------------------------------------------------- text blocks
 

@@ -61,11 +61,49 @@ def test_edge_rows(spark):
     assert run(spark, [], 35, 1) == []
 
 
+def doubling(n):
+    """The a/b sequence and its complement that polynomial hashes modulo 2**64 cannot tell apart from 1,024 symbols on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_that_meet_for_every_base_remove_nothing(spark):
+    x, y = doubling(1024)
+    tail = " ".join(f"w{i}" for i in range(40))
+    words = tail.split()
+    rows = [(1, " ".join([*words[:20], x, *words[20:]])), (2, " ".join([*words[:20], y, *words[20:]]))]
+    assert run(spark, rows, 35) == brute(rows, 35) and all(r[2] == 0 for r in brute(rows, 35))
+    # The same sequence over words.
+    rows = [(i, " ".join(t)) for i, t in enumerate(doubling(4096))]
+    assert run(spark, rows, 35) == brute(rows, 35)
+
+
+def test_names_that_meet_start_another_key(spark, monkeypatch):
+    """Under the first key all words of a length have one name; verification finds it out."""
+    real, used = substrings.Key, []
+
+    class Weak(real):
+        def __init__(self, seed):
+            super().__init__(seed)
+            used.append(seed)
+            self.weak = seed == 1
+
+        def word_hashes(self, data, start, end):
+            return (end - start).astype(np.uint64) if self.weak else super().word_hashes(data, start, end)
+
+    Weak.__module__ = "__main__"  # sent to the workers whole
+    monkeypatch.setattr(substrings, "Key", Weak)
+    rows = corpus(7, 40) + [(100, " ".join("abcdefgh"[i % 8] for i in range(50))), (101, " ".join("ijklmnop"[i % 7] for i in range(50)))]
+    assert run(spark, rows, 35) == brute(rows, 35)
+    assert 2 in used
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(0)
     for n in (1, 2, 500):
-        names = rng.integers(0, 2**40, n).astype(np.uint64)
-        assert (substrings._unpack_names(substrings._pack_names(names)) == names).all()
+        names, more = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 2**32, n).astype(np.uint32)
+        assert all((a == b).all() for a, b in zip(substrings._unpack_names(substrings._pack_names(names, more), True), (names, more)))
+        assert (substrings._unpack_names(substrings._pack_names(names, None), False)[0] == names >> np.uint64(24) << np.uint64(24)).all()
         for step in (3, 70000):
             places = np.cumsum(rng.integers(1, step, n))
             assert (substrings._unpack_places(substrings._pack_places(places)) == places).all()
