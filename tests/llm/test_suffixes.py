@@ -98,3 +98,28 @@ def test_colliding_hashes_are_verified(monkeypatch):
     s = suffixes.Suffixes(data, 8)
     monkeypatch.setattr(s.rolling, "raw", lambda a, b: np.zeros(len(a), np.uint64))
     assert s.equal(np.array([0, 0]), np.array([8, 16])).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_spans_that_meet_by_hash_are_not_removed(spark, tmp_path, monkeypatch, parts):
+    """Within one block (one partition) and between blocks."""
+    seeds, real = [], suffixes.Key
+
+    def weak(seed):  # under seed 1 all bytes but `a` look alike
+        seeds.append(seed)
+        k = real(seed)
+        if seed == 1:
+            k.values = np.where(np.arange(256) == 97, k.values, k.values[0])
+        return k
+
+    monkeypatch.setattr(suffixes, "Key", weak)
+    marks = np.random.default_rng(3).integers(0, 2, 400)
+    rows = [(i, "".join("a" if m else x for m in marks)) for i, x in enumerate("xyz")] + corpus(4, 20)
+    assert run(spark, rows, 50, tmp_path, parts) == brute(rows, 50)
+    assert 2 in seeds
+
+
+def test_doubling_sequences_are_told_apart(spark, tmp_path):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("bc"[b] for b in bits)), (3, "".join("cd"[b] for b in bits))]
+    assert run(spark, rows, 50, tmp_path) == brute(rows, 50)
