@@ -24,49 +24,56 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import U64, mix
 
 CUT = 1 << 12
-ASK = "struct<block:long,start:long,n:long,id:long>"
+#: Own stretches packed (start, n, id); those of the counterparts, of any block.
+SEGMENTS = "own binary, others array<struct<block:long,start:long,n:long,id:long>>"
+_OTHER = ("block", "start", "n", "id")
 
 
-def segments(block: int, place: np.ndarray, length: np.ndarray, other: np.ndarray, there: np.ndarray, extra: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(block, start, n, id) to digest, for both sides of each segment.
+def segments(place: np.ndarray, length: np.ndarray, other: np.ndarray, there: np.ndarray, extra: int, seed: int) -> list[pa.Array]:
+    """One row of SEGMENTS for the windows of a block.
 
     place ascends; entry i covers the windows place[i] .. place[i] + length[i] - 1, each of 1 + extra
     symbols, and equals that of block other[i] at there[i].
     """
-    if not len(place):
-        return []
     new = np.ones(len(place), bool)
     new[1:] = (place[1:] != place[:-1] + length[:-1]) | (other[1:] != other[:-1]) | (there[1:] != there[:-1] + length[:-1]) | (there[1:] // CUT != there[:-1] // CUT)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1
+    last = np.append(first[1:], len(place))[: len(first)] - 1
     n = place[last] + length[last] + extra - place[first]
     to, at = other[first], there[first]
     with np.errstate(over="ignore"):
         ids = mix(mix(mix(to.astype(U64) + U64(seed)) + at.astype(U64)) + n.astype(U64)).view(np.int64)
-    own = zip([block] * len(first), place[first].tolist(), n.tolist(), ids.tolist())
-    return [*own, *zip(to.tolist(), at.tolist(), n.tolist(), ids.tolist())]
+    own = np.stack([place[first], n, ids], 1).astype("<i8")
+    sides = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (to, at, n, ids)], list(_OTHER))
+    return [pa.array([own.tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), sides)]
 
 
 def by_block(asked: DataFrame) -> DataFrame:
-    """block, asks of all stretches to digest, from rows with an array `asked` of ASK."""
-    ask = asked.select(F.explode("asked").alias("a")).select("a.*").distinct()
+    """block, asks: the counterparts' stretches of each block once, from rows with SEGMENTS."""
+    ask = asked.select(F.explode("others").alias("a")).select("a.*").distinct()
     return ask.groupBy("block").agg(F.collect_list(F.struct("start", "n", "id")).alias("asks"))
 
 
-def of_rows(first: np.ndarray, asks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, [start in the row, n, id]) of asks by row; first: each row's first place."""
-    a = np.array([(x["start"], x["n"], x["id"]) for x in asks], np.int64).reshape(-1, 3)
+def of_rows(first: np.ndarray, own: bytes | None, asks: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(row, [start in the row, n, id]) of the stretches of a block, by row; first: each row's first place."""
+    a = np.frombuffer(own or b"", "<i8").reshape(-1, 3)
+    if asks.is_valid and len(asks.values):
+        a = np.concatenate([a, np.stack([np.asarray(asks.values.field(c)) for c in _OTHER[1:]], 1)])
     row = np.searchsorted(first, a[:, 0], side="right") - 1
     order = np.argsort(row, kind="stable")
     a, row = a[order], row[order]
     a[:, 0] -= first[row]
-    return row, a
+    return row, a.astype("<i8")
 
 
 def by_document(found: DataFrame, *key: str) -> DataFrame:
-    """key, asks: each stretch of a document once, from rows with an array `asks` of start, n, id in turn."""
-    rows = found.where(F.size("asks") > 0).select(*key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("asks") - 1, F.lit(3)), lambda i: F.struct(*(F.get("asks", i + j).alias(n) for j, n in enumerate(("start", "n", "id"))))))).alias("ask"))
-    return rows.groupBy(*key).agg(F.collect_set("ask").alias("asks"))
+    """key, asks: the packed stretches (start, n, id) of each document, from rows with a binary `asks`."""
+    return found.where(F.length("asks") > 0).groupBy(*key).agg(F.collect_set("asks").alias("asks"))
+
+
+def stretches(asks: list[bytes]) -> list[list[int]]:
+    """[start, n, id] of a document's asks."""
+    return np.frombuffer(b"".join(asks), "<i8").reshape(-1, 3).tolist()
 
 
 def digest(part: bytes, salt: bytes) -> tuple[int, int]:

@@ -9,8 +9,8 @@ Windows travel as packed arrays: a block of texts sends each bucket of the hash
 row with the names and places of its windows, and a bucket sends back those that repeat.
 A name that a block holds more than twice is sent twice, the rest of its places pass
 through elsewhere, so a window that a third of all documents share is as many entries as
-there are blocks, not documents. Names are keyed hashes: 40 bits beside the bucket's number
-at the first level, 96 bits beside it at the later ones. Buckets are sized by the texts' bytes.
+there are blocks, not documents. Names are keyed hashes: 40 bits beside the bucket's number,
+96 bits at the last level. Buckets are sized by the texts' bytes.
 
 The last level names for each window the one it equals, and the words of both are verified
 (see digests.py); should names of different words have met, all levels run again with
@@ -40,13 +40,13 @@ from gridloom.llm.common import U64, Key, Rolling, blocks, buckets_for, drop_sta
 _ROWS = "bucket int, block long, names binary, places binary, reps binary, through boolean"
 _TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
 _COLUMNS = ("bucket", "block", "names", "places", "reps", "through")
-_COVERED = f"block long, starts binary, ends binary, asked array<{digests.ASK}>"
+_COVERED = f"block long, starts binary, ends binary, {digests.SEGMENTS}"
 #: Keys that are tried; each fails only if two different windows have one name.
 _TRIES = 8
 
 
 def levels(size: int, least: int = 9) -> list[int]:
-    """Window lengths, the last of them size; two at least, as names are whole from the second on."""
+    """Window lengths, the last of them size; two at least."""
     out = [size]
     while out[0] > least or len(out) == 1:
         out.insert(0, (out[0] + 1) // 2)
@@ -57,7 +57,7 @@ def levels(size: int, least: int = 9) -> list[int]:
 
 
 def _pack_names(name: np.ndarray, more: np.ndarray | None) -> bytes:
-    """The upper 40 bits of first-level names, or whole names and 32 bits more."""
+    """The upper 40 bits of names, or (last level) whole names and 32 bits more."""
     if more is None:
         return (name >> U64(24) & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (name >> U64(56)).astype(np.uint8).tobytes()
     return name.astype("<u8").tobytes() + more.astype("<u4").tobytes()
@@ -99,17 +99,23 @@ def _changes(order: np.ndarray, *names: np.ndarray) -> np.ndarray:
     return new
 
 
+def _pack_reps(blocks: np.ndarray, places: np.ndarray) -> bytes:
+    return blocks.astype("<i8").tobytes() + places.astype("<u4").tobytes()
+
+
 def _send(block: int, name: np.ndarray, more: np.ndarray | None, places: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows for the buckets."""
+    """Rows for the buckets; at the last level (more) windows that pass through have the block's first of the name as reps."""
     if not len(name):
         return []
     bucket = ((name & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
     keys = (name,) if more is None else (more, name)
     order = np.lexsort(keys)
     first = _changes(order, *keys)
-    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     extra = np.zeros(len(order), bool)
-    extra[order] = nth >= 2
+    extra[order] = np.arange(len(order)) - lead >= 2
+    rep = np.empty(len(order), np.int64)
+    rep[order] = places[order[lead]]
     out = []
     for through in (False, True):
         use = np.flatnonzero(extra == through)
@@ -117,7 +123,11 @@ def _send(block: int, name: np.ndarray, more: np.ndarray | None, places: np.ndar
         cut = np.flatnonzero(np.diff(bucket[use], prepend=-1))
         for a, b in zip(cut, [*cut[1:], len(use)]):
             some = use[a:b]
-            out.append((int(bucket[some[0]]), block, _pack_names(name[some], None if more is None else more[some]), _pack_places(places[some]), b"", through))
+            if through and more is not None:
+                names, reps = b"", _pack_reps(np.full(len(some), block), rep[some])
+            else:
+                names, reps = _pack_names(name[some], None if more is None else more[some]), b""
+            out.append((int(bucket[some[0]]), block, names, _pack_places(places[some]), reps, through))
     return out
 
 
@@ -162,86 +172,73 @@ def _where(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, rows array<struct<doc_id:long,key:long,first:long,n:long>>")
 
 
-def _repeated(rows: DataFrame, wide: bool) -> DataFrame:
-    """Of each bucket's windows those whose name occurs more than once, with the first window of that name (reps)."""
+def _repeated(rows: DataFrame, last: bool) -> DataFrame:
+    """Of each bucket's windows those whose name occurs more than once: names, or at the last level the first window of the name (reps)."""
 
     def run(t: pa.Table) -> pa.Table:
-        through = t.column("through").to_pylist()
-        uids, raw = t.column("block").to_pylist(), list(zip(t.column("names").to_pylist(), t.column("places").to_pylist()))
-        names = [_unpack_names(n, wide) for n, _ in raw]
+        buckets, uids, names, places, reps, through = (t.column(c).to_pylist() for c in _COLUMNS)
         mine = [i for i, p in enumerate(through) if not p]
-        name, more = (np.concatenate([names[i][j] for i in mine] or [np.zeros(0, kind)]) for j, kind in ((0, U64), (1, np.uint32)))
-        uid = np.repeat(np.array([uids[i] for i in mine], np.int64), [len(names[i][0]) for i in mine])
-        place = np.concatenate([_unpack_places(raw[i][1]) for i in mine] or [np.zeros(0, np.int64)])
-        order = np.lexsort((place, uid, more, name))
-        new = np.append(_changes(order, more, name), True)
+        parts = [_unpack_names(names[i], last) for i in mine]
+        name, more = (np.concatenate([p[j] for p in parts] or [np.zeros(0, kind)]) for j, kind in ((0, U64), (1, np.uint32)))
+        uid = np.repeat(np.array([uids[i] for i in mine], np.int64), [len(p[0]) for p in parts])
+        place = np.concatenate([_unpack_places(places[i]) for i in mine] or [np.zeros(0, np.int64)])
+        keys = (more, name) if last else (name,)
+        order = np.lexsort((place, uid, *keys) if last else keys)
+        new = np.append(_changes(order, *keys), True)
         many = np.zeros(len(name), bool)
         many[order] = ~(new[1:] & new[:-1])
-        rep = np.zeros(len(name), np.int64)
-        rep[order] = order[np.flatnonzero(new[:-1])[np.cumsum(new[:-1]) - 1]] if len(order) else order
-        out, at = [], 0
-        for bucket, block, (n, places), (hi, lo), p in zip(t.column("bucket").to_pylist(), uids, raw, names, through):
-            if p:
-                out.append((bucket, block, n, places, b"", True))
-                continue
-            use = np.flatnonzero(many[at : at + len(hi)])
-            r = rep[at + use]
-            if len(use):
-                out.append((bucket, block, _pack_names(hi[use], lo[use] if wide else None), _pack_places(place[at + use]), uid[r].astype("<i8").tobytes() + place[r].astype("<u4").tobytes() if wide else b"", False))
+        if last:
+            rep = np.empty(len(name), np.int64)
+            rep[order] = order[np.flatnonzero(new[:-1])[np.cumsum(new[:-1]) - 1]]
+        out = [(buckets[i], uids[i], names[i], places[i], reps[i], False) for i, p in enumerate(through) if p]
+        at = 0
+        for i, (hi, _) in zip(mine, parts):
+            use = at + np.flatnonzero(many[at : at + len(hi)])
             at += len(hi)
+            if len(use):
+                kept = (b"", _pack_places(place[use]), _pack_reps(uid[rep[use]], place[rep[use]])) if last else (_pack_names(name[use], None), _pack_places(place[use]), b"")
+                out.append((buckets[i], uids[i], *kept, False))
         return pa.Table.from_batches([_batch(out)])
 
     return rows.groupBy("bucket").applyInArrow(run, _ROWS)
 
 
-def _of_block(t: pa.Table, wide: bool) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, places ascending, names, more, which row of t each is of)."""
-    names = [_unpack_names(x, wide) for x in t.column("names").to_pylist()]
-    if not wide:  # the bucket's number is part of a name
-        names = [(n + U64(b), more) for (n, more), b in zip(names, t.column("bucket").to_pylist())]
-    places = np.concatenate([_unpack_places(x) for x in t.column("places").to_pylist()])
-    order = np.argsort(places, kind="stable")
-    name, more = (np.concatenate([n[j] for n in names])[order] for j in (0, 1))
-    return t.column("block")[0].as_py(), places[order], name, more, order
-
-
-def _doubled(rows: DataFrame, shift: int, buckets: int, wide: bool, key: Key) -> DataFrame:
+def _doubled(rows: DataFrame, shift: int, buckets: int, last: bool, key: Key) -> DataFrame:
     """The next level's windows: places whose own window and that shift words on both repeat."""
 
     def run(t: pa.Table) -> pa.Table:
-        block, places, name, more, _ = _of_block(t, wide)
+        # The bucket's number is part of a name.
+        name = np.concatenate([_unpack_names(x, False)[0] + U64(b) for x, b in zip(t.column("names").to_pylist(), t.column("bucket").to_pylist())])
+        places = np.concatenate([_unpack_places(x) for x in t.column("places").to_pylist()])
+        order = np.argsort(places, kind="stable")
+        name, places = name[order], places[order]
         to = np.minimum(np.searchsorted(places, places + shift), len(places) - 1)
         ok = places[to] == places + shift
         with np.errstate(over="ignore"):
-            left, right = (mix(name[x] + more[x].astype(U64) * U64(key.base)) for x in (ok, to[ok]))
+            left, right = (mix(name[x] * U64(key.base)) for x in (ok, to[ok]))
             pair = mix(left * U64(3) + right)
-            other = mix(mix(left + U64(key.base)) + right * U64(5)) >> U64(32)
-        return pa.Table.from_batches([_batch(_send(block, pair, other.astype(np.uint32), places[ok], buckets))])
+            other = (mix(mix(left + U64(key.base)) + right * U64(5)) >> U64(32)).astype(np.uint32) if last else None
+        return pa.Table.from_batches([_batch(_send(t.column("block")[0].as_py(), pair, other, places[ok], buckets))])
 
     return rows.groupBy("block").applyInArrow(run, _ROWS)
 
 
 def _covered(rows: DataFrame, size: int, seed: int) -> DataFrame:
-    """block, starts, ends: its ranges of repeated windows; asked: the stretches to verify, of this and other blocks."""
+    """block, starts, ends: its ranges of repeated windows; SEGMENTS: the stretches to verify."""
 
     def run(t: pa.Table) -> pa.Table:
-        block, places, name, more, order = _of_block(t, True)
+        block, raw = t.column("block")[0].as_py(), t.column("reps").to_pylist()
+        n = [len(r) // 12 for r in raw]
+        places = np.concatenate([_unpack_places(x) for x in t.column("places").to_pylist()])
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        to = np.concatenate([np.frombuffer(r, "<i8", k) for r, k in zip(raw, n)])[order]
+        there = np.concatenate([np.frombuffer(r, "<u4", k, 8 * k).astype(np.int64) for r, k in zip(raw, n)])[order]
         new = np.diff(places, prepend=-size - 1) > size
         start, end = places[new], np.append(places[np.flatnonzero(new)[1:] - 1], places[-1]) + size
-        counts = [len(x) // 12 for x in t.column("names").to_pylist()]
-        reps = t.column("reps").to_pylist()
-        to = np.concatenate([np.frombuffer(r, "<i8", n) if r else np.full(n, -1) for r, n in zip(reps, counts)])[order]
-        there = np.concatenate([np.frombuffer(r, "<u4", n, 8 * n).astype(np.int64) if r else np.full(n, -1) for r, n in zip(reps, counts)])[order]
-        # What passed through has the name, and so the counterpart, of an entry that did not.
-        by = np.lexsort((-there, more, name))
-        lead = np.maximum.accumulate(np.where(_changes(by, more, name), np.arange(len(by)), 0))
-        back = np.empty(len(by), np.int64)
-        back[by] = by[lead]
-        to, there = np.where(there < 0, to[back], to), np.where(there < 0, there[back], there)
         other = (to != block) | (there != places)
-        asked = digests.segments(block, places[other], np.ones(other.sum(), np.int64), to[other], there[other], size - 1, seed)
-        asked = pa.array([[dict(zip(("block", "start", "n", "id"), x)) for x in asked]], pa.list_(pa.struct([(n, pa.int64()) for n in ("block", "start", "n", "id")])))
-        return pa.table([pa.array([block], pa.int64()), pa.array([start.astype("<i8").tobytes()]), pa.array([end.astype("<i8").tobytes()]), asked], ["block", "starts", "ends", "asked"])
+        own, others = digests.segments(places[other], np.ones(other.sum(), np.int64), to[other], there[other], size - 1, seed)
+        return pa.table([pa.array([block], pa.int64()), pa.array([start.astype("<i8").tobytes()]), pa.array([end.astype("<i8").tobytes()]), own, others], ["block", "starts", "ends", "own", "others"])
 
     return rows.groupBy("block").applyInArrow(run, _COVERED)
 
@@ -250,7 +247,7 @@ def _spread(batches):
     """_id, _key, spans, asks of each document of a block."""
     for b in batches:
         out = [[], [], [], []]
-        for docs_of, raw_start, raw_end, asks in zip(b.column("rows"), b.column("starts").to_pylist(), b.column("ends").to_pylist(), b.column("asks").to_pylist()):
+        for docs_of, raw_start, raw_end, own, asks in zip(b.column("rows"), *(b.column(c).to_pylist() for c in ("starts", "ends", "own")), b.column("asks")):
             if docs_of.as_py() is None:
                 raise ValueError("the documents changed between two readings")
             part = docs_of.values
@@ -258,16 +255,15 @@ def _spread(batches):
             start, end = np.frombuffer(raw_start, "<i8"), np.frombuffer(raw_end, "<i8")
             row = np.searchsorted(first, start, side="right") - 1
             cut = np.searchsorted(row, np.arange(len(first) + 1))
-            asked_of, ask = digests.of_rows(first, asks or ())
+            asked_of, ask = digests.of_rows(first, own, asks)
             cut_asks = np.searchsorted(asked_of, np.arange(len(first) + 1))
             for r in np.unique(row):
                 a, z = cut[r], cut[r + 1]
                 out[0].append(part.field("doc_id")[r].as_py())
                 out[1].append(part.field("key")[r].as_py())
                 out[2].append(np.stack([start[a:z], end[a:z]], 1).ravel() - first[r])
-                out[3].append(ask[cut_asks[r] : cut_asks[r + 1]].ravel())
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), longs, longs))], ["_id", "_key", "spans", "asks"])
+                out[3].append(ask[cut_asks[r] : cut_asks[r + 1]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["_id", "_key", "spans", "asks"])
 
 
 def repeated_spans(docs: DataFrame, size: int, buckets: int, seed: int = 1) -> DataFrame:
@@ -279,15 +275,15 @@ def repeated_spans(docs: DataFrame, size: int, buckets: int, seed: int = 1) -> D
     sizes, key = levels(size), Key(seed)
     rows = stash(_repeated(_first_level(docs, size, sizes[0], buckets, key), False))
     free_shuffles(docs.sparkSession)
-    for i, (n, more) in enumerate(zip(sizes, sizes[1:])):
-        new = stash(_repeated(_doubled(rows, more - n, buckets, i > 0, key), True))
+    for n, more in zip(sizes, sizes[1:]):
+        new = stash(_repeated(_doubled(rows, more - n, buckets, more == size, key), more == size))
         drop_stash(rows)
         free_shuffles(docs.sparkSession)
         rows = new
     covered = stash(_covered(rows, size, seed))
     drop_stash(rows)
-    joined = covered.drop("asked").join(digests.by_block(covered), "block", "left").join(_where(docs, size), "block", "left").select("rows", "starts", "ends", "asks")
-    return joined.mapInArrow(_spread, "_id long, _key long, spans array<long>, asks array<long>")
+    joined = covered.drop("others").join(digests.by_block(covered), "block", "left").join(_where(docs, size), "block", "left").select("rows", "starts", "ends", "own", "asks")
+    return joined.mapInArrow(_spread, "_id long, _key long, spans array<long>, asks binary")
 
 
 def _digests(texts: DataFrame, salt: bytes) -> DataFrame:
@@ -298,7 +294,7 @@ def _digests(texts: DataFrame, salt: bytes) -> DataFrame:
             out = []
             for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist()):
                 found = (text or "").encode().split()
-                out += [(a["id"], *digests.digest(b" ".join(found[a["start"] : a["start"] + a["n"]]), salt)) for a in asks]
+                out += [(i, *digests.digest(b" ".join(found[a : a + n]), salt)) for a, n, i in digests.stretches(asks)]
             yield digests.batch(out)
 
     return texts.mapInArrow(run, digests.DIGESTS)
