@@ -205,7 +205,7 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 
 def _asked(judged: DataFrame, size: int, seed: int) -> DataFrame:
-    """block, asked: the stretches to digest for the spans that go for one of another block."""
+    """block and SEGMENTS: the stretches to digest for the spans that go for one of another block."""
 
     def run(t: pa.Table) -> pa.Table:
         place, count = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]).astype(np.int64) for c, kind in (("places", "<u4"), ("counts", np.uint8)))
@@ -213,12 +213,10 @@ def _asked(judged: DataFrame, size: int, seed: int) -> DataFrame:
         to = np.concatenate([np.frombuffer(r, "<i8", k) for r, k in zip(raw, n)])
         there = np.concatenate([np.frombuffer(r, "<u4", k, 8 * k) for r, k in zip(raw, n)]).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        block = t.column("block")[0].as_py()
-        asked = digests.segments(block, place[order], count[order], to[order], there[order], size - 1, seed)
-        names = ("block", "start", "n", "id")
-        return pa.table([pa.array([block], pa.int64()), pa.array([[dict(zip(names, x)) for x in asked]], pa.list_(pa.struct([(k, pa.int64()) for k in names])))], ["block", "asked"])
+        own, others = digests.segments(place[order], count[order], to[order], there[order], size - 1, seed)
+        return pa.table([t.column("block").slice(0, 1).combine_chunks(), own, others], ["block", "own", "others"])
 
-    return judged.where(F.length("reps") > 0).groupBy("block").applyInArrow(run, f"block long, asked array<{digests.ASK}>")
+    return judged.where(F.length("reps") > 0).groupBy("block").applyInArrow(run, f"block long, {digests.SEGMENTS}")
 
 
 def _where(docs: DataFrame, size: int) -> DataFrame:
@@ -237,21 +235,22 @@ def _by_document(docs: DataFrame, judged: DataFrame, size: int, seed: int) -> Da
     """_id, _key, want, starts, counts (windows) of each document; asks: stretches of it to digest."""
     # One row per block and kind; a block's rows are bounded by its bytes.
     packed = judged.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "want")).alias("found"))
-    packed = packed.join(digests.by_block(_asked(judged, size, seed)), "block", "full")
-    joined = packed.join(_where(docs, size), "block", "left").select("rows", "found", "asks")
+    asked = stash(_asked(judged, size, seed))
+    packed = packed.join(asked.select("block", "own"), "block", "left").join(digests.by_block(asked), "block", "full")
+    joined = packed.join(_where(docs, size), "block", "left").select("rows", "found", "own", "asks")
 
     def run(batches):
         for b in batches:
             out = []
-            for rows, found, asks in zip(b.column("rows"), b.column("found").to_pylist(), b.column("asks").to_pylist()):
+            for rows, found, own, asks in zip(b.column("rows"), b.column("found").to_pylist(), b.column("own").to_pylist(), b.column("asks")):
                 if rows.as_py() is None:
                     raise ValueError("the documents changed between two readings")
                 first = np.asarray(rows.values.field("first"))
-                row, asks = digests.of_rows(first, asks or ())
+                row, asks = digests.of_rows(first, own, asks)
                 cut = np.searchsorted(row, np.arange(len(first) + 1))
                 for r in np.unique(row):
                     s = rows.values[int(r)].as_py()
-                    out.append((s["doc_id"], s["key"], -1, b"", b"", asks[cut[r] : cut[r + 1]].ravel()))
+                    out.append((s["doc_id"], s["key"], -1, b"", b"", asks[cut[r] : cut[r + 1]].tobytes()))
                 for want in (GONE, OPEN, BUSY):
                     mine = [f for f in found or () if f["want"] == want]
                     place = np.concatenate([np.frombuffer(f["places"], "<u4").astype(np.int64) for f in mine] or [np.zeros(0, np.int64)])
@@ -263,10 +262,10 @@ def _by_document(docs: DataFrame, judged: DataFrame, size: int, seed: int) -> Da
                     for r in np.unique(row):
                         a, z = cut[r], cut[r + 1]
                         s = rows.values[int(r)].as_py()
-                        out.append((s["doc_id"], s["key"], want, (place[a:z] - first[r]).astype("<u4").tobytes(), count[a:z].tobytes(), ()))
-            yield _by(["_id", "_key", "want", "starts", "counts", "asks"], out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))
+                        out.append((s["doc_id"], s["key"], want, (place[a:z] - first[r]).astype("<u4").tobytes(), count[a:z].tobytes(), b""))
+            yield _by(["_id", "_key", "want", "starts", "counts", "asks"], out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
 
-    return joined.mapInArrow(run, "_id long, _key long, want int, starts binary, counts binary, asks array<long>")
+    return joined.mapInArrow(run, "_id long, _key long, want int, starts binary, counts binary, asks binary")
 
 
 def _digests(texts: DataFrame, salt: bytes) -> DataFrame:
@@ -277,7 +276,7 @@ def _digests(texts: DataFrame, salt: bytes) -> DataFrame:
             out = []
             for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist()):
                 raw = (text or "").encode()
-                out += [(a["id"], *digests.digest(raw[a["start"] : a["start"] + a["n"]], salt)) for a in asks]
+                out += [(i, *digests.digest(raw[a : a + n], salt)) for a, n, i in digests.stretches(asks)]
             yield digests.batch(out)
 
     return texts.where("asks is not null").select("text", "asks").mapInArrow(run, digests.DIGESTS)
