@@ -12,9 +12,9 @@ error and match wherever they occur, inside words as well.
 
 For longer items the CGK random walk reads a window symbol by symbol; at every step a random
 bit chosen by step and symbol says whether to move on, so that two windows at a small edit
-distance meet again after an edit and their embeddings have a small Hamming distance. A
-repetition has its own random bits and samples one of each STRIDE steps; the SAMPLES sampled
-symbols are the window's hash. Windows have a fixed size, not the item's: they start at each
+distance meet again after an edit and their embeddings have a small Hamming distance. There are
+`walks` embeddings of random bits of their own, and `samplings` of each: a sampling reads one of
+each STRIDE steps, and the SAMPLES symbols read are the window's hash. Windows have a fixed size, not the item's: they start at each
 word of documents and items, and at each character of a stretch of more than STRETCH bytes
 without a space, so undisturbed stretches anywhere in a leaked item are enough. Hits whose
 embeddings agree in less than `agree` of EMBED steps are dropped, as are, for items of at least
@@ -46,7 +46,7 @@ SAMPLES, STRIDE, EMBED, STRETCH, TWO_HITS = 8, 5, 96, 24, 190
 SHORT = 0
 SPAN = SAMPLES * STRIDE
 _FIRST, _NEAR = 5, 32
-_PIECE, _GAP, _CHUNK = 5, 256, 1 << 12
+_PIECE, _SIDE, _GAP, _CHUNK = 5, 9, 256, 1 << 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[SPACE] = 32
@@ -89,31 +89,37 @@ def window_places(text: np.ndarray) -> np.ndarray:
 
 
 class Walk:
-    """One repetition's random bits and sampled steps."""
+    """Random bits of one embedding, and the steps that each of its samplings reads."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, samplings: int):
         rng = np.random.default_rng(seed)
         self.move = rng.integers(0, 2, (EMBED, 256)).astype(np.uint8)
-        self.steps = np.arange(SAMPLES) * STRIDE + rng.integers(0, STRIDE, SAMPLES)
-
-    def first(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the first samples, and where the walk stands after them."""
-        at = at.astype(np.int32)
-        code = np.zeros(len(at), U64)
-        for j in range(self.steps[_FIRST - 1] + 1):
-            x = text[at]
-            if j in self.steps[:_FIRST]:
-                code = (code << U64(8)) | x
-            at += self.move[j][x]
-        return code, at
-
-    def rest(self, text: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        # One of each STRIDE steps, another for each sampling.
+        order = np.stack([rng.permutation(STRIDE) for _ in range(SAMPLES)])
+        self.steps = [np.arange(SAMPLES) * STRIDE + order[:, s % STRIDE] for s in range(samplings)]
+
+    def first(self, text: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Hashes of the first samples of each sampling, and where the walk stands after them."""
+        at = at.astype(np.intp)
+        codes = [np.zeros(len(at), U64) for _ in self.steps]
+        x, step = np.empty(len(at), np.uint8), np.empty(len(at), np.uint8)
+        for j in range(_FIRST * STRIDE):
+            np.take(text, at, out=x, mode="clip")
+            for code, steps in zip(codes, self.steps):
+                if j in steps[:_FIRST]:
+                    code <<= U64(8)
+                    code |= x
+            np.take(self.move[j], x, out=step, mode="clip")
+            at += step
+        return codes, at
+
+    def rest(self, sampling: int, text: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         key = code
-        for j in range(self.steps[_FIRST - 1] + 1, SPAN):
-            x = text[at]
-            if j in self.steps:
-                key = (key << U64(8)) | x.astype(U64)
-            at = at + self.move[j][x]
+        for j in range(_FIRST * STRIDE, SPAN):
+            x = text.take(at, mode="clip")
+            if j in self.steps[sampling]:
+                key = (key << U64(8)) | x
+            at = at + self.move[j].take(x, mode="clip")
         return key
 
     def embed(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -204,7 +210,7 @@ class Pieces:
         for i, c in enumerate(sorted(rank, key=lambda c: (-rank[c], c))):
             self.symbol[ord(c)] = i % 63 + 1
         seeds: dict[int, list[tuple]] = {}
-        segments, steps = [], []
+        segments, steps, beside = [], [], []
         for k in use:
             code = self.symbol[_points(chars[k])]
             at: dict[tuple[int, int], int] = {}
@@ -219,7 +225,10 @@ class Pieces:
                 for x in code[o : o + n].tolist():
                     key = key << 6 | x
                 seeds.setdefault(n, []).append((key, k, o, at[lo, hi], len(steps)))
-                steps.append([(a - lo, b - a, e, o - a) for a, b, e in inner if b - a > n])
+                # A part of two is told by its other piece alone.
+                steps.append([(a - lo, b - a, e, o - a) for a, b, e in inner if b - a > n and e > 1])
+                beside.append(self.neighbour(code, path))
+        self.beside = np.array(beside, np.int64).reshape(-1, 7).T
         masks = np.zeros((len(segments), 64), U64)
         for i, x in enumerate(segments):
             for j, c in enumerate(x.tolist()):
@@ -237,6 +246,60 @@ class Pieces:
             seen[_fold(table[:, 0].astype(np.uint32), seen)] = True
             self.seeds[n] = (seen, table[:, 0].astype(np.uint32), table[:, 1:])
 
+    @staticmethod
+    def neighbour(code: np.ndarray, path: tuple) -> tuple[int, ...]:
+        """(where it starts from the piece, direction, length, symbols packed outwards) of the next piece of the part.
+
+        In a part of three, of which the piece is the single one, also (place, length, symbols) of the far piece.
+        """
+        a, b, _ = path[0]
+        if len(path) < 2 or path[1][2] > 2:
+            return 0, 1, 0, 0, 0, 0, 0
+        lo, hi, errors = path[1]
+        right = lo == a
+        other = code[b:hi] if right else code[lo:a][::-1]
+        near, far = other, other[:0]
+        if errors == 2:  # the other side is two pieces, cut as tree() cuts them
+            size = len(other) // 2 if right else len(other) - len(other) // 2
+            near, far = other[:size], other[size:][: max(0, _SIDE - 1 - size)]
+            if not len(far):  # no room to tell
+                return 0, 1, 0, 0, 0, 0, 0
+        near = near[:_SIDE]
+        return (b - a, 1, len(near), _packed(near), len(near), len(far), _packed(far)) if right else (-1, -1, len(near), _packed(near), len(near), len(far), _packed(far))
+
+    def plausible(self, symbols: np.ndarray, at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Whether what stands beside a piece found at `at` can be the rest of its part.
+
+        A part of two may hold one error: its other piece follows with a symbol more, less or
+        another at the first difference. A part of three may hold two: then that is true of the
+        next piece, or the far piece follows unchanged, shifted by two symbols at most.
+        """
+        off, way, n, want, place, size, far = self.beside[:, i]
+        have, at = np.zeros(len(at), U64), at + off
+        near = int(n.max(initial=0)) + 1
+        for j in range(near):
+            have |= symbols.take(at, mode="clip").astype(U64) << U64(6 * j)
+            at += way
+        want, n = want.view(U64), n.astype(U64) * U64(6)
+        whole = (U64(1) << n) - U64(1)
+        differ = (have ^ want) & whole
+        low = (differ & (~differ + U64(1))).astype(np.float64)
+        first = (np.maximum(np.frexp(low)[1] - 1, 0) // 6 * 6).astype(U64)
+        other = differ >> first >> U64(6)
+        less = ((have ^ want >> U64(6)) & whole >> U64(6)) >> first
+        more = ((have >> U64(6) ^ want) & whole) >> first
+        ok = (n == 0) | (differ == 0) | (other == 0) | (less == 0) | (more == 0)
+        three = np.flatnonzero(~ok & (size > 0))
+        if len(three):
+            have, far, start, at, way = have[three], far[three].view(U64), place[three], at[three], way[three]
+            for j in range(near, min(int((start + size[three]).max()) + 2, 10)):
+                have |= symbols.take(at, mode="clip").astype(U64) << U64(6 * j)
+                at += way
+            mask = (U64(1) << (size[three].astype(U64) * U64(6))) - U64(1)
+            for shift in (-2, -1, 0, 1, 2):
+                ok[three] |= (have >> (np.maximum(start + shift, 0).astype(U64) * U64(6)) & mask) == far
+        return ok
+
     def within(self, symbols: np.ndarray, at: np.ndarray, segment: np.ndarray, steps: np.ndarray) -> np.ndarray:
         """Where the part of each step occurs around its piece at `at` with its errors at most."""
         off, size, errors, lead = steps.T
@@ -268,30 +331,47 @@ class Pieces:
         if self.symbol[0]:
             for e in [0, *(first + size)]:
                 symbols[e : e + _GAP] = 0
-        found, key, have = [np.zeros((0, 3), np.int64)], np.zeros(len(symbols), np.uint32), 0
+        places, pieces, key, have = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)], np.zeros(len(symbols), np.uint32), 0
         for n, (seen, keys, about) in self.seeds.items():
             while have < n:
                 key = (key[: len(symbols) - have] << np.uint32(6)) | symbols[have:]
                 have += 1
             live = np.concatenate([lo + np.flatnonzero(seen[_fold(key[lo : lo + _CHUNK], seen)]) for lo in range(0, len(key), _CHUNK)])
-            a, b = (np.searchsorted(keys, key[live], side) for side in ("left", "right"))
             for lo in range(0, len(live), 1 << 14):
-                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
-                at = np.repeat(live[lo : lo + (1 << 14)], y - x)
-                entry = np.repeat(x - np.cumsum(y - x) + (y - x), y - x) + np.arange(len(at))
+                at, entry = _equal(keys, key[live[lo : lo + (1 << 14)]], live[lo : lo + (1 << 14)])
                 for part in range(0, len(at), _CHUNK):
-                    p, (k, o, segment, i) = at[part : part + _CHUNK], about[entry[part : part + _CHUNK]].T
-                    for level in self.levels:
-                        check = np.flatnonzero(level[i, 1])
-                        if len(check):
-                            keep = np.ones(len(p), bool)
-                            keep[check] = self.within(symbols, p[check], segment[check], level[i[check]])
-                            p, k, o, segment, i = (v[keep] for v in (p, k, o, segment, i))
-                    row = np.searchsorted(first, p, side="right") - 1
-                    found.append(np.stack([row, k, p - o - first[row]], 1))
+                    p, e = at[part : part + _CHUNK], entry[part : part + _CHUNK]
+                    near = np.flatnonzero(self.plausible(symbols, p, about[e, 3]))
+                    places.append(p[near])
+                    pieces.append(about[e[near]])
+        at, about = np.concatenate(places), np.concatenate(pieces)
+        found = [np.zeros((0, 3), np.int64)]
+        for lo in range(0, len(at), _CHUNK):
+            p, (k, o, segment, i) = at[lo : lo + _CHUNK], about[lo : lo + _CHUNK].T
+            for level in self.levels:
+                check = np.flatnonzero(level[i, 1])
+                if len(check):
+                    keep = np.ones(len(p), bool)
+                    keep[check] = self.within(symbols, p[check], segment[check], level[i[check]])
+                    p, k, o, segment, i = (v[keep] for v in (p, k, o, segment, i))
+            row = np.searchsorted(first, p, side="right") - 1
+            found.append(np.stack([row, k, p - o - first[row]], 1))
         return np.unique(np.concatenate(found), axis=0).tolist()
 
 
+def _equal(keys: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, entry of keys) of each pair of equal keys; keys ascend."""
+    a = np.searchsorted(keys, key)
+    same = np.flatnonzero(keys[np.minimum(a, len(keys) - 1)] == key)
+    a, at = a[same], at[same]
+    n = np.searchsorted(keys, key[same], "right") - a
+    return np.repeat(at, n), np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _packed(code: np.ndarray) -> int:
+    return sum(int(x) << 6 * j for j, x in enumerate(code.tolist()))
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -301,9 +381,9 @@ def _fold(key: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items and, for each repetition, their windows' hashes; the pieces of items under `exact_below` characters."""
+    """Items and, for each sampling of each walk, their windows' hashes; the pieces of items under `exact_below` characters."""
 
-    def __init__(self, items: list[tuple[int, str]], repetitions: int, similarity: float, agree: float, exact_below: int):
+    def __init__(self, items: list[tuple[int, str]], walks: int, samplings: int, similarity: float, agree: float, exact_below: int):
         self.agree = agree
         block = next(blocks(pa.array([t for _, t in items], pa.string()), 1 << 62))
         text, bounds = normal(block)
@@ -321,35 +401,36 @@ class Index:
         use = (ends[owner] - at >= SPAN // 2 + 2) & (sizes[owner] >= exact_below)
         at, owner = at[use], owner[use]
         self.walks = []
-        for seed in range(repetitions if len(at) else 0):
-            walk = Walk(seed)
-            code, to = walk.first(text, at)
-            key = walk.rest(text, code, to)
-            seen = np.zeros(1 << _bits(len(code)), bool)
-            seen[_slot(code, len(seen).bit_length() - 1)] = True
-            order = np.argsort(key, kind="stable")
-            self.walks.append((walk, seen, key[order], owner[order], (at - bounds[owner, 0])[order], walk.embed(text, at[order])))
+        for seed in range(walks if len(at) else 0):
+            walk, tables = Walk(seed, samplings), []
+            codes, to = walk.first(text, at)
+            for sampling, code in enumerate(codes):
+                key = walk.rest(sampling, text, code, to)
+                seen = np.zeros(1 << _bits(len(code)), bool)
+                seen[_slot(code, len(seen).bit_length() - 1)] = True
+                order = np.argsort(key, kind="stable")
+                tables.append((seen, key[order], order))
+            self.walks.append((walk, tables, walk.embed(text, at)))
+        self.owner, self.offset = owner, at - bounds[owner, 0]
         self.need = np.where(sizes < TWO_HITS, 1, np.minimum(np.bincount(owner, minlength=len(items)), 2))
         self.peq = [masks(c) for c in self.chars]
 
     def hits(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (item, where the item would start) by item and start."""
         out = [np.zeros((0, 3), np.int64)]
-        for walk, seen, keys, owner, offset, embedded in self.walks:
-            kept = []
+        for walk, tables, embedded in self.walks:
+            hits = []
             for lo in range(0, len(at), 4 * _CHUNK):
-                code, to = walk.first(text, at[lo : lo + 4 * _CHUNK])
-                near = np.flatnonzero(seen[_slot(code, len(seen).bit_length() - 1)])
-                kept.append((near + lo, walk.rest(text, code[near], to[near])))
-            live, key = (np.concatenate(x) for x in zip(*kept))
-            a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = b - a
-            where = np.repeat(live, n)
-            entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            for lo in range(0, len(where), 4 * _CHUNK):
-                w, e = at[where[lo : lo + 4 * _CHUNK]], entry[lo : lo + 4 * _CHUNK]
+                codes, to = walk.first(text, at[lo : lo + 4 * _CHUNK])
+                for sampling, (code, (seen, keys, order)) in enumerate(zip(codes, tables)):
+                    near = np.flatnonzero(seen[_slot(code, len(seen).bit_length() - 1)])
+                    near, entry = _equal(keys, walk.rest(sampling, text, code[near], to[near]), near)
+                    hits.append(np.stack([near + lo, order[entry]], 1))
+            pairs = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 2), np.int64)
+            for lo in range(0, len(pairs), 4 * _CHUNK):
+                w, e = at[pairs[lo : lo + 4 * _CHUNK, 0]], pairs[lo : lo + 4 * _CHUNK, 1]
                 near = walk.agreeing(text, w, embedded, e, self.agree)
-                out.append(np.stack([owner[e[near]], w[near] - offset[e[near]], offset[e[near]]], 1))
+                out.append(np.stack([self.owner[e[near]], w[near] - self.offset[e[near]], self.offset[e[near]]], 1))
         found = np.unique(np.concatenate(out), axis=0)
         line = (found[:, 0] << 40) + found[:, 1]
         together = np.searchsorted(line, line + _NEAR, "right") - np.searchsorted(line, line - _NEAR, "left")
@@ -366,6 +447,9 @@ class Index:
             self.by_walks(text, bounds, at, found)
         return [(row, k, d) for (row, k), d in found.items()]
 
+    def distance(self, k: int, text: str) -> int:
+        return 0 if self.chars[k] in text else fit_distance(self.peq[k], len(self.chars[k]), text)
+
     def by_pieces(self, rows: list[str], found: dict[tuple[int, int], int]) -> None:
         last: dict[tuple[int, int], int] = {}
         for row, k, p in self.pieces.hits(rows):
@@ -373,7 +457,7 @@ class Index:
                 continue
             last[row, k] = p
             slack = self.most[k] + 16
-            d = fit_distance(self.peq[k], len(self.chars[k]), rows[row][max(0, p - slack) : max(0, p + len(self.chars[k]) + slack)])
+            d = self.distance(k, rows[row][max(0, p - slack) : max(0, p + len(self.chars[k]) + slack)])
             if d <= self.most[k] and d < found.get((row, k), 1 << 30):
                 found[row, k] = d
 
@@ -393,12 +477,12 @@ class Index:
                 a, b = max(bounds[row, 0], p - slack), min(bounds[row, 1], p + int(self.bytes[k]) + self.most[k] + slack)
                 if b - a < int(self.bytes[k]) - self.most[k] * 4:
                     continue
-                d = fit_distance(self.peq[k], len(self.chars[k]), bytes(text[a:b]).decode("utf-8", "replace"))
+                d = self.distance(k, bytes(text[a:b]).decode("utf-8", "replace"))
                 if d <= self.most[k] and d < found.get((row, k), 1 << 30):
                     found[row, k] = d
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetitions: int = 4, agree: float = 0.45, exact_below: int = 160, group_bytes: int = 1 << 23) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, walks: int = 2, samplings: int = 2, agree: float = 0.45, exact_below: int = 160, group_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, item_id, distance of the items that a document holds."""
     bounded_batches(docs.sparkSession)
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -408,7 +492,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repetition
     out = None
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
-        shared = docs.sparkSession.sparkContext.broadcast((sorted((r.item_id, r.text) for r in rows), repetitions, similarity, agree, exact_below))
+        shared = docs.sparkSession.sparkContext.broadcast((sorted((r.item_id, r.text) for r in rows), walks, samplings, similarity, agree, exact_below))
         found = texts.mapInArrow(lean(_searcher(shared)), "doc_id long, item_id long, distance int")
         out = found if out is None else out.unionByName(found)
     return out
@@ -435,4 +519,4 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold an item; documents without a doc_id stay."""
     # Written first: if they are few, Spark sees it and broadcasts them rather than shuffle the texts.
     bad = stash(leaks(docs, items, **options).select(F.col("doc_id").alias("_leaked")).where("_leaked is not null").distinct())
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_leaked"], "left_anti")

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from gridloom.llm import decontaminate
 
@@ -132,3 +134,53 @@ def test_short_items_with_errors_equal_brute_force(spark):
     want = {(d, i, x) for d, t in docs for i, p in items if (x := fit(normal(p), normal(t))) <= int(0.2 * len(normal(p)) + 1e-9)}
     assert {(200, 50, 0), (201, 50, 3), (202, 51, 1)} <= want
     assert {tuple(r) for r in decontaminate.leaks(*frames(spark, docs, items)).collect()} == want
+
+
+def edited(rng, text, share):
+    chars = list(text)
+    for _ in range(int(share * len(text))):
+        i = int(rng.integers(len(chars)))
+        kind = int(rng.integers(3))
+        if kind == 0:
+            chars[i] = "abcdefgh "[int(rng.integers(9))]
+        elif kind == 1:
+            chars.insert(i, "abcdefgh "[int(rng.integers(9))])
+        else:
+            del chars[i]
+    return "".join(chars)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnoprstuvw"), int(rng.integers(2, 9)))) for _ in range(n))
+
+
+@pytest.mark.parametrize("words", [32, 45, 70])
+def test_recall_at_the_full_distance(words):
+    """Items of 160 characters and more with a fifth of their characters edited at random."""
+    rng = np.random.default_rng(words)
+    items = [(k, prose(rng, words).strip()) for k in range(100)]
+    items = [(k, t) for k, t in items if len(t) >= 160]
+    rows = [prose(rng, 30) + " " + edited(rng, t, 0.2) + " " + prose(rng, 30) for _, t in items]
+    index = decontaminate.Index(items, 2, 2, 0.8, 0.45, 160)
+    found = {(block.lo + r, k) for block in decontaminate.blocks(pa.array(rows)) for r, k, _ in index.search(block)}
+    true = [i for i, (_, t) in enumerate(items) if decontaminate.fit_distance(decontaminate.masks(t), len(t), rows[i]) <= int(0.2 * len(t) + 1e-9)]
+    assert len(true) > 70 and sum((i, i) in found for i in true) >= 0.95 * len(true)
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_pieces_miss_nothing(similarity):
+    """Short items of few letters among texts of the same letters: the filters drop no true place."""
+    rng = np.random.default_rng(int(similarity * 10))
+    text = lambda n: "".join(rng.choice(list("abcd "), n)).strip() or "a"
+    items = [(k, " ".join(text(int(rng.integers(2, 90))).split())) for k in range(60)]
+    items = [(k, t) for k, t in items if t]
+    rows = [" ".join((text(60) + edited(rng, items[int(rng.integers(len(items)))][1], 1 - similarity) + text(60)).split()) for _ in range(60)]
+    index = decontaminate.Index(items, 1, 1, similarity, 0.45, 160)
+    found = {(block.lo + r, k): d for block in decontaminate.blocks(pa.array(rows)) for r, k, d in index.search(block)}
+    want = {}
+    for i, row in enumerate(rows):
+        for k, (_, t) in enumerate(items):
+            d = decontaminate.fit_distance(decontaminate.masks(t), len(t), row)
+            if d <= int((1 - similarity) * len(t) + 1e-9):
+                want[i, k] = d
+    assert len(want) > 60 and set(found) == set(want)
