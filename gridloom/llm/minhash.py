@@ -8,7 +8,8 @@ only counts if it falls below the weight), so two documents share a shingle's po
 to the smaller weight. A slot holds its earliest point: slots of two documents agree with
 probability equal to their weighted Jaccard similarity.
 
-Documents of equal words are one text. Texts that agree in a band of `rows` slots are
+Documents of equal words are one text: their lower-cased words have one 128-bit BLAKE2b digest.
+Texts that agree in a band of `rows` slots are
 candidates. Each text is first verified against the smallest id of its bands. Within bands
 that still hold several classes, each text is then verified, in a few rounds, against the
 texts of other classes whose signatures are most like its own; what is joined in a round
@@ -26,36 +27,46 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BYTE_VALUE, U64, Rolling, blocks, bounded_batches, free_shuffles, lean, mix, stash, window_starts, words
+from gridloom.llm.common import U64, Key, Rolling, blocks, bounded_batches, free_shuffles, lean, mix, stash, window_starts, words
 from gridloom.llm.graph import components
 
 SHINGLE = 5
+_KEY = Key(0)
+#: Texts of a band that are compared with each other in one group.
+CHUNK = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP, _LEVEL = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
-def shingles(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash, weight) of a block's distinct shingles, and each text's word-sequence hash pair."""
+def shingles(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle hash, weight) of a block's distinct shingles."""
     start, end, bounds = words(block)
-    h = Rolling(BYTE_VALUE[_LOWER[block.bytes]]).slices(start, end)
-    seq, other = Rolling(h), Rolling(mix(h + U64(1)), 0xA0761D6478BD642F | 1)
-    key = np.stack([seq.slices(bounds[:-1], bounds[1:]), other.slices(bounds[:-1], bounds[1:])], 1)
+    seq = Rolling(_KEY.word_hashes(_LOWER[block.bytes], start, end), _KEY.base)
     at, row = window_starts(bounds, SHINGLE)
     short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SHINGLE))
-    value = np.concatenate([seq.slices(at, at + SHINGLE), key[short, 0]])
+    value = np.concatenate([seq.slices(at, at + SHINGLE), seq.slices(bounds[short], bounds[short + 1])])
     row = np.concatenate([row, short])
     order = np.lexsort((value, row))
     value, row = value[order], row[order]
     first = np.ones(len(row), bool)
     first[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(first)
-    return row[at], value[at], np.diff(np.append(at, len(row))), key
+    return row[at], value[at], np.diff(np.append(at, len(row)))
+
+
+def text_keys(block) -> np.ndarray:
+    """[text, 2]: halves of a digest of each text's words."""
+    raw, off = block.bytes.tobytes().lower(), block.offsets.tolist()
+    keys = [hashlib.blake2b(b" ".join(raw[a:z].split()), digest_size=16).digest() for a, z in zip(off, off[1:])]
+    return np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
 
 
 def _level(i: int) -> np.uint64:
@@ -102,17 +113,18 @@ def bag_minhash(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
 
 
 def signatures(docs: DataFrame, m: int) -> DataFrame:
-    """doc_id, k1, k2 (word-sequence hashes), n (shingles), sig (m values of 4 bytes)."""
+    """doc_id, k1, k2 (a digest of the words), n (shingles), sig (m values of 4 bytes)."""
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text"), 1 << 20):
-                row, value, weight, key = shingles(block)
+                row, value, weight = shingles(block)
+                key = text_keys(block)
                 sig = bag_minhash(row, value, weight, block.n, m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[block.lo : block.hi],
-                        *(pa.array(key[:, j].view(np.int64)) for j in (0, 1)),
+                        *(pa.array(key[:, j]) for j in (0, 1)),
                         pa.array(np.bincount(row, weight, block.n).astype(np.int64)),
                         pa.array([s.tobytes() for s in sig], pa.binary()),
                     ],
@@ -142,7 +154,7 @@ def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
 def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for block in blocks(texts, 1 << 20):
-        row, value, weight, _ = shingles(block)
+        row, value, weight = shingles(block)
         cut = np.searchsorted(row, np.arange(block.n + 1))
         out += [(value[a:b], weight[a:b]) for a, b in zip(cut, cut[1:])]
     return out
@@ -189,18 +201,34 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _chunked(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows of each band by pairs of chunks (x, y): a group holds at most 2 * 512 texts whatever the band's size."""
-    size = rows.groupBy("band").agg(F.ceil(F.count("*") / 512).cast("int").alias("chunks"))
-    rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *columns).groupBy("band", "x", "y")
+    """Rows of each band by pairs of chunks (x, y): a group holds at most about 2 * CHUNK texts whatever the band's size.
+
+    Texts of one class need no comparing, so those of a band's largest class meet only the
+    others (x: a chunk of the largest class, y: of the others); the others also meet among themselves
+    (x <= y, main null). A band that a class fills but for a few texts is copied once for each chunk
+    of these few, not for each of its own.
+    """
+    chunks = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
+    sizes = rows.groupBy("band", "class").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max(F.struct("_n", "class")).alias("_top"), F.sum("_n").alias("_all"))
+    sizes = sizes.select("band", F.col("_top.class").alias("_class"), chunks(F.col("_top._n")).alias("_main"), chunks(F.col("_all") - F.col("_top._n")).alias("_rest"))
+    rows = rows.join(sizes, "band").withColumn("main", F.col("class") == F.col("_class"))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    group = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own_main, own_rest = deal(F.col("_main")), deal(F.col("_rest"))
+    across = F.when(F.col("main"), F.transform(upto(F.col("_rest")), lambda y: group(0, own_main, y))).otherwise(F.transform(upto(F.col("_main")), lambda x: group(0, x, own_rest)))
+    among = F.transform(upto(F.col("_rest")), lambda o: group(1, F.least(own_rest, o), F.greatest(own_rest, o)))
+    rows = rows.withColumn("own", F.when(F.col("main"), -1).otherwise(own_rest)).withColumn("g", F.explode(F.when(F.col("main"), across).otherwise(F.concat(across, among))))
+    return rows.select("band", "g.kind", "g.x", "g.y", "own", *columns).groupBy("band", "kind", "x", "y")
 
 
 def _opened(t: pa.Table, m: int):
     """ids, classes, sizes, signatures of a group, and which texts each may be compared with."""
     ids, cls, own, n = (np.asarray(t.column(c)) for c in ("doc_id", "class", "own", "n"))
-    within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
+    if t.column("kind")[0].as_py() == 0:
+        return ids, cls, n, sig, lambda i, c: (c != c[i]) & ((own < 0) != (own[i] < 0))
+    within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
     return ids, cls, n, sig, lambda i, c: (c != c[i]) & (within | (own != own[i]))
 
 
@@ -314,4 +342,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, that of the smallest id; documents without a doc_id stay."""
     # Written first: if they are few, Spark sees it and broadcasts them rather than shuffle the texts.
     gone = stash(near_duplicates(docs, **options).where("not keep").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -102,6 +102,28 @@ def test_stars_and_chunks_lose_no_pair(spark, monkeypatch):
     assert {r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {0}
 
 
+def test_bands_of_many_chunks_lose_no_pair(spark, monkeypatch):
+    """One class fills its bands but for a few texts; chunks of three texts."""
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = corpus(4, 40)
+    for i in range(40):
+        words = list(base)
+        for _ in range(i % 4 if i < 25 else 3 + i % 3):
+            words[int(rng.integers(120))] = f"x{int(rng.integers(1000))}"
+        rows.append((100 + i, " ".join(words)))
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_sequences_that_polynomial_hashes_confuse(spark):
+    """Texts and words of the a/b doubling sequence and its complement are different texts."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join(x[i] for i in bits) for x in ("ab", "ba"))
+    rows = [(1, " ".join("pq"[i] for i in bits)), (2, " ".join("qp"[i] for i in bits)), (3, f"one two {a} three"), (4, f"one two {b} three"), (5, a), (6, b)]
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == brute(rows)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(i, i + 1) for i in range(0, 40) if i % 10] + [(int(a), int(b)) for a, b in rng.integers(100, 140, (25, 2)) if a != b]
