@@ -7,8 +7,13 @@ with x_i 1 for each distinct term it holds; the pairwise part lets two harmless
 weigh together what neither weighs alone.
 
 The machine is fitted on at most `sample_rows` labelled rows (those of the smallest id
-hashes). Of their terms the `max_terms` with the highest chi-squared statistic, seen in
-at least `min_rows` rows, get parameters; the model's size is bounded by max_terms.
+hashes), in two turns. The first gives parameters to terms that tell something alone: those
+of a chi-squared statistic over 6.6 (at most `max_terms`, seen in `min_rows` rows at least). The
+second looks for pairs in what the first left unexplained: over the `pair_terms` terms that split
+the sample most evenly, the residual is summed over the rows that hold both terms of each pair; a
+sum of over seven standard deviations that neither term shows alone gives both terms
+parameters, and the machine is fitted again from there (at most `max_pairs`, the strongest). So
+terms that are neutral alone and tell only beside others are learned.
 
 Edge cases: null and empty texts have no terms and score the intercept; null labels and
 rows without a text are not learned from; with no usable label, or labels of one kind
@@ -76,29 +81,11 @@ def _raw(machine_parts, idx: np.ndarray, row: np.ndarray, n: int) -> tuple[np.nd
     return w0 + np.bincount(row, w[idx], n) + 0.5 * ((s**2).sum(1) - q), s
 
 
-def fit(y: np.ndarray, off: np.ndarray, flat: np.ndarray, max_terms: int = 4096, min_rows: int = 4, rank: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4) -> Machine:
-    """Fit to rows (y[i], terms flat[off[i]:off[i+1]]) by mini-batch AdaGrad."""
-    n, pos = len(y), int(y.sum())
-    none = Machine(np.zeros(0, U64), float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0, np.float32), np.zeros((0, rank), np.float32))
-    if pos in (0, n):
-        return none
-    row = np.repeat(np.arange(n), np.diff(off))
-    terms, inv = np.unique(flat, return_inverse=True)
-    df = np.bincount(inv, minlength=len(terms))
-    with_pos = np.bincount(inv, y[row], len(terms))
-    expected = df * (pos / n)
-    chi2 = (with_pos - expected) ** 2 * n / np.maximum(expected * (1 - pos / n) * (n - df + 1e-9), 1e-9)
-    chi2[df < min(min_rows, max(2, n // 100))] = 0
-    kept = np.sort(np.argsort(-chi2, kind="stable")[:max_terms])
-    kept = kept[chi2[kept] > 6.6]
-    slot = np.full(len(terms), -1)
-    slot[kept] = np.arange(len(kept))
-    use = slot[inv] >= 0
-    idx, row = slot[inv][use], row[use]
-    first = np.searchsorted(row, np.arange(n + 1))
-    k = len(kept)
+def _train(y: np.ndarray, idx: np.ndarray, first: np.ndarray, v: np.ndarray, epochs: int, rate: float, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(intercept, linear, factors) of rows idx[first[i]:first[i+1]] by mini-batch AdaGrad, from factors v."""
+    n, pos, (k, rank) = len(y), int(y.sum()), v.shape
     rng = np.random.default_rng(7)
-    w0, w, v = float(np.log((pos + 1) / (n - pos + 1))), np.zeros(k), rng.normal(0, 0.02, (k, rank))
+    w0, w, v = float(np.log((pos + 1) / (n - pos + 1))), np.zeros(k), v.copy()
     g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, rank), 1e-8)
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -118,7 +105,70 @@ def fit(y: np.ndarray, off: np.ndarray, flat: np.ndarray, max_terms: int = 4096,
             gv[u] += dv * dv
             w[u] -= rate * dw / np.sqrt(gw[u])
             v[u] -= 0.5 * rate * dv / np.sqrt(gv[u])
-    return Machine(terms[kept], w0, w.astype(np.float32), v.astype(np.float32))
+    return w0, w, v
+
+
+def pairs(residual: np.ndarray, idx: np.ndarray, row: np.ndarray, k: int, max_pairs: int, least: float = 7.0) -> list[tuple[int, int, int]]:
+    """(term, term, sign) of the pairs of k terms in whose common rows the residual is far from 0, the strongest first."""
+    n, spread = len(residual), max(float((residual**2).mean()), 1e-12)
+    held = np.zeros((n, k), np.float32)
+    held[row, idx] = 1
+    df = held.sum(0)
+    alone = np.abs(residual @ held) / np.sqrt(spread * np.maximum(df, 1))
+    weighted = held * residual[:, None].astype(np.float32)
+    out = []
+    for lo in range(0, k, 512):
+        sums = weighted[:, lo : lo + 512].T @ held[:, lo:]
+        # Two terms share at most the rows of the rarer one: a bound from below, then the exact figure.
+        bound = np.abs(sums) / np.sqrt(spread * np.maximum(np.minimum(df[lo : lo + 512, None], df[None, lo:]), 1))
+        for i, j in zip(*np.nonzero(bound > 0.6 * least)):
+            a, b = lo + int(i), lo + int(j)
+            both = residual[(held[:, a] > 0) & (held[:, b] > 0)]
+            z = abs(both.sum()) / np.sqrt(max((both**2).sum(), spread * len(both)))
+            if a < b and z > least and z > max(alone[a], alone[b]) + 2:
+                out.append((z, a, b, 1 if sums[i, j] > 0 else -1))
+    return [x[1:] for x in sorted(out, reverse=True)[:max_pairs]]
+
+
+def fit(y: np.ndarray, off: np.ndarray, flat: np.ndarray, max_terms: int = 4096, min_rows: int = 4, pair_terms: int = 4096, max_pairs: int = 64, rank: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4) -> Machine:
+    """Fit to rows (y[i], terms flat[off[i]:off[i+1]])."""
+    n, pos = len(y), int(y.sum())
+    none = Machine(np.zeros(0, U64), float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0, np.float32), np.zeros((0, rank), np.float32))
+    if pos in (0, n):
+        return none
+    row = np.repeat(np.arange(n), np.diff(off))
+    terms, inv = np.unique(flat, return_inverse=True)
+    df = np.bincount(inv, minlength=len(terms))
+    expected = df * (pos / n)
+    chi2 = (np.bincount(inv, y[row], len(terms)) - expected) ** 2 * n / np.maximum(expected * (1 - pos / n) * (n - df + 1e-9), 1e-9)
+    often = df >= min(min_rows, max(2, n // 100))
+    chi2[~often] = 0
+    kept = np.sort(np.argsort(-chi2, kind="stable")[:max_terms])
+    kept = kept[chi2[kept] > 6.6]
+
+    def trained(kept: np.ndarray, v: np.ndarray):
+        slot = np.full(len(terms), -1)
+        slot[kept] = np.arange(len(kept))
+        use = slot[inv] >= 0
+        idx, at = slot[inv][use], row[use]
+        parts = _train(y, idx, np.searchsorted(at, np.arange(n + 1)), v, epochs, rate, l2)
+        return parts, _raw(parts, idx, at, n)[0]
+
+    noise = np.random.default_rng(7).normal(0, 0.02, (len(terms), rank))
+    parts, raw = trained(kept, noise[kept])
+    # In a second turn, the pairs of terms in what is left.
+    even = np.sort(np.argsort(-np.minimum(df, n - df), kind="stable")[:pair_terms])
+    slot = np.full(len(terms), -1)
+    slot[even] = np.arange(len(even))
+    use = slot[inv] >= 0
+    found = pairs(y - 1 / (1 + np.exp(-np.clip(raw, -35, 35))), slot[inv[use]], row[use], len(even), max_pairs)
+    if found:
+        for r, (a, b, sign) in enumerate(found):
+            noise[even[a], r % rank] += 0.3
+            noise[even[b], r % rank] += 0.3 * sign
+        kept = np.union1d(kept, even[[x for a, b, _ in found for x in (a, b)]])
+        parts, _ = trained(kept, noise[kept])
+    return Machine(terms[kept], parts[0], parts[1].astype(np.float32), parts[2].astype(np.float32))
 
 
 def _terms_of_sample(batches):
