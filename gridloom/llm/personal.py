@@ -9,7 +9,8 @@ distinct seeds mark the unseen identifiers in their slots.
 
 Everything is DataFrame and SQL functions; no Python runs on the executors. Patterns use
 possessive loops and anchors where that changes no match, so that long texts need neither
-deep stacks nor quadratic time.
+deep stacks nor quadratic time. Arrays are scanned in chunks (see scan), so that the time
+grows as the number of a text's spans. A context's words are whole, however long they are.
 
 Edge cases: null and empty texts have no spans; repeated doc_ids are rows of their own
 as long as their texts differ, and each gets its own spans; an empty table gives no
@@ -61,6 +62,41 @@ def _valid(kind: str, s: Column) -> Column:
     return F.when(n.between(13, 19), luhn(_digits(s))).otherwise(False)
 
 
+#: Entries of an array that are scanned together: what a chunk gives is copied once for each of its entries.
+CHUNK = 32
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value computed once: expressions within a lambda are computed for every entry."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """Array of the entries emit(state, item) that are not null, in order; step(state, item) is the next state.
+
+    Appending to an array copies it. So the states before each chunk are found first, then what each chunk
+    gives, which keeps the time near to linear in the length.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(chunk: Column, state: Column) -> Column:
+        def one(a, x):
+            found = emit(a["state"], x)
+            return F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], F.filter(F.array(found), lambda f: f.isNotNull())).alias("out"))
+
+        return F.aggregate(chunk, F.struct(state.alias("state"), none.alias("out")), one, lambda a: a["out"])
+
+    def chunked(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def found(chunks: Column) -> Column:
+        start = F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("before"))
+        states = F.aggregate(chunks, start, lambda a, c: F.struct(F.aggregate(c, a["state"], step).alias("state"), F.concat(a["before"], F.array(a["state"])).alias("before")), lambda a: a["before"])
+        return F.flatten(F.zip_with(chunks, states, within))
+
+    return _let(items, lambda x: F.when(F.size(x) > CHUNK, _let(chunked(x), found)).otherwise(within(x, zero)))
+
+
 def _matches(text: Column, pattern: str, kind: str, build, use) -> Column:
     """An array of build(start, match) for a pattern's matches that pass use(match); kind is the result's struct type.
 
@@ -68,14 +104,13 @@ def _matches(text: Column, pattern: str, kind: str, build, use) -> Column:
     """
     between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.aggregate(
-        F.zip_with(between, found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(x["value"].isNotNull() & use(x["value"]), F.concat(a["spans"], F.array(build(a["at"] + x["gap"], x["value"])))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
+    items = F.zip_with(between, found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    return scan(
+        items,
+        F.lit(0),
+        lambda at, x: at + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)),
+        lambda at, x: F.when(x["value"].isNotNull() & use(x["value"]), build(at + x["gap"], x["value"])),
+        kind,
     )
 
 
@@ -102,12 +137,34 @@ _MARKS = r"^[\"'(\[<{]+|[\"')\]>},;:!?.]+$"
 
 def _contexts(text: Column, start: Column, end: Column) -> Column:
     """A span's lexical patterns: the two words before it; the words on either side."""
-    before = F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
-    two = F.lower(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1))
-    one = F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1))
-    after = F.lower(F.regexp_extract(F.substring(text, end + 1, F.lit(40)), r"^\S*\s*(\S+)", 1))
-    patterns = F.array(F.when(two != "", F.regexp_replace(two, r"\s+", " ")), F.when((one != "") & (after != ""), F.concat(one, F.lit(" * "), after)))
-    return F.filter(patterns, lambda p: p.isNotNull())
+    # Texts on either side: longer ones where the words do not end within shorter ones.
+    pick = lambda sides, whole: F.coalesce(*(F.when(s.rlike(whole), s) for s in sides[:-1]), sides[-1])
+    before = [F.substring(text, F.greatest(start - n + 1, F.lit(1)), F.least(start, F.lit(n))) for n in (80, 4096)]
+    before = pick([*before, F.substring(text, F.lit(1), start)], r"\s\S+\s+\S+\s*$")
+    after = [F.substring(text, end + 1, F.lit(n)) for n in (40, 4096)]
+    after = pick([*after, F.substring(text, end + 1, F.length(text))], r"^\S*\s+\S+\s")
+
+    def patterns(before: Column, after: Column) -> Column:
+        two = F.lower(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1))
+        one = F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1))
+        next_ = F.lower(F.regexp_extract(after, r"^\S*\s*(\S+)", 1))
+        found = F.array(F.when(two != "", F.regexp_replace(two, r"\s+", " ")), F.when((one != "") & (next_ != ""), F.concat(one, F.lit(" * "), next_)))
+        return F.filter(found, lambda p: p.isNotNull())
+
+    return _let(F.struct(before.alias("before"), after.alias("after")), lambda x: patterns(x["before"], x["after"]))
+
+
+_FREE = "struct<start:int,end:int,value:string,rank:int>"
+
+
+def _free(candidates: Column, base: Column) -> Column:
+    """Candidates that overlap no base span: two sweeps over both in order, one from either end."""
+    entry = lambda s, rank: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(rank).alias("rank"))
+    both = F.concat(F.transform(base, lambda s: entry(s, 0)), F.transform(candidates, lambda s: entry(s, 1)))
+    forward = scan(F.array_sort(both), F.lit(0), lambda at, x: F.when(x["rank"] == 0, F.greatest(at, x["end"])).otherwise(at), lambda at, x: F.when((x["rank"] == 0) | (x["start"] >= at), x), _FREE)
+    far = F.lit(2**31 - 1)
+    backward = scan(F.reverse(forward), far, lambda at, x: F.when(x["rank"] == 0, F.least(at, x["start"])).otherwise(at), lambda at, x: F.when((x["rank"] == 1) & (x["end"] <= at), x), _FREE)
+    return F.when(F.size(base) == 0, F.transform(candidates, lambda s: entry(s, 1))).otherwise(backward)
 
 
 def _candidates(text: Column) -> Column:
@@ -150,11 +207,14 @@ def discover(docs: DataFrame, rounds: int = 3, least: float = 0.8, seeds: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = base_spans(docs.where(F.col("text").rlike("[@0-9]")))
     text = F.col("text")
-    near = found.select("doc_id", F.xxhash64("text").alias("key"), "text", F.explode("base").alias("s"))
-    seeds_at = near.select("doc_id", "key", F.col("s.kind"), F.col("s.start"), F.col("s.end"), F.col("s.value"), F.explode(_contexts(text, F.col("s.start"), F.col("s.end"))).alias("pattern"))
-    free = F.filter(_candidates(text), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    others = found.select("doc_id", F.xxhash64("text").alias("key"), "text", F.explode(free).alias("s"))
-    others = others.select("doc_id", "key", F.lit(None).cast("string").alias("kind"), F.col("s.start"), F.col("s.end"), F.col("s.value"), F.explode(_contexts(text, F.col("s.start"), F.col("s.end"))).alias("pattern"))
+    def placed(spans: Column, kind) -> DataFrame:
+        """A row for each span and pattern; the contexts are found first, so that no text is copied to each span."""
+        told = F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(text, s["start"], s["end"]).alias("patterns")))
+        rows = found.select("doc_id", F.xxhash64("text").alias("key"), F.explode(told).alias("s"))
+        return rows.select("doc_id", "key", "s.kind", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
+
+    seeds_at = placed(F.col("base"), lambda s: s["kind"])
+    others = placed(_free(_candidates(text), F.col("base")), lambda s: F.lit(None).cast("string"))
     seen = stash(seeds_at.unionByName(others))
     trusted = learn_patterns(seen.select("pattern", F.lower("value").alias("instance"), "kind"), rounds, least, seeds)
     added = seen.where("kind is null").drop("kind").join(trusted, "pattern").groupBy("doc_id", "key", "start", "end").agg(F.min("kind").alias("kind"), F.first("value").alias("value"))
