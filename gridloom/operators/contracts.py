@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.config import Fusion, Grid
+from gridloom.config import Fusion, Grid, Limits
 from gridloom.functions.lattice import d, floor_div, pick
 
 LIMIT = 1 << 25
@@ -117,6 +117,142 @@ def lifecycle_violations(tracks: DataFrame, max_misses: int = 3) -> DataFrame:
     return t.withColumn("rule", wrong).where("rule is not null").select("sequence", "frame_id", "track_id", "rule")
 
 
+# The stages of a result, each with its schema number, and what later stages must bring along.
+STAGES = {"diagnostic": 1, "semantic": 2, "candidate": 3, "tracking": 4, "visibility": 5, "complete": 6}
+_SHA = "^[0-9a-f]{64}$"
+
+
+def identity_violations(results: DataFrame, scans: DataFrame) -> DataFrame:
+    """sequence, frame_id, rule of results that are not of the scan they name.
+
+    results: sequence, frame_id, arrival (their order), ts_ns, schema, stage, run_id, revision, scan_digest, config_digest, weights_digest
+    (null: no model), pose_quality, n_input; scans: sequence, frame_id, scan_ns, digest, n_points.
+    """
+    w = Window.partitionBy("sequence").orderBy("arrival", "frame_id")
+    r = results.withColumns({"_frame": F.max("frame_id").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_ts": F.max("ts_ns").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    j = r.join(scans, ["sequence", "frame_id"], "left")
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv]), F.col("stage"))
+    sha = lambda c: F.coalesce(F.col(c).rlike(_SHA), F.lit(False))
+    learned = F.col("stage").isin("semantic", "candidate", "tracking", "visibility")
+    rules = {
+        "stage": number.isNull(),
+        "schema": F.coalesce(number != F.col("schema"), F.lit(False)),
+        "provenance": F.coalesce(F.col("run_id") == "", F.lit(True)) | ~sha("revision") | ~sha("config_digest"),
+        "scan": F.col("digest").isNull() | (F.col("digest") != F.col("scan_digest")) | (F.col("scan_ns") != F.col("ts_ns")),
+        "order": F.coalesce((F.col("frame_id") <= F.col("_frame")) | (F.col("ts_ns") <= F.col("_ts")), F.lit(False)),
+        "count": F.coalesce(F.col("n_input") != F.col("n_points"), F.lit(False)),
+        "pose": ~F.col("pose_quality").isin("unverified", "verified", "degraded") | ((F.col("stage") == "complete") & (F.col("pose_quality") == "unverified")),
+        "model": (learned & ~sha("weights_digest")) | ((F.col("stage") == "diagnostic") & F.col("weights_digest").isNotNull()),
+    }
+    return _broken(j, rules, "sequence", "frame_id")
+
+
+def _broken(df: DataFrame, rules: dict[str, Column], *keep: str) -> DataFrame:
+    """keep, rule of each row and rule that it breaks."""
+    hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    return df.select(*keep, F.explode(hits).alias("rule"))
+
+
+def point_violations(points: DataFrame, source: DataFrame, stage: str) -> DataFrame:
+    """frame_id, point_id, rule of result points (frame_id, point_id, place, semantic, confidence, support, reason, motion).
+
+    source (frame_id, point_id, at) are the scan's points and their order; accepted ones keep it.
+    """
+    j = points.join(source.select("frame_id", "point_id", "at"), ["frame_id", "point_id"], "left")
+    before = F.max("at").over(Window.partitionBy("frame_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    j = j.withColumn("_before", before)
+    unit = lambda c: F.col(c).isNotNull() & F.col(c).between(0, 1) & ~F.isnan(c)
+    rules = {
+        "alignment": F.col("at").isNull() | (F.col("at") <= F.col("_before")),
+        "class": ~F.col("semantic").between(0, 19) | ~F.col("motion").between(0, 2),
+        "confidence": ~unit("confidence"),
+        "support": ~F.col("support").between(0, 2) | ~F.col("reason").between(0, 2),
+        "unknown-reason": (F.col("semantic") == 0) & (F.col("reason") == 0),
+        "unsupported": (F.col("semantic") != 0) & (F.col("support") == 0),
+    }
+    if stage == "diagnostic":
+        rules["claims"] = (F.col("semantic") != 0) | (F.col("motion") != 0) | (F.col("support") != 0)
+    elif stage != "complete":
+        rules["claims"] = (F.col("motion") != 0) | (F.col("support") != (F.col("semantic") != 0).cast("int"))
+    return _broken(j, rules, "frame_id", "point_id")
+
+
+def instance_violations(instances: DataFrame, points: DataFrame, atol: float = 1e-6) -> DataFrame:
+    """frame_id, instance_id, rule of instances that do not follow from their points.
+
+    instances: frame_id, instance_id, semantic, score, status, point_ids, x0 .. z1 (bounds), center_x .. center_z;
+    points: frame_id, point_id, mx, my, mz, semantic, the accepted points. Bounds and classes are computed again
+    from the points; one point is of one instance at most; ids count from 0 in a frame.
+    """
+    key = ("frame_id", "instance_id")
+    own = instances.select(*key, "semantic", F.explode("point_ids").alias("point_id"))
+    j = own.join(points.select("frame_id", "point_id", "mx", "my", "mz", F.col("semantic").alias("_class")), ["frame_id", "point_id"], "left")
+    shared = own.groupBy("frame_id", "point_id").agg(F.count_distinct("instance_id").alias("_owners")).where("_owners > 1")
+    j = j.join(shared, ["frame_id", "point_id"], "left")
+    again = j.groupBy(*key).agg(
+        F.count_if(F.col("mx").isNull()).alias("_lost"),
+        F.count_if((F.col("semantic") != 0) & (F.col("_class") != F.col("semantic"))).alias("_other"),
+        F.count_if(F.col("_owners").isNotNull()).alias("_shared"),
+        *[f(f"m{a}").alias(f"_{n}_{a}") for a in "xyz" for n, f in (("low", F.min), ("high", F.max))],
+    )
+    out = instances.join(again, list(key), "left").withColumn("_nth", F.row_number().over(Window.partitionBy("frame_id").orderBy("instance_id")) - 1)
+    n, geometry, bounds = F.size("point_ids"), F.lit(False), F.lit(False)
+    for a in "xyz":
+        low, high, centre = F.col(f"{a}0"), F.col(f"{a}1"), F.col(f"center_{a}")
+        known = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < d(float("inf"))), F.lit(False))
+        geometry = geometry | ~known(low) | ~known(high) | ~known(centre) | (low > centre) | (centre > high)
+        bounds = bounds | (F.abs(low - F.col(f"_low_{a}")) > atol) | (F.abs(high - F.col(f"_high_{a}")) > atol)
+    rules = {
+        "id": F.col("instance_id") != F.col("_nth"),
+        "support": (n < 1) | (F.coalesce("_lost", F.lit(0)) > 0) | (F.size(F.array_distinct("point_ids")) != n),
+        "support-order": F.sort_array("point_ids") != F.col("point_ids"),
+        "overlap": F.coalesce("_shared", F.lit(0)) > 0,
+        "class": ~F.col("semantic").between(0, 19) | F.isnan("score") | ~F.col("score").between(0, 1),
+        "status": ~F.col("status").isin("observed", "ambiguous"),
+        "ambiguity": (F.col("status") == "observed") & ((F.col("semantic") == 0) | (n < 3)),
+        "geometry": geometry,
+        "bounds": bounds,
+        "class-support": F.coalesce("_other", F.lit(0)) > 0,
+    }
+    return _broken(out, rules, *key)
+
+
+def track_violations(tracks: DataFrame, instances: DataFrame) -> DataFrame:
+    """sequence, frame_id, track_id, rule of single track rows; instances: sequence, frame_id, instance_id of the same frames."""
+    known = instances.select("sequence", "frame_id", F.col("instance_id").alias("_own")).distinct()
+    j = tracks.join(known, (tracks["sequence"] == known["sequence"]) & (tracks["frame_id"] == known["frame_id"]) & (tracks["instance_id"] == known["_own"]), "left").select(*(tracks[c] for c in tracks.columns), "_own")
+    j = j.withColumn("_times", F.count("*").over(Window.partitionBy("sequence", "frame_id", "track_id")))
+    rules = {
+        "id": (F.col("track_id") < 0) | (F.col("_times") > 1),
+        "instance": F.col("instance_id").isNotNull() & F.col("_own").isNull(),
+        "lifecycle": ~F.col("lifecycle").isin("tentative", "confirmed", "occluded", "expired"),
+        "time": (F.col("birth_ns") < 0) | (F.col("birth_ns") > F.col("last_observed_ns")) | (F.col("last_observed_ns") > F.col("ts_ns")),
+        "confidence": F.isnan("confidence") | ~F.col("confidence").between(0, 1),
+    }
+    return _broken(j, rules, "sequence", "frame_id", "track_id")
+
+
+def resource_rules(limits: Limits = Limits()) -> dict[str, Column]:
+    """Rules of a frame's diagnostics (input_points, map_cells, track_count, cells, tracks, queue_depth, queue_age_ms,
+    dropped, invalid, process_ms, rss, device, device_status, swap, receipt, audit, disk_free); what is null is not judged."""
+    c = F.col
+    over = {
+        "points": c("input_points") > limits.max_points, "map": c("map_cells") > limits.max_map_cells, "tracks": c("track_count") > limits.max_tracks,
+        "queue": c("queue_depth") > limits.max_queue_depth, "queue-age": c("queue_age_ms") > d(limits.max_queue_age_ms), "memory": c("rss") > limits.max_process_rss_bytes,
+        "device": c("device") > limits.max_device_memory_bytes, "swap": c("swap") > limits.max_swap_delta_bytes, "receipt": c("receipt") > limits.max_receipt_bytes,
+        "audit": c("audit") > limits.max_audit_bytes, "disk": c("disk_free") < limits.min_disk_free_bytes,
+    }
+    counters = ("queue_depth", "dropped", "invalid", "rss", "device", "swap", "receipt", "audit", "disk_free")
+    negative = F.exists(F.array(*[c(n).cast("long") for n in counters]), lambda x: F.coalesce(x < 0, F.lit(False)))
+    wrong = {
+        "timing": F.isnan("process_ms") | (c("process_ms") < 0) | (c("process_ms") == d(float("inf"))),
+        "counter": negative,
+        "state-size": (c("map_cells") != c("cells")) | (c("track_count") != c("tracks")),
+        "device-sample": ~c("device_status").isin("unavailable", "sampled") | ((c("device_status") == "sampled") & c("device").isNull()),
+    }
+    return {n: F.coalesce(x, F.lit(False)) for n, x in (over | wrong).items()}
+
+
 def gate(value: Column, limit: float | None, at_most: bool) -> Column:
     """passed, failed, or not-verified where the value or the limit is missing or not finite."""
     if limit is None:

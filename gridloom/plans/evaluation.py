@@ -300,6 +300,91 @@ def visibility_contract(spark, sf_dir):
     return out.drop("one")
 
 
+def _frames(spark, sf_dir):
+    """A result and a scan for each event: 40 sequences of frames; some results are forged."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 40).alias("sequence"), F.expr("event_id div 40").alias("frame_id"))
+    k, sha = F.col("event_id"), F.sha2(F.col("event_id").cast("string"), 256)
+    scans = e.where(k % 101 != 7).select("sequence", "frame_id", (F.col("frame_id") * 100_000_000).alias("scan_ns"), sha.alias("digest"), (k % 1000).alias("n_points"))
+    stage = F.when(k % 41 == 3, "draft").otherwise(F.element_at(F.array(*map(F.lit, contracts.STAGES)), (k % 6 + 1).cast("int")))
+    results = e.select(
+        "sequence", "frame_id", F.when(k % 53 == 1, F.col("frame_id") - 2).otherwise(F.col("frame_id")).alias("arrival"),
+        (F.col("frame_id") * 100_000_000 + F.when(k % 59 == 2, 1).otherwise(0)).alias("ts_ns"), (k % 6 + F.when(k % 37 == 5, 2).otherwise(1)).cast("int").alias("schema"), stage.alias("stage"),
+        F.when(k % 43 == 9, "").otherwise("run").alias("run_id"), sha.alias("revision"), F.when(k % 47 == 4, F.lit("none")).otherwise(sha).alias("config_digest"),
+        F.when(k % 31 == 6, F.sha2(F.lit("other"), 256)).otherwise(sha).alias("scan_digest"), F.when((k % 6 == 0) & (k % 29 != 8), F.lit(None)).otherwise(sha).alias("weights_digest"),
+        F.when(k % 23 == 2, "unverified").otherwise("verified").alias("pose_quality"), (k % 1000 + F.when(k % 61 == 11, 1).otherwise(0)).alias("n_input"),
+    )
+    return results, scans
+
+
+@query("""WITH e AS (SELECT event_id AS k, event_id % 40 AS sequence, event_id // 40 AS frame_id, sha256(CAST(event_id AS VARCHAR)) AS h FROM events),
+r AS (SELECT *, frame_id - CASE WHEN k % 53 = 1 THEN 2 ELSE 0 END AS arrival, frame_id * 100000000 + CASE WHEN k % 59 = 2 THEN 1 ELSE 0 END AS ts FROM e),
+o AS (SELECT *, max(frame_id) OVER w AS f0, max(ts) OVER w AS t0 FROM r WINDOW w AS (PARTITION BY sequence ORDER BY arrival, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT unnest(['stage', 'schema', 'provenance', 'scan', 'order', 'count', 'pose', 'model']) AS rule, unnest([k % 41 = 3, k % 41 <> 3 AND k % 37 = 5, k % 43 = 9 OR k % 47 = 4,
+ k % 101 = 7 OR k % 31 = 6 OR k % 59 = 2, coalesce(frame_id <= f0 OR ts <= t0, false), k % 101 <> 7 AND k % 61 = 11, k % 41 <> 3 AND k % 6 = 5 AND k % 23 = 2, k % 41 <> 3 AND k % 6 = 0 AND k % 29 = 8]) AS bad FROM o)
+SELECT rule, count(*) AS broken FROM b WHERE bad GROUP BY rule""")
+def identity_contract(spark, sf_dir):
+    """Results that are not of their scan, out of order, or without provenance, by rule."""
+    results, scans = _frames(spark, sf_dir)
+    return contracts.identity_violations(results, scans).groupBy("rule").agg(F.count("*").alias("broken"))
+
+
+@query("""WITH p AS (SELECT event_id AS k, event_id % 16 AS frame_id, event_id AS at, CASE WHEN event_id % 71 = 3 THEN event_id - 100 ELSE event_id END AS place, CASE WHEN event_id % 67 = 5 THEN -event_id - 1 ELSE event_id END AS point_id,
+ CASE WHEN event_id % 61 = 7 THEN 23 ELSE event_id % 20 END AS semantic, CASE WHEN event_id % 59 = 8 THEN 1.5 ELSE 0.5 END AS confidence, CASE WHEN event_id % 20 = 0 THEN 0 WHEN event_id % 53 = 2 THEN 0 ELSE 1 END AS support, CASE WHEN event_id % 20 = 0 AND event_id % 60 <> 0 THEN 1 ELSE 0 END AS reason, CASE WHEN event_id % 47 = 6 THEN 1 ELSE 0 END AS motion FROM events),
+j AS (SELECT p.*, s.at AS own FROM p LEFT JOIN (SELECT event_id AS at, event_id % 16 AS f FROM events) s ON s.at = p.point_id AND s.f = p.frame_id),
+o AS (SELECT *, max(own) OVER (PARTITION BY frame_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM j),
+b AS (SELECT unnest(['alignment', 'class', 'confidence', 'unknown-reason', 'unsupported', 'claims']) AS rule, unnest([own IS NULL OR coalesce(own <= prior, false), semantic > 19, confidence > 1, semantic = 0 AND reason = 0, semantic <> 0 AND support = 0, motion <> 0 OR support <> CASE WHEN semantic <> 0 THEN 1 ELSE 0 END]) AS bad FROM o)
+SELECT rule, count(*) AS broken FROM b WHERE bad GROUP BY rule""")
+def point_contract(spark, sf_dir):
+    """Result points that break their contract, by rule."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("k"), (F.col("event_id") % 16).alias("frame_id"))
+    k = F.col("k")
+    source = e.select("frame_id", k.alias("point_id"), k.alias("at"))
+    points = e.select(
+        "frame_id", F.when(k % 67 == 5, -k - 1).otherwise(k).alias("point_id"), F.when(k % 71 == 3, k - 100).otherwise(k).alias("place"), F.when(k % 61 == 7, 23).otherwise(k % 20).cast("int").alias("semantic"), F.when(k % 59 == 8, 1.5).otherwise(0.5).alias("confidence"),
+        F.when((k % 20 == 0) | (k % 53 == 2), 0).otherwise(1).alias("support"), F.when((k % 20 == 0) & (k % 60 != 0), 1).otherwise(0).alias("reason"), F.when(k % 47 == 6, 1).otherwise(0).alias("motion"),
+    )
+    return contracts.point_violations(points, source, "candidate").groupBy("rule").agg(F.count("*").alias("broken"))
+
+
+@query("""WITH p AS (SELECT event_id AS k, event_id // 60 AS frame_id, (event_id % 60) // 6 AS i, CAST(event_id * 7919 % 1000 AS DOUBLE) / 10 AS x, CAST(event_id * 31 % 1000 AS DOUBLE) / 10 AS y FROM events),
+g AS (SELECT frame_id, i, 1 + i % 8 AS c, list_sort(list(k)) AS ids, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, frame_id * 10 + i AS n FROM p GROUP BY frame_id, i),
+f AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY i) - 1 AS nth FROM g),
+b AS (SELECT unnest(['id', 'support', 'overlap', 'class', 'status', 'ambiguity', 'geometry', 'bounds', 'class-support']) AS rule, unnest([i <> nth, n % 17 = 2, false, n % 19 = 3, n % 23 = 4, n % 23 <> 4 AND len(ids) + CASE WHEN n % 17 = 2 THEN 1 ELSE 0 END < 3, n % 29 = 5, n % 31 = 6, n % 37 = 7]) AS bad FROM f)
+SELECT rule, count(*) AS broken FROM b WHERE bad GROUP BY rule""")
+def instance_contract(spark, sf_dir):
+    """Instances that do not follow from their points, by rule."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("point_id"), F.expr("event_id div 60").alias("frame_id"), F.expr("event_id % 60 div 6").alias("i"))
+    k, i = F.col("point_id"), F.col("i")
+    p = e.select("*", (k * 7919 % 1000 / d(10)).alias("mx"), (k * 31 % 1000 / d(10)).alias("my"), d(0).alias("mz"), F.when((F.col("frame_id") * 10 + i) % 37 == 7, 19).otherwise(1 + i % 8).alias("semantic"))
+    n = F.col("frame_id") * 10 + i
+    g = p.groupBy("frame_id", "i").agg(F.sort_array(F.collect_list("point_id")).alias("ids"), *[f(f"m{a}").alias(f"{a}{s}") for a in "xyz" for s, f in ((0, F.min), (1, F.max))])
+    g = g.withColumns({f"center_{a}": (F.col(f"{a}0") + F.col(f"{a}1")) / 2 for a in "xyz"})
+    forged = g.select(
+        "frame_id", i.alias("instance_id"), (1 + i % 8).cast("int").alias("semantic"), F.when(n % 19 == 3, 2.0).otherwise(0.5).alias("score"), F.when(n % 23 == 4, "seen").otherwise("observed").alias("status"),
+        F.when(n % 17 == 2, F.array_append("ids", F.lit(1 << 40))).otherwise(F.col("ids")).alias("point_ids"), F.when(n % 31 == 6, F.col("x0") - 1).otherwise(F.col("x0")).alias("x0"), "y0", "z0", "x1", "y1", "z1",
+        "center_x", F.when(n % 29 == 5, F.lit(None)).otherwise(F.col("center_y")).alias("center_y"), "center_z",
+    )
+    return contracts.instance_violations(forged, p).groupBy("rule").agg(F.count("*").alias("broken"))
+
+
+@query("""WITH r AS (SELECT event_id AS k, event_id % 16 AS sequence FROM events), b AS (SELECT sequence, unnest(['points', 'map', 'tracks', 'queue', 'queue-age', 'memory', 'device', 'swap', 'receipt', 'audit', 'disk', 'timing', 'counter', 'state-size', 'device-sample']) AS rule,
+ unnest([k % 11 = 1, k % 13 = 2, false, k % 17 = 3, k % 19 = 4, k % 23 = 5, k % 29 = 6 AND k % 2 = 0, k % 31 = 7, k % 37 = 8, false, k % 41 = 9, k % 43 = 10, k % 47 = 11, k % 53 = 12, k % 29 <> 6 AND k % 59 = 13]) AS bad FROM r)
+SELECT sequence, rule, count(*) FILTER (WHERE bad) AS broken FROM b GROUP BY sequence, rule""")
+def resource_contract(spark, sf_dir):
+    """Frames' diagnostics against the ceilings, by sequence and rule."""
+    k = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    over = lambda m, r, bad, good: F.when(k % m == r, F.lit(bad)).otherwise(F.lit(good))
+    sampled = k % 29 == 6
+    rows = e.select(
+        (k % 16).alias("sequence"), over(11, 1, 130_001, 130_000).alias("input_points"), over(13, 2, 262_145, 262_144).alias("map_cells"), (over(13, 2, 262_145, 262_144) + F.when(k % 53 == 12, 1).otherwise(0)).alias("cells"),
+        F.lit(512).alias("track_count"), F.lit(512).alias("tracks"), over(17, 3, 3, 2).alias("queue_depth"), over(19, 4, 100.5, 100.0).alias("queue_age_ms"), F.lit(0).alias("dropped"), over(47, 11, -1, 0).alias("invalid"),
+        over(43, 10, -1.0, 80.0).alias("process_ms"), over(23, 5, (12 << 30) + 1, 1 << 30).alias("rss"), F.when(sampled, F.when(k % 2 == 0, (5_500 << 20) + 1).otherwise(5)).alias("device"),
+        F.when(sampled | (k % 59 == 13), "sampled").otherwise("unavailable").alias("device_status"), over(31, 7, 1, 0).alias("swap"), over(37, 8, (2 << 20) + 1, 10).alias("receipt"), F.lit(10).alias("audit"), over(41, 9, 5 << 30, 20 << 30).alias("disk_free"),
+    )
+    return contracts.violations(rows, contracts.resource_rules(), "sequence")
+
+
 _RUN_METRICS = f"""WITH c AS ({_CONF}), i AS (SELECT band, sum(tp / CAST("union" AS DOUBLE)) / 19 AS miou, min(tp / CAST("union" AS DOUBLE)) AS low FROM ({_IOU}) GROUP BY band),
 u AS (SELECT band, sum(CASE WHEN pred = 0 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS unknown FROM c GROUP BY band),
 v AS (SELECT 'miou_19' AS metric, miou AS value FROM i WHERE band = 'all' UNION ALL SELECT 'class_iou_min', low FROM i WHERE band = 'all' UNION ALL SELECT 'unknown_coverage', unknown FROM u WHERE band = 'all'

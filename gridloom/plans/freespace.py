@@ -166,10 +166,15 @@ def components_distributed(spark, sf_dir):
     """The same components by DataFrame rounds, for frames that fit no task."""
     v = components.voxels(_near_returns(spark, sf_dir)).withColumn("grp", F.col("grp").cast("int"))
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():  # the folder the cluster names; one of its own only where none is named, as in tests
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+    if not sc.getCheckpointDir():  # the folder the cluster names; one of its own only where Spark runs in one process
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local-cluster") and sc.master.startswith("local"):
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="gridloom-")
+        if not at:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(at)
     per = components.label_distributed(v).groupBy("frame_id", F.col("grp").alias("semantic"), "component").agg(F.count("*").alias("n"))
     return per.groupBy("frame_id", "semantic").agg(F.count("*").alias("components"), F.sum("n").alias("voxels"), F.max("n").alias("largest"))
 

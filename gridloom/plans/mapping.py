@@ -39,9 +39,9 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAPPED = ", ".join(f"x * {num(POSE[4 * r])} + y * {num(POSE[4 * r + 1])} + z * {num(POSE[4 * r + 2])} + {num(POSE[4 * r + 3])} AS {c}" for r, c in enumerate(("mx", "my", "mz")))
 _STATUS = f"""CASE
   WHEN NOT ({duck.finite('x')} AND {duck.finite('y')} AND {duck.finite('z')}) THEN 'invalid'
-  WHEN greatest(abs(x), abs(y), abs(z)) > 100000 OR sqrt(x*x + y*y + z*z) < {num(0.05)} THEN 'invalid'
-  WHEN NOT (sqrt((mx - sx) * (mx - sx) + (my - sy) * (my - sy)) < 100 AND greatest(abs(mx), abs(my)) <= 100000) THEN 'outside'
-  WHEN abs(mz) > 100 THEN 'high' ELSE 'accepted' END"""
+  WHEN greatest(abs(x), abs(y), abs(z)) > 1000000 OR sqrt(x*x + y*y + z*z) < {num(0.05)} THEN 'invalid'
+  WHEN NOT (sqrt((mx - sx) * (mx - sx) + (my - sy) * (my - sy)) < 100 AND greatest(abs(mx), abs(my)) <= 1000000) THEN 'outside'
+  WHEN abs(mz) > 10000 THEN 'high' ELSE 'accepted' END"""
 _CLASSIFIED = f"SELECT *, {_STATUS} AS status FROM (SELECT *, {_MAPPED} FROM ({view_sql('raw_points')}))"
 
 
@@ -160,7 +160,7 @@ def pack_unpack_keys(spark, sf_dir):
     return per.select("key", level.alias("level"), ix.alias("ix"), iy.alias("iy"), "n")
 
 
-_LOW, _HIGH = math.radians(GRID.fov_down_deg), math.radians(GRID.fov_up_deg)
+_LOW, _HIGH = math.radians(-24.8), math.radians(2.0)
 _PIXELS = f"""SELECT *, range_m > 0 AND elevation BETWEEN {num(_LOW)} AND {num(_HIGH)} AS eligible,
   CAST(greatest(least(floor(({num(_HIGH)} - elevation) / {num(_HIGH - _LOW)} * 64), 63), 0) AS INTEGER) AS pixel_row,
   CAST(floor((azimuth + {num(math.pi)}) / {num(2 * math.pi)} * 1024) % 1024 AS INTEGER) AS pixel_col

@@ -24,9 +24,9 @@ VIEWS = {
         "lineitem",
         {
             "frame_id": _TIME,
-            "x": f"CASE WHEN l_orderkey % 97 = 0 THEN {_NAN} WHEN l_partkey % 89 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN l_suppkey % 83 = 0 THEN CAST(0 AS DOUBLE) ELSE {_WIDE_X} END",
+            "x": f"CASE WHEN l_orderkey % 97 = 0 THEN {_NAN} WHEN l_partkey % 89 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN l_suppkey % 83 = 0 THEN CAST(0 AS DOUBLE) WHEN l_partkey % 61 = 0 THEN CAST(500000 AS DOUBLE) WHEN l_partkey % 67 = 0 THEN CAST(2000000 AS DOUBLE) ELSE {_WIDE_X} END",
             "y": f"CASE WHEN l_suppkey % 83 = 0 THEN CAST(0.01 AS DOUBLE) ELSE {_WIDE_Y} END",
-            "z": "CASE WHEN l_suppkey % 83 = 0 THEN CAST(0 AS DOUBLE) WHEN l_partkey % 71 = 0 THEN CAST(150 AS DOUBLE) ELSE -2.5 + l_quantity/20 END",
+            "z": "CASE WHEN l_suppkey % 83 = 0 THEN CAST(0 AS DOUBLE) WHEN l_partkey % 71 = 0 THEN CAST(150 AS DOUBLE) WHEN l_partkey % 73 = 0 THEN CAST(15000 AS DOUBLE) ELSE -2.5 + l_quantity/20 END",
             **_SENSOR,
         },
     ),

@@ -51,7 +51,7 @@ def _decoded(df: DataFrame, kind: np.dtype, width: int, names: list[str], types:
     return df.mapInArrow(run, schema)
 
 
-def points(spark: SparkSession, root: str, sequence: str, start: int = 0, count: int | None = None, max_points: int = 200_000) -> DataFrame:
+def points(spark: SparkSession, root: str, sequence: str, start: int = 0, count: int | None = None, max_points: int = 150_000) -> DataFrame:
     """sequence, frame_id, point_id, x, y, z, intensity."""
     f = files(spark, root, sequence, "points", start, count)
     out = _decoded(f, np.dtype("<f4"), 4, ["x", "y", "z", "intensity"], [pa.float32()] * 4, max_points, "frame_id long, point_id long, x float, y float, z float, intensity float")

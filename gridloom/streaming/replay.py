@@ -118,7 +118,11 @@ def write_frames(results: DataFrame, folder: str, checkpoint: str, accept) -> "o
     """Start a stream into Parquet by frame; accept(batch) raises to reject a batch, which stops the query before its checkpoint moves."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        accept(batch)
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.persist()  # checked and written from one computation
+        try:
+            accept(batch)
+            batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

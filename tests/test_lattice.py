@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.config import Grid, Settings, load
+from gridloom.config import Grid, Settings, load, load_run
 from gridloom.functions import lattice
 from gridloom.functions.lattice import d
 from gridloom.operators import cells, contracts, gates
@@ -120,6 +120,30 @@ def test_settings(tmp_path):
     assert Settings().tracking.capacity == 512
 
 
+def test_defaults_and_flat_files(tmp_path):
+    g = Settings().grid
+    assert (g.max_abs_coordinate_m, g.max_abs_height_m, g.fov_down_deg, g.fov_up_deg, g.max_points, g.sensor_height_m, g.frame_budget_ms, g.foveated) == (1e6, 1e4, -24.8, 2.0, 150_000, 1.73, 100.0, False)
+    p = tmp_path / "flat.toml"
+    p.write_text("cell_sizes_cm = [5, 10, 20, 40]\nradii_m = [10.0, 25.0, 50.0, 100.0]\nfootprint = \"square\"\nprojection_rows = 32\nfoveation_enabled = true\n")
+    flat = load(p).grid
+    assert (flat.sizes_cm, flat.rows, flat.foveated) == ((5, 10, 20, 40), 32, True) and flat.digest != g.digest
+    for text in ("max_points = 0\n", "fov_up_deg = 90.0\n", "max_abs_height_m = 2e7\n", "radii_m = [10.0, 25.0, 2e9]\n", "rows = 5000\n", "width = 1\n", "foveation_enabled = 1\n"):
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            load(p)
+
+
+def test_run_files(tmp_path):
+    p = tmp_path / "run.toml"
+    p.write_text('dataset_root = "data"\nartifact_root = "../out"\nmapping_config = "a.toml"\ncomparison_config = "b.toml"\n')
+    run = load_run(p)
+    assert run.dataset_root == tmp_path / "data" and run.pose_source == "slam"
+    for text in ('dataset_root = "data"\n', p.read_text() + "other = 1\n", p.read_text() + 'pose_source = "both"\n'):
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            load_run(p)
+
+
 def test_looking_ahead_only_refines_ahead(spark):
     rng = np.random.default_rng(3)
     pts = frame(spark, [(i, float(x), float(y), 0.0, 0.0) for i, (x, y) in enumerate(rng.uniform(-60, 60, (1500, 2)))], "i long, mx double, my double, sx double, sy double")
