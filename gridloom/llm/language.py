@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, held_out, lean
+from gridloom.llm.common import bounded_batches, drop_stash, held_out, lean, stash
 
 PIECE = 256
 #: Most cells of all transition tables (4 bytes each); what they do not hold is in sorted edges.
 CELLS = 1 << 25
+#: A language's keys are counted in 2 to this many slices.
+SLICE_BITS = 12
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _AUTOMATA: dict[tuple, tuple] = {}
 
@@ -191,8 +193,13 @@ def learn(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1 << 15)
     """(language, training text) by name, from at most sample_rows rows."""
     bounded_batches(docs.sparkSession)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows)
+    known = stash(known.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("slice", F.shiftright("key", 64 - SLICE_BITS)))
+    # Counts by slices of the keys tell up to where a language's sample can reach, so that a frequent language's rows are not all ranked in one task.
+    below = F.sum("count").over(Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    reach = known.groupBy("lang", "slice").count().withColumn("below", F.coalesce(below, F.lit(0))).where(F.col("below") < sample_rows)
+    near = known.join(F.broadcast(reach.groupBy("lang").agg(F.max("slice").alias("last"))), "lang").where("slice <= last")
+    first = Window.partitionBy("lang").orderBy("key", "doc_id")
+    ids = near.select("doc_id", "lang", "key").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows)
     rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
     def shorten(batches):  # what one document can add to a language's sample
@@ -207,6 +214,7 @@ def learn(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1 << 15)
     texts: dict[str, list[str]] = {}
     for key, lang, text in sorted(rows.select("key", "lang", "text").collect()):
         texts.setdefault(lang, []).append(text)
+    drop_stash(known)
     return tuple((name, " ".join(texts[name])[:sample_chars]) for name in sorted(texts))
 
 
