@@ -46,8 +46,9 @@ def corridor_cells(beam: DataFrame, grid: Grid, free: FreeSpace) -> DataFrame:
     for m, i in (("mx", "ix"), ("my", "iy")):
         low = F.col(i) * F.col("w")
         inside = inside & (F.col(m) - low > d(free.epsilon_m)) & (low + F.col("w") - F.col(m) > d(free.epsilon_m))
-    # Samples of one beam in one cell merge before the shuffle.
-    pairs = rays.where(inside).groupBy(*CELL, "point_id").agg(F.lit(1).alias("one"))
+    # Samples of one beam in one cell merge before the shuffle. The test is an aggregate, as a filter would be
+    # pushed below the lattice columns and repeat their whole expressions, beyond what Java can compile.
+    pairs = rays.groupBy(*CELL, "point_id").agg(F.bool_or(inside).alias("inside")).where("inside")
     return pairs.groupBy(*CELL).agg(F.count("*").alias("ray_support"), F.min("point_id").alias("beam_point_id"))
 
 
