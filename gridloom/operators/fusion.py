@@ -116,31 +116,51 @@ def merge(state: Column, scan: Column, s: Fusion) -> Column:
     ).cast(STATE)
 
 
+def spans(frames: DataFrame) -> DataFrame:
+    """sequence, i, j and the extremes of cx and cy over the 2**j frames from the i-th on (frames: sequence, i, x0, x1, y0, y1).
+
+    Levels double, so a sequence of n frames has n log n rows and any stretch of frames is two of them. The driver
+    only learns the length of the longest sequence.
+    """
+    longest = frames.agg(F.max("i")).first()[0] or 1
+    w = Window.partitionBy("sequence").orderBy("i")
+    ends = (("x0", F.least), ("x1", F.greatest), ("y0", F.least), ("y1", F.greatest))
+    out = frames
+    for j in range(1, longest.bit_length()):
+        out = out.withColumns({f"{c}_{j}": f(F.col(c if j == 1 else f"{c}_{j - 1}"), F.lead(c if j == 1 else f"{c}_{j - 1}", 1 << (j - 1)).over(w)) for c, f in ends})
+    level = lambda j: F.struct(F.lit(j).alias("j"), *(F.col(c if j == 0 else f"{c}_{j}").alias(c) for c, _ in ends))
+    return out.select("sequence", "i", F.explode(F.array(*map(level, range(longest.bit_length())))).alias("s")).select("sequence", "i", "s.*")
+
+
 def mark_restarts(scans: DataFrame, centres: DataFrame, grid: Grid) -> DataFrame:
     """Adds restart: the cell lay outside the window in some frame since its scan before.
 
-    centres (sequence, frame_id, cx, cy) are the sensor's base indices. Whether a cell was
-    out of a frame's window only matters for frames between two of its scans, which are
-    counted by a running number of frames outside, so cells are joined with frames, not scans.
+    centres (sequence, frame_id, cx, cy) are the sensor's base indices. A cell was outside in some frame between
+    two of its scans exactly if the window's extremes over those frames leave it out, so each scan row meets at most two rows
+    of spans(). Scans without frames between carry a key that no span has, spread over frames.
     """
-    w = Window.partitionBy(*CELL).orderBy("frame_id")
-    s = scans.withColumn("prev_frame", F.lag("frame_id").over(w))
-    per = centres.groupBy("sequence").agg(F.sort_array(F.collect_list(F.struct("frame_id", "cx", "cy"))).alias("path"))
-    s = s.join(per, "sequence", "left")
-
-    def outside(k: int, r: int, width: float, radius: float) -> Column:
-        half = half_window(radius, width)
-        return (F.col("level") == k) & F.exists(
-            "path",
-            lambda c: (c["frame_id"] > F.col("prev_frame"))
-            & (c["frame_id"] < F.col("frame_id"))
-            & ((F.abs(F.col("ix") - floor_div(c["cx"], r)) > half) | (F.abs(F.col("iy") - floor_div(c["cy"], r)) > half)),
-        )
-
-    away = F.lit(False)
+    known = centres.groupBy("sequence", "frame_id").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
+    every = known.select("sequence", "frame_id").unionByName(scans.select("sequence", "frame_id")).distinct().join(known, ["sequence", "frame_id"], "left")
+    every = every.withColumn("i", F.row_number().over(Window.partitionBy("sequence").orderBy("frame_id")))
+    table = spans(every.drop("frame_id"))
+    s = scans.join(every.select("sequence", "frame_id", F.col("i").alias("_i")), ["sequence", "frame_id"])
+    n = F.col("_i") - F.lag("_i").over(Window.partitionBy(*CELL).orderBy("frame_id")) - 1
+    # bin() of the number of frames between has one digit more than the level of the widest span that fits.
+    s = s.withColumn("_n", F.coalesce(n, F.lit(0))).withColumn("_j", F.when(F.col("_n") > 0, F.length(F.bin(F.col("_n").cast("long"))) - 1).otherwise(-1))
+    starts = {"_p": F.col("_i") - F.col("_n"), "_q": F.col("_i") - F.when(F.col("_n") > 0, F.expr("shiftleft(1L, _j)")).otherwise(0)}
+    s = s.withColumns(starts)
+    for key, tag in (("_p", "a"), ("_q", "b")):
+        own = table.select("sequence", F.col("i").alias(key), F.col("j").alias("_j"), *(F.col(c).alias(f"_{c}{tag}") for c in ("x0", "x1", "y0", "y1")))
+        s = s.join(own, ["sequence", key, "_j"], "left")
+    away: Column = F.lit(False)
     for k, (r, width, radius) in enumerate(zip(grid.ratios, grid.widths_m, grid.radii_m)):
-        away = away | outside(k, r, width, radius)
-    return s.withColumn("restart", F.coalesce(away, F.lit(False))).drop("path", "prev_frame")
+        half = half_window(radius, width)
+        out = F.lit(False)
+        for index, c in (("ix", "x"), ("iy", "y")):
+            low, high = F.least(f"_{c}0a", f"_{c}0b"), F.greatest(f"_{c}1a", f"_{c}1b")
+            out = out | (F.col(index) - floor_div(low, r) > half) | (floor_div(high, r) - F.col(index) > half)
+        away = away | ((F.col("level") == k) & out)
+    return s.select(*scans.columns, F.coalesce(away, F.lit(False)).alias("restart"))
 
 
 def fold(scans: DataFrame, s: Fusion, key: tuple[str, ...] = CELL) -> DataFrame:

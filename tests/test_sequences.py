@@ -141,13 +141,32 @@ def test_fold_equals_the_sequential_twin_and_the_stream(spark, tmp_path):
 
 
 def test_cells_that_left_the_window_restart(spark):
-    grid = Grid(sizes_cm=(5,), radii_m=(1.0,))
+    grid = Grid(sizes_cm=(5,), radii_m=(1.0,), ground_min_range_m=0.5)
     half = fusion.half_window(1.0, 0.05)
     s = spark.createDataFrame([("a", 0, 0, 0, f) for f in (0, 1, 4)], "sequence string, level int, ix long, iy long, frame_id long")
     path = spark.createDataFrame([("a", f, x, 0) for f, x in ((0, 0), (1, half), (2, half + 1), (3, 0), (4, 0))], "sequence string, frame_id long, cx long, cy long")
     assert [r.restart for r in fusion.mark_restarts(s, path, grid).orderBy("frame_id").collect()] == [False, False, True]
 
 
+def test_restarts_equal_a_walk_over_every_frame(spark):
+    rng = np.random.default_rng(3)
+    grid = Grid(sizes_cm=(5, 10), radii_m=(0.2, 0.4), ground_min_range_m=0.1)
+    halves = [fusion.half_window(r, w) for r, w in zip(grid.radii_m, grid.widths_m)]
+    path = {(q, f): (int(x), int(y)) for q in "ab" for f, (x, y) in enumerate(rng.integers(-3, 4, (40, 2)).cumsum(0)) if f % 9 != 4}
+    cells = {(q, k, int(x), int(y)): sorted({int(f) for f in rng.integers(0, 44, 12)}) for q in "abc" for k in (0, 1) for x, y in rng.integers(-8, 8, (12, 2))}
+    want = set()
+    for (q, k, x, y), at in cells.items():
+        for before, f in zip([None, *at], at):
+            between = [] if before is None else [path[q, t] for t in range(before + 1, f) if (q, t) in path]
+            ratio = grid.ratios[k]
+            want.add((q, k, x, y, f, any(abs(x - cx // ratio) > halves[k] or abs(y - cy // ratio) > halves[k] for cx, cy in between)))
+    s = spark.createDataFrame([(*c, f) for c, at in cells.items() for f in at], "sequence string, level int, ix long, iy long, frame_id long")
+    centres = spark.createDataFrame([(q, f, x, y) for (q, f), (x, y) in path.items()], "sequence string, frame_id long, cx long, cy long")
+    got = {tuple(r) for r in fusion.mark_restarts(s, centres, grid).select("sequence", "level", "ix", "iy", "frame_id", "restart").collect()}
+    assert got == want and {r[-1] for r in want} == {True, False}
+    assert fusion.mark_restarts(s.limit(0), centres, grid).count() == 0
+
+
 def test_scan_cells_feed_the_fold(spark):
     grid, rows = Grid(sizes_cm=(5, 10), radii_m=(2.0, 4.0)), []
     for f in range(6):
