@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from gridloom.config import FreeSpace, Fusion, Grid
 from gridloom.functions.labels import CLASS_OF_RAW
-from gridloom.functions.lattice import d
+from gridloom.functions.lattice import d, floor_div, pick
 from gridloom.operators import cells, contracts, freespace, metrics, tracks
 from gridloom.plans import duck
 from gridloom.plans.duck import num
 from gridloom.plans.freespace import _FREE_SQL, scan
 from gridloom.plans.mapping import _snapshot_sql
-from gridloom.plans.sequences import _TERRAIN, _terrain
+from gridloom.plans.sequences import _TERRAIN, _TERRAIN_ALL, _terrain
 from gridloom.plans.views import view, view_sql
 
 GRID, FREE, FUSION = Grid(), FreeSpace(), Fusion()
@@ -273,26 +273,57 @@ def cell_contract(spark, sf_dir):
     return contracts.violations(_spoiled(spark, sf_dir), contracts.cell_rules(GRID), "frame_id")
 
 
-@query("""SELECT rule, CAST(0 AS BIGINT) AS broken FROM (SELECT unnest(['range', 'time', 'valid', 'height', 'stale', 'drivable']) AS rule)""")
+@query(f"""WITH t AS MATERIALIZED (SELECT *, iy % 13 = 4 AS b, (ix + iy) % 17 = 5 AS c, (ix + 2 * iy) % 19 = 6 AS e, (ix + 4 * iy) % 23 < 3 AS g FROM ({_TERRAIN_ALL}))
+SELECT rule, count(*) FILTER (WHERE bad) AS broken FROM (SELECT unnest(['range', 'time', 'valid', 'height', 'stale', 'drivable']) AS rule, unnest([ix % 11 = 3, b, c, c AND ok AND h <> 0,
+ (e OR terrain = 4 AND NOT g) <> (stale AND NOT b) OR (occupancy = 3) <> (stale AND NOT b), NOT e AND (g OR terrain = 1) AND (c = ok OR ix % 7 = 2 OR top NOT IN (9, 10) OR ix % 11 <> 3 AND flags & 3 <> 0)]) AS bad FROM t) GROUP BY rule""")
 def terrain_contract(spark, sf_dir):
-    """The terrain view keeps its own contract: no rule is broken."""
-    return contracts.violations(_terrain(spark, sf_dir), contracts.terrain_rules(FUSION, F.lit(7_000_000_000)))
-
-
-@query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS covered, CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS margin")
+    """Cells of a terrain view that break its contract, by rule; some cells are forged."""
+    ix, iy = F.col("ix"), F.col("iy")
+    forged = _terrain(spark, sf_dir).withColumns(
+        {
+            "flags": F.when(ix % 11 == 3, 8).otherwise(F.col("flags")),
+            "last_seen": F.when(iy % 13 == 4, 7_000_000_001).otherwise(F.col("last_seen")),
+            "ground_valid": ((ix + iy) % 17 == 5) != F.col("ground_valid"),
+            "terrain": F.when((ix + 2 * iy) % 19 == 6, 4).when((ix + 4 * iy) % 23 < 3, 1).otherwise(F.col("terrain")),
+            "semantic": F.when(ix % 7 == 2, 5).otherwise(F.col("semantic")),
+        }
+    )
+    return contracts.violations(forged, contracts.terrain_rules(FUSION, F.lit(7_000_000_000)))
+
+
+def _parent(k: int, j: int, c: str) -> str:
+    return duck.div(f"a.{c}", GRID.ratios[k] // GRID.ratios[j])
+
+
+_COVERED = " UNION ALL ".join(f"SELECT a.frame_id FROM m a SEMI JOIN m b ON a.frame_id = b.frame_id AND a.level = {j} AND b.level = {k} AND b.ix = {_parent(k, j, 'ix')} AND b.iy = {_parent(k, j, 'iy')}" for k in (1, 2) for j in range(k))
+_NEAR_FORGED = f"""SELECT DISTINCT f.frame_id, f.level, f.ix, f.iy FROM g f JOIN (SELECT frame_id, (ix + {num(0.5)}) * w AS mx, (iy + {num(0.5)}) * w AS my FROM g WHERE (ix * 7 + iy) % 97 = 3) c ON c.frame_id = f.frame_id
+ WHERE sqrt(pow(greatest(f.x0 - c.mx, c.mx - f.x0 - f.w, 0), 2) + pow(greatest(f.y0 - c.my, c.my - f.y0 - f.w, 0), 2)) < {num(FREE.margin_m)}"""
+
+
+@query(f"""WITH f AS MATERIALIZED ({_FREE_SQL}), g AS MATERIALIZED (SELECT *, ix * w AS x0, iy * w AS y0 FROM (SELECT *, {_W9} AS w FROM f)),
+e AS MATERIALIZED (SELECT frame_id, level, ix, iy FROM f UNION ALL SELECT DISTINCT frame_id, level, ix, iy FROM ({duck.keyed(view_sql('returns'), GRID)})),
+m AS MATERIALIZED (SELECT * FROM e UNION ALL SELECT * FROM e WHERE (ix * 31 + iy) % 101 = 7 UNION ALL SELECT DISTINCT frame_id, 1, {duck.div('ix', 2)}, {duck.div('iy', 2)} FROM e WHERE level = 0 AND (ix + iy) % 59 = 11)
+SELECT (SELECT count(*) FROM (SELECT 1 FROM m GROUP BY frame_id, level, ix, iy HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM ({_COVERED})) AS covered,
+ (SELECT count(*) FROM f WHERE (ix + 3 * iy) % 41 = 2 OR (2 * ix + iy) % 43 = 1) AS unsupported, (SELECT count(*) FROM ({_NEAR_FORGED})) AS margin""")
 def visibility_contract(spark, sf_dir):
-    """Published cells do not overlap; every free cell has a beam across it and keeps the margin (all counts 0)."""
+    """Published cells that overlap, free cells without a beam across them or nearer than the margin to a conflict; cells, proofs and conflicts are forged."""
     p = scan(spark, sf_dir)
+    ix, iy = F.col("ix"), F.col("iy")
     free = freespace.free_cells(p, GRID, FREE).persist()  # read by four checks; what is lost is computed again
     beams = freespace.beams(p, GRID, FREE)
     observed = cells.keyed(p, GRID).select("frame_id", "level", "ix", "iy").distinct()
     every = observed.unionByName(free.select("frame_id", "level", "ix", "iy")).persist()
+    parents = every.where((F.col("level") == 0) & ((ix + iy) % 59 == 11)).select("frame_id", F.lit(1).alias("level"), floor_div(ix, 2).alias("ix"), floor_div(iy, 2).alias("iy")).distinct()
+    published = every.unionByName(every.where((ix * 31 + iy) % 101 == 7)).unionByName(parents)
+    proofs = free.withColumns({"beam_point_id": F.when((ix + 3 * iy) % 41 == 2, -5).otherwise(F.col("beam_point_id")), "ray_support": F.when((2 * ix + iy) % 43 == 1, 0).otherwise(F.col("ray_support"))})
+    w = pick(F.col("level"), GRID.widths_m)
+    conflicts = p.where("not clean").select("frame_id", "mx", "my").unionByName(free.where((ix * 7 + iy) % 97 == 3).select("frame_id", ((ix + d(0.5)) * w).alias("mx"), ((iy + d(0.5)) * w).alias("my")))
     n = lambda df, name: df.agg(F.count("*").alias(name))
     parts = [
-        n(contracts.repeated_cells(every, "frame_id"), "repeated"),
-        n(contracts.covered_cells(every, GRID, "frame_id"), "covered"),
-        n(contracts.unsupported_free(free, beams, GRID), "unsupported"),
-        n(contracts.margin_breaches(free, p.where("not clean"), GRID, FREE.margin_m), "margin"),
+        n(contracts.repeated_cells(published, "frame_id"), "repeated"),
+        n(contracts.covered_cells(published, GRID, "frame_id"), "covered"),
+        n(contracts.unsupported_free(proofs, beams, GRID), "unsupported"),
+        n(contracts.margin_breaches(free, conflicts, GRID, FREE.margin_m), "margin"),
     ]
     out = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:
@@ -417,11 +448,21 @@ def gate_overall(spark, sf_dir):
     return contracts.overall(contracts.gate_checks(_run_metrics(spark, sf_dir)))
 
 
-@query()
+_RECEIPT = ("frame_id", "ground_height_cm", "ground_valid", "ix", "iy", "level", "motion", "point_count", "semantic")
+_ROW = " || ',' || ".join(f"'\"{c}\":' || {c}" for c in _RECEIPT)
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT * REPLACE (CASE WHEN frame_id < 4 AND ix % 97 = 0 THEN 9 ELSE level END AS level, ground_valid AND NOT (frame_id < 4 AND iy % 89 = 0) AS ground_valid) FROM ({_CELLS}) WHERE frame_id > 0 OR level < 2 OR (ix % 97 <> 0 AND iy % 89 <> 0)),
+h AS (SELECT frame_id, sha256('{{' || {_ROW} || '}}') AS h, CASE WHEN level = 9 THEN 'geometry' WHEN NOT ground_valid AND ground_height_cm <> 0 THEN 'ground' END AS bad FROM s)
+SELECT frame_id, count(*) AS rows, CASE WHEN min(bad) IS NULL THEN sha256(string_agg(h, '' ORDER BY h)) ELSE '' END AS digest, coalesce(min(bad), '') AS error, CASE WHEN min(bad) IS NULL THEN 'accepted' ELSE 'rejected' END AS status FROM h GROUP BY frame_id""")
 def receipts(spark, sf_dir):
-    """A digest of each frame's snapshot, or its first broken rule."""
-    s = _spoiled(spark, sf_dir).where("frame_id < 4").unionByName(_snapshot(spark, sf_dir).where("frame_id >= 4"))
-    return contracts.receipts(s, contracts.violations(s, contracts.cell_rules(GRID), "frame_id"), "frame_id")
+    """A digest of each frame's cells, or its first broken rule."""
+    s = _snapshot(spark, sf_dir)
+    early = F.col("frame_id") < 4
+    whole = (F.col("frame_id") > 0) | (F.col("level") < 2) | ((F.col("ix") % 97 != 0) & (F.col("iy") % 89 != 0))
+    s = s.where(whole).withColumns({"level": F.when(early & (F.col("ix") % 97 == 0), 9).otherwise(F.col("level")), "ground_valid": F.col("ground_valid") & ~(early & (F.col("iy") % 89 == 0))})
+    out = contracts.receipts(s.select(*_RECEIPT), contracts.violations(s, contracts.cell_rules(GRID), "frame_id"), "frame_id")
+    return out.fillna("", ["digest", "error"])
 
 
 # ---------------------------------------------------------------- tracking
@@ -444,7 +485,23 @@ def tracks_batch(spark, sf_dir):
     return tracks.track(candidates(spark, sf_dir))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+# Fixed values of the fixture: the life of a track that is seen in frames 0, 1, 2 and 5.
+_LIFE = ("tentative", "confirmed", "confirmed", "occluded", "occluded", "confirmed", "occluded", "occluded", "expired")
+_SEEN = (0, 1, 2, 2, 2, 5, 5, 5, 5)
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id // 9 AS track_id, event_id % 9 AS k FROM events), r AS (SELECT *, list_extract({list(_LIFE)}, k + 1) AS due, list_extract({list(_SEEN)}, k + 1) AS since FROM e),
+f AS (SELECT track_id, k, due, since = k AS seen, CASE WHEN event_id % 41 = 3 AND k > 0 THEN 'expired' ELSE due END AS life, CASE WHEN event_id % 43 = 5 THEN 1 ELSE 0 END AS birth, since * 100 + CASE WHEN event_id % 47 = 7 THEN 1 ELSE 0 END AS last FROM r),
+l AS (SELECT *, lag(life) OVER w AS was, lag(birth) OVER w AS born, lag(last) OVER w AS before FROM f WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+v AS (SELECT CASE WHEN life <> due THEN 'lifecycle' WHEN born <> birth THEN 'birth-changed' WHEN was = 'expired' THEN 'reused-id' WHEN seen AND last <> k * 100 OR NOT seen AND last <> before THEN 'observation-time' END AS rule FROM l)
+SELECT rule, count(*) AS violations FROM v WHERE rule IS NOT NULL GROUP BY rule""")
 def track_contract(spark, sf_dir):
-    """Every track row follows from the frame before."""
-    return contracts.lifecycle_violations(tracks.track(candidates(spark, sf_dir))).agg(F.count("*").alias("violations"))
+    """Track rows that do not follow from the frame before, by rule; one event is one frame of a track of nine, some forged."""
+    e, k = F.col("event_id"), F.col("k")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr("event_id div 9").alias("track_id"), (e % 9).cast("int").alias("k"))
+    due, at = (F.element_at(F.array(*map(F.lit, v)), k + 1) for v in (_LIFE, _SEEN))
+    rows = rows.select(
+        (F.col("track_id") % 16).alias("sequence"), k.cast("long").alias("frame_id"), "track_id", F.when(at == k, 0).alias("instance_id"), F.when((e % 41 == 3) & (k > 0), "expired").otherwise(due).alias("lifecycle"),
+        F.when(e % 43 == 5, 1).otherwise(0).alias("birth_ns"), (at * 100 + F.when(e % 47 == 7, 1).otherwise(0)).alias("last_observed_ns"), (k * 100).alias("ts_ns"),
+    )
+    return contracts.lifecycle_violations(rows).groupBy("rule").agg(F.count("*").alias("violations"))

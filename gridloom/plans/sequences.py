@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from gridloom.config import Fusion, Grid
 from gridloom.functions import lattice
 from gridloom.functions.lattice import d
-from gridloom.operators import cells, fusion, sequence
+from gridloom.operators import cells, contracts, fusion, gates, sequence
 from gridloom.plans import duck
 from gridloom.plans.duck import num
 from gridloom.plans.views import view, view_sql
+from gridloom.streaming import replay
 
 GRID, FUSION = Grid(), Fusion()
 QUERIES, ORACLES = {}, {}
@@ -89,17 +90,141 @@ def cell_flicker(spark, sf_dir):
     return sequence.flicker(k, "state")
 
 
-@query()
+_HEADING, _STRETCH = (0.6, 0.8), 1.7
+
+
+def _ahead_sql(k: int) -> str:
+    """Whether the level-k block of base cell (ux, uy) meets the forward half-ellipse: the least of its four edges' minima, each edge clipped to what lies ahead."""
+    w, (hx, hy) = GRID.widths_m[k], map(num, _HEADING)
+    scale = f"(1 / ({num(_STRETCH)} * {num(_STRETCH)}) - 1)"
+    ax, ay, c = f"(1 + {scale} * {hx} * {hx})", f"(1 + {scale} * {hy} * {hy})", f"({scale} * {hx} * {hy})"
+    x0, y0 = (f"({duck.div(u, GRID.ratios[k])} * {num(w)} - {s})" for u, s in (("ux", "sx"), ("uy", "sy")))
+    x1, y1 = f"({x0} + {num(w)})", f"({y0} + {num(w)})"
+    edges = [(x, y0, y1, hx, hy, ax, ay) for x in (x0, x1)] + [(y, x0, x1, hy, hx, ay, ax) for y in (y0, y1)]
+    listed = ", ".join("{'f': %s, 'l': greatest(%s, -%s * %s / %s), 'h': %s, 'a': %s, 'b': %s}" % (f, lo, hf, f, hr, hi, af, ar) for f, lo, hi, hf, hr, af, ar in edges)
+    at = f"least(greatest(-{c} * e.f / e.b, e.l), e.h)"
+    least = f"list_min(list_transform([{listed}], lambda e: CASE WHEN e.l <= e.h THEN e.a * e.f * e.f + 2 * {c} * e.f * {at} + e.b * {at} * {at} ELSE CAST('Infinity' AS DOUBLE) END))"
+    return f"(CASE WHEN {x0} <= 0 AND {x1} >= 0 AND {y0} <= 0 AND {y1} >= 0 THEN 0 ELSE sqrt(greatest({least}, 0)) END < {num(GRID.radii_m[k - 1])})"
+
+
+@query(f"""SELECT frame_id, CAST(CASE WHEN NOT n2 THEN 2 WHEN NOT n1 THEN 1 ELSE 0 END AS INTEGER) AS level, count(*) AS points FROM (
+  SELECT *, {', '.join(f"{duck.near('ux', 'uy', k, GRID)} OR {_ahead_sql(k)} AS n{k}" for k in (1, 2))} FROM (SELECT *, {duck.base('mx')} AS ux, {duck.base('my')} AS uy FROM ({view_sql('wide_points')}))) GROUP BY ALL""")
 def foveated_levels(spark, sf_dir):
-    """Points per level when blocks ahead of a moving sensor are refined further (held against a scalar twin in tests)."""
+    """Points per level when blocks ahead of a moving sensor are refined further."""
     p = view(spark, sf_dir, "wide_points")
-    out = cells.keyed(p, GRID, (d(0.6), d(0.8), d(1.7)))
+    out = cells.keyed(p, GRID, (*map(d, _HEADING), d(_STRETCH)))
     return out.groupBy("frame_id", "level").agg(F.count("*").alias("points"))
 
 
+# Fixed values of the fixture: quarter and 3-4-5 turns; where the sensor sits on the camera.
+_TURNS, _MOUNT = ((1.0, 0.0), (0.6, 0.8), (0.0, 1.0), (0.8, -0.6)), (0.27, -0.08, -0.12)
+_TURN_SQL = f"""SELECT sequence, frame_id, c, s, px + c * {num(_MOUNT[0])} - s * {num(_MOUNT[1])} AS x, py + s * {num(_MOUNT[0])} + c * {num(_MOUNT[1])} AS y FROM (
+  SELECT *, {', '.join(f"list_extract([{', '.join(num(v[i]) for v in _TURNS)}], frame_id % 4 + 1) AS {n}" for i, n in ((0, 'c'), (1, 's')))} FROM ({view_sql('poses')}))"""
+
+
+def _poses(spark, sf_dir):
+    p = view(spark, sf_dir, "poses")
+    c, s = (F.element_at(F.array(*[d(v[i]) for v in _TURNS]), (F.col("frame_id") % 4 + 1).cast("int")) for i in (0, 1))
+    return p.withColumn("pose", F.array(c, -s, d(0), F.col("px"), s, c, d(0), F.col("py"), d(0), d(0), d(1), d(0.5), d(0), d(0), d(0), d(1)))
+
+
+@query(f"""WITH p AS ({_TURN_SQL}), o AS (SELECT *, first(c) OVER w AS c0, first(s) OVER w AS s0, first(x) OVER w AS x0, first(y) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY sequence ORDER BY frame_id))
+SELECT sequence, frame_id, round(c0 * c + s0 * s, 6) + 0.0 AS cosine, round(c0 * (x - x0) + s0 * (y - y0), 6) + 0.0 AS x, round(c0 * (y - y0) - s0 * (x - x0), 6) + 0.0 AS y FROM o""")
+def sensor_poses(spark, sf_dir):
+    """Sensor poses in the first frame's sensor coordinates, from camera poses and the calibration."""
+    cal = [1, 0, 0, _MOUNT[0], 0, 1, 0, _MOUNT[1], 0, 0, 1, _MOUNT[2]]
+    out = sequence.camera_to_map(_poses(spark, sf_dir), cal)
+    return out.select("sequence", "frame_id", *[(F.round(F.element_at("pose", i), 6) + 0.0).alias(n) for n, i in (("cosine", 1), ("x", 4), ("y", 8))])
+
+
+@query(f"""SELECT sequence, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS rejected FROM (
+  SELECT sequence, frame_id % 7 <> 2 AND frame_id % 11 <> 3 AND frame_id % 13 <> 5 AND frame_id % 17 <> 6 AS ok FROM ({view_sql('poses')})) GROUP BY sequence""")
+def pose_validity(spark, sf_dir):
+    """Poses that are rigid and those that are not: stretched, mirrored, of a wrong bottom row, or too short."""
+    f = F.col("frame_id")
+    swap = lambda at, value: lambda x, i: F.when(i == at, value(x)).otherwise(x)
+    pose = F.col("pose")
+    for when, change in (
+        (f % 7 == 2, F.transform(pose, lambda x, i: F.when(i < 12, x * 1.01).otherwise(x))),
+        (f % 11 == 3, F.transform(pose, swap(10, lambda x: -x))),
+        (f % 13 == 5, F.transform(pose, swap(15, lambda x: x + 0.5))),
+        (f % 17 == 6, F.slice(pose, 1, 12)),
+    ):
+        pose = F.when(when, change).otherwise(pose)
+    ok = gates.pose_is_valid(pose)
+    return _poses(spark, sf_dir).groupBy("sequence").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"))
+
+
+@query(f"""SELECT sequence, frame_id, (row_number() OVER (PARTITION BY sequence ORDER BY frame_id) - 1) % 5 = 0 AS deep FROM ({view_sql('poses')}) WHERE frame_id % 3 <> 1""")
+def audit_schedule(spark, sf_dir):
+    """Which accepted frames get the deep audit: every fifth of a sequence."""
+    f = view(spark, sf_dir, "poses").withColumn("status", F.when(F.col("frame_id") % 3 == 1, "rejected").otherwise("accepted"))
+    return contracts.audited(f, 5).select("sequence", "frame_id", "deep")
+
+
+@query("SELECT strftime(start, '%Y-%m-%d %H') AS start, strftime(start + INTERVAL 1 HOUR, '%Y-%m-%d %H') AS stop, event_type, n, total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value) + 1e-9, 4) AS total FROM events GROUP BY ALL)")
+def event_windows(spark, sf_dir):
+    """Events by hour and type."""
+    out = replay.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round(F.col("total") + 1e-9, 4))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH") for c in ("start", "stop")})
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS stop, count(*) AS n FROM s GROUP BY user_id, nth""")
+def event_sessions(spark, sf_dir):
+    """Each user's sessions, ended by half an hour without events."""
+    out = replay.event_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "stop")})
+
+
 # ---------------------------------------------------------------- fusion
 
 
+_IN_WINDOW = " UNION ALL ".join(
+    f"SELECT frame_id, {k} AS level, {duck.div('ux', r)} AS ix, {duck.div('uy', r)} AS iy, {duck.div('cx', r)} AS wx, {duck.div('cy', r)} AS wy, {fusion.half_window(radius, w)} AS half, mz, ground, semantic FROM p"
+    for k, (r, w, radius) in enumerate(zip(GRID.ratios, GRID.widths_m, GRID.radii_m))
+)
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT *, {duck.base('mx')} AS ux, {duck.base('my')} AS uy, {duck.base('sx')} AS cx, {duck.base('sy')} AS cy FROM ({view_sql('wide_points')}) WHERE motion <> 2), r AS (SELECT * FROM ({_IN_WINDOW}) WHERE abs(ix - wx) <= half AND abs(iy - wy) <= half)
+SELECT frame_id, level, ix, iy, count(*) AS n, count(*) FILTER (WHERE ground = 1) AS n_ground, count(*) FILTER (WHERE ground = 2) AS n_obstacle, coalesce(min(mz) FILTER (WHERE ground = 2), -99) AS low, coalesce(max(mz) FILTER (WHERE ground = 2), -99) AS high,
+  round(coalesce(avg(mz) FILTER (WHERE ground = 1), 0) + 1e-11, 7) AS mean_z, count(*) FILTER (WHERE semantic = 9) AS road FROM r GROUP BY frame_id, level, ix, iy""")
+def scan_evidence(spark, sf_dir):
+    """Each scan's evidence in the window's cells of every level, without moving points."""
+    p = view(spark, sf_dir, "wide_points").where("motion <> 2").withColumns({"sequence": F.lit(0), "ts_ns": F.col("frame_id") * 100_000_000})
+    out = fusion.scan_cells(p, GRID)
+    return out.select("frame_id", "level", "ix", "iy", "n", "n_ground", "n_obstacle", *[F.coalesce(c, d(-99)).alias(c) for c in ("low", "high")], F.round(F.col("mean_z") + 1e-11, 7).alias("mean_z"), F.element_at("classes", 10).alias("road"))
+
+
+_EVERY = " UNION ALL ".join(f"SELECT DISTINCT {k} AS level, {duck.div('ux', r)} AS ix, {duck.div('uy', r)} AS iy, {duck.div('ux', r)} * {r} AS ux, {duck.div('uy', r)} * {r} AS uy, sx, sy FROM p" for k, r in enumerate(GRID.ratios))
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT *, {duck.base('mx')} AS ux, {duck.base('my')} AS uy FROM ({view_sql('wide_points')})) SELECT level, ix, iy FROM (SELECT *, {duck.level('ux', 'uy', GRID)} AS own FROM ({_EVERY})) WHERE own = level""")
+def owned_cells(spark, sf_dir):
+    """Of the cells of all levels that hold a point, those that the lattice assigns to their own level."""
+    p = view(spark, sf_dir, "wide_points").select(lattice.base_index(F.col("mx")).alias("bx"), lattice.base_index(F.col("my")).alias("by"), "sx", "sy")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), lattice.floor_div(F.col("bx"), r).alias("ix"), lattice.floor_div(F.col("by"), r).alias("iy")) for k, r in enumerate(GRID.ratios)]))
+    every = p.select(each.alias("c"), "sx", "sy").select("c.*", "sx", "sy").distinct()
+    return fusion.owned(every, GRID).select("level", "ix", "iy")
+
+
+_ROUTE = f"SELECT sequence, frame_id, frame_id % 3 AS level, {duck.base('px')} AS cx, {duck.base('py')} AS cy, o % 10 AS lane FROM (SELECT *, CAST(px * 10 AS BIGINT) + frame_id AS o FROM ({view_sql('poses')}))"
+
+
+@query(f"""WITH r AS MATERIALIZED ({_ROUTE}), s AS (SELECT sequence, frame_id, level, lane * 40 AS ix, lane - 5 AS iy, lag(frame_id) OVER (PARTITION BY sequence, level, lane ORDER BY frame_id) AS prev FROM r),
+c AS (SELECT DISTINCT sequence, frame_id, {', '.join(f"{duck.div('cx', r)} AS x{k}, {duck.div('cy', r)} AS y{k}" for k, r in enumerate(GRID.ratios))} FROM r)
+SELECT s.sequence, s.frame_id, s.level, s.ix, s.iy, coalesce(bool_or(CASE s.level {' '.join(f"WHEN {k} THEN abs(s.ix - x{k}) > {fusion.half_window(radius, w)} OR abs(s.iy - y{k}) > {fusion.half_window(radius, w)}" for k, (w, radius) in enumerate(zip(GRID.widths_m, GRID.radii_m)))} END), false) AS restart
+FROM s LEFT JOIN c ON c.sequence = s.sequence AND c.frame_id > s.prev AND c.frame_id < s.frame_id GROUP BY ALL""")
+def window_restarts(spark, sf_dir):
+    """Which scans of a cell begin anew, as the cell left the moving window since its scan before."""
+    p = view(spark, sf_dir, "poses")
+    lane = ((F.col("px") * 10).cast("long") + F.col("frame_id")) % 10
+    s = p.select("sequence", "frame_id", (F.col("frame_id") % 3).cast("int").alias("level"), (lane * 40).alias("ix"), (lane - 5).alias("iy"))
+    centres = p.select("sequence", "frame_id", lattice.base_index(F.col("px")).alias("cx"), lattice.base_index(F.col("py")).alias("cy"))
+    return fusion.mark_restarts(s, centres, GRID).select("sequence", "frame_id", "level", "ix", "iy", "restart")
+
+
 def _scans(spark, sf_dir):
     s = view(spark, sf_dir, "cell_scans")
     return s.select(
@@ -167,13 +292,14 @@ def neighbour_steps(spark, sf_dir):
     return out.select("level", "ix", "iy", F.round("rise", 4).alias("rise"), F.round("drop", 4).alias("dropped"))
 
 
-_TERRAIN = f"""WITH s AS MATERIALIZED ({_STATE}), n AS (SELECT a.*, CAST(CAST(CAST(a.cm AS DOUBLE) / 100 AS FLOAT) AS DOUBLE) AS h, max(CAST(CAST(CAST(b.cm AS DOUBLE) / 100 AS FLOAT) AS DOUBLE)) AS hi, min(CAST(CAST(CAST(b.cm AS DOUBLE) / 100 AS FLOAT) AS DOUBLE)) AS lo
+_TERRAIN_ALL = f"""WITH s AS MATERIALIZED ({_STATE}), n AS (SELECT a.*, CAST(CAST(CAST(a.cm AS DOUBLE) / 100 AS FLOAT) AS DOUBLE) AS h, max(CAST(CAST(CAST(b.cm AS DOUBLE) / 100 AS FLOAT) AS DOUBLE)) AS hi, min(CAST(CAST(CAST(b.cm AS DOUBLE) / 100 AS FLOAT) AS DOUBLE)) AS lo
   FROM s a LEFT JOIN s b ON b.level = a.level AND {_TRUST.replace('n %', 'b.n %')} AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 GROUP BY ALL),
 t AS (SELECT *, n % 3 <> 0 AS ok, last < 5 AS stale, last_hit = 7 OR lodds >= {num(0.85)} AS occ, (n % 3 <> 0) AND greatest(coalesce(hi - h, 0), 0) > {num(0.1)} AS curb, (n % 3 <> 0) AND greatest(coalesce(h - lo, 0), 0) > {num(0.1)} AS fall,
   CASE WHEN n % 2 = 0 THEN {num(1.5)} ELSE {num(0.0)} END - h AS clear FROM (SELECT *, CASE WHEN n_o > 6 THEN last ELSE -1 END AS last_hit, CASE WHEN n_o > 9 THEN 1.0 ELSE -1.0 END AS lodds FROM n))
-SELECT level, ix, iy, CAST(CASE WHEN stale THEN 4 WHEN occ AND (NOT ok OR clear < 2) THEN 3 WHEN ok AND top IN (9, 10) AND NOT curb AND NOT fall THEN 1 WHEN curb OR fall THEN 2 WHEN ok AND top NOT IN (0, 9, 10) THEN 2 ELSE 0 END AS INTEGER) AS terrain,
+SELECT ok, stale, h, top, level, ix, iy, CAST(CASE WHEN stale THEN 4 WHEN occ AND (NOT ok OR clear < 2) THEN 3 WHEN ok AND top IN (9, 10) AND NOT curb AND NOT fall THEN 1 WHEN curb OR fall THEN 2 WHEN ok AND top NOT IN (0, 9, 10) THEN 2 ELSE 0 END AS INTEGER) AS terrain,
   CAST(CASE WHEN stale THEN 3 WHEN occ THEN 1 WHEN n % 5 = 0 AND last >= 5 AND last > last_hit AND lodds <= {num(-0.8)} THEN 2 ELSE 0 END AS INTEGER) AS occupancy,
   CAST(CASE WHEN curb THEN 1 ELSE 0 END + CASE WHEN fall THEN 2 ELSE 0 END + CASE WHEN occ AND ok AND clear >= 2 THEN 4 ELSE 0 END AS INTEGER) AS flags FROM t"""
+_TERRAIN = f"SELECT level, ix, iy, terrain, occupancy, flags FROM ({_TERRAIN_ALL})"
 
 
 def _terrain(spark, sf_dir):
