@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.config import Fusion, Grid, Limits
-from gridloom.functions.lattice import d, floor_div, pick
+from gridloom.functions.lattice import d, pick
 
 LIMIT = 1 << 25
 
@@ -49,16 +49,15 @@ def repeated_cells(cells: DataFrame, *by: str) -> DataFrame:
 
 
 def covered_cells(cells: DataFrame, grid: Grid, *by: str) -> DataFrame:
-    """Cells that a published coarser cell covers."""
-    out = None
-    for k in range(1, len(grid.ratios)):
-        coarse = cells.where(F.col("level") == k).select(*by, F.col("ix").alias("cx"), F.col("iy").alias("cy"))
-        for j in range(k):
-            r = grid.ratios[k] // grid.ratios[j]
-            fine = cells.where(F.col("level") == j).withColumns({"cx": floor_div(F.col("ix"), r), "cy": floor_div(F.col("iy"), r)})
-            found = fine.join(coarse, [*by, "cx", "cy"], "left_semi").select(*by, "level", "ix", "iy")
-            out = found if out is None else out.unionByName(found)
-    return out
+    """Cells that a published coarser cell covers, once for each that does: every cell's ancestors look for themselves in one semi-join."""
+    own = pick(F.col("level"), [float(r) for r in grid.ratios])
+    up = lambda c, k: F.floor(F.col(c) / (d(grid.ratios[k]) / own)).cast("long")
+    if len(grid.ratios) == 1:
+        return cells.select(*by, "level", "ix", "iy").limit(0)
+    above = [F.when((F.col("level") >= 0) & (F.col("level") < k), F.struct(F.lit(k).alias("k"), up("ix", k).alias("cx"), up("iy", k).alias("cy"))) for k in range(1, len(grid.ratios))]
+    fine = cells.select(*by, "level", "ix", "iy", F.explode(F.filter(F.array(*above), lambda x: x.isNotNull())).alias("a"))
+    coarse = cells.select(*by, F.col("level").alias("k"), F.col("ix").alias("cx"), F.col("iy").alias("cy"))
+    return fine.select(*by, "level", "ix", "iy", "a.*").join(coarse, [*by, "k", "cx", "cy"], "left_semi").select(*by, "level", "ix", "iy")
 
 
 def segment_crosses(x0: Column, y0: Column, dx: Column, dy: Column, low: tuple[Column, Column], high: tuple[Column, Column]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import Grid
 from gridloom.functions import labels, lattice
-from gridloom.operators import cells, gates, range_view
+from gridloom.operators import cells, contracts, gates, range_view
 from gridloom.plans import duck
 from gridloom.plans.duck import num
 from gridloom.plans.views import SENSOR, view, view_sql
@@ -134,19 +134,9 @@ _FINE = " UNION ALL ".join(
 
 @query(f"WITH c AS (SELECT DISTINCT frame_id, level, ix, iy FROM ({duck.keyed(view_sql('wide_points'), GRID)})) SELECT CAST(count(*) AS BIGINT) AS overlaps FROM ({_FINE})")
 def ancestor_overlap(spark, sf_dir):
-    """Cells of two levels must not cover each other: semi-join of each level with its ancestors (0 rows expected)."""
+    """Cells of two levels must not cover each other: a semi-join of each cell's ancestors with the cells (0 expected)."""
     c = cells.keyed(view(spark, sf_dir, "wide_points"), GRID).select("frame_id", "level", "ix", "iy").distinct()
-    found = []
-    for k in range(1, len(GRID.ratios)):
-        coarse = c.where(F.col("level") == k).select("frame_id", "ix", "iy")
-        for j in range(k):
-            r = GRID.ratios[k] // GRID.ratios[j]
-            fine = c.where(F.col("level") == j).select("frame_id", lattice.floor_div(F.col("ix"), r).alias("ix"), lattice.floor_div(F.col("iy"), r).alias("iy"))
-            found.append(fine.join(coarse, ["frame_id", "ix", "iy"], "left_semi"))
-    all_found = found[0]
-    for f in found[1:]:
-        all_found = all_found.unionByName(f)
-    return all_found.agg(F.count("*").alias("overlaps"))
+    return contracts.covered_cells(c, GRID, "frame_id").agg(F.count("*").alias("overlaps"))
 
 
 _KEY = f"(((ix + 33554432) << 26 | (iy + 33554432)) << 3 | level)"
