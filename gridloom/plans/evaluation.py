@@ -453,7 +453,7 @@ _ROW = " || ',' || ".join(f"'\"{c}\":' || {c}" for c in _RECEIPT)
 
 
 @query(f"""WITH s AS MATERIALIZED (SELECT * REPLACE (CASE WHEN frame_id < 4 AND ix % 97 = 0 THEN 9 ELSE level END AS level, ground_valid AND NOT (frame_id < 4 AND iy % 89 = 0) AS ground_valid) FROM ({_CELLS}) WHERE frame_id > 0 OR level < 2 OR (ix % 97 <> 0 AND iy % 89 <> 0)),
-h AS (SELECT frame_id, sha256('{{' || {_ROW} || '}}') AS h, CASE WHEN level = 9 THEN 'geometry' WHEN NOT ground_valid AND ground_height_cm <> 0 THEN 'ground' END AS bad FROM s)
+h AS (SELECT frame_id, sha256('{{' || {_ROW} || '}}') AS h, CASE WHEN level = 9 AND size_m <> 0.5 THEN 'geometry' WHEN NOT ground_valid AND ground_height_cm <> 0 THEN 'ground' WHEN level = 9 THEN 'level' END AS bad FROM s)
 SELECT frame_id, count(*) AS rows, CASE WHEN min(bad) IS NULL THEN sha256(string_agg(h, '' ORDER BY h)) ELSE '' END AS digest, coalesce(min(bad), '') AS error, CASE WHEN min(bad) IS NULL THEN 'accepted' ELSE 'rejected' END AS status FROM h GROUP BY frame_id""")
 def receipts(spark, sf_dir):
     """A digest of each frame's cells, or its first broken rule."""
