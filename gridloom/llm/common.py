@@ -200,13 +200,13 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def buckets_for(docs: DataFrame, bucket_bytes: int = 1 << 24) -> int:
+def buckets_for(docs: DataFrame, bucket_bytes: int = 1 << 24, total: int | None = None) -> int:
     """Buckets of the hash space of about bucket_bytes of text each, two for each shuffle partition at least.
 
-    A block of texts sends a row to each bucket, so there are 2**14 at most.
+    A block of texts sends a row to each bucket, so there are 2**14 at most. total: text_bytes, where known.
     """
     least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(least, -(-text_bytes(docs) // bucket_bytes)), 1 << 14)
+    return min(max(least, -(-(text_bytes(docs) if total is None else total) // bucket_bytes)), 1 << 14)
 
 
 # ---------------------------------------------------------------- text blocks

@@ -11,9 +11,10 @@ document with a smaller doc_id.
    verification: byte by byte within a block of texts, elsewhere by digests of whole stretches
    of such spans (see digests.py). Should spans of different bytes have met, all begins again
    with another key of the hashes.
-2. Suffix sort. Spans whose anchor, but not whose content, occurs in a smaller document go
-   with their bytes to the anchor's task. There the suffixes at their windows are
-   merge-sorted. Two suffixes are compared by binary search for their common extension on
+2. Suffix sort. Spans whose anchor, but not whose content, occurs in a smaller document, and
+   with the same bytes on one of the anchor's sides (every window of `size` bytes holds one
+   of the two sides whole: an exact condition), go with their bytes to the anchor's task.
+   There the suffixes at their windows are merge-sorted. Two suffixes are compared by binary search for their common extension on
    prefix polynomial hashes, then by one byte: logarithmic in the compared length.
    Neighbours that agree in `size` bytes are verified byte by byte; each run of equal
    windows is removed from all but its smallest document. An anchor with over HOT open
@@ -22,7 +23,10 @@ document with a smaller doc_id.
 
 Data travel as packed arrays per block of texts and bucket of the hash space. What a
 block holds of the same span in larger documents is settled within the block, so a string
-that a third of all documents share is as many entries as there are blocks.
+that a third of all documents share is as many entries as there are blocks. What is on disk
+at a time is bounded by the input: texts are dealt out in parts, spans to sort in as many
+rounds of buckets as keep a round's bytes below half of the texts', and what a step has
+used up is deleted before the next one writes.
 
 Edge cases: null texts are empty; rows with a null doc_id, and rows of the same doc_id,
 are not smaller than any other: the former neither lose nor remove bytes, the latter do
@@ -41,9 +45,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import digests
-from gridloom.llm.common import U64, Key, Rolling, blocks, buckets_for, drop_stash, free_shuffles, mix, sliding_min, stash, window_starts
+from gridloom.llm.common import U64, Key, Rolling, blocks, buckets_for, drop_stash, free_shuffles, mix, sliding_min, stash, text_bytes, window_starts
 
 KEY, GAP, HOT = 20, 64, 1024
+#: Texts are dealt out in PARTS parts, one after the other (fewer, if they would be below PART_BYTES).
+PARTS, PART_BYTES = 4, 1 << 26
 #: What _judged says of a span: to remove, to sort, to sort window by window, and that two different ones met.
 GONE, OPEN, BUSY, CLASH = range(4)
 #: Keys that are tried; each fails only if two different spans have one hash.
@@ -59,9 +65,13 @@ def rolling_of(data: np.ndarray, key: Key) -> Rolling:
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, size: int, secret: Key):
-    """(anchor hash, content hash, text, first window, windows, anchor) of each span of a block."""
+    """(anchor hash, content hash, text, first window, windows, anchor, side hashes) of each span of a block.
+
+    A window that begins at least `half` bytes before its anchor holds these, any other one a string of about as
+    many bytes behind the anchor. Windows of two spans are equal only if the hash of one side is; 0: no such window.
+    """
     if len(data) < size:
-        return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 4 + ((np.zeros(0, U64),) * 2,)
     rolling = rolling_of(data, secret)
     at = np.arange(len(data) - KEY + 1)
     key = rolling.slices(at, at + KEY)
@@ -75,7 +85,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, size: int, secret: Key):
     start, anchor = window[first], anchor[first]
     with np.errstate(over="ignore"):
         content = mix(rolling.slices(start, start + count - 1 + size) + (anchor - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return key[anchor], content, row[first], start, count, anchor
+    half = (size - KEY + 1) // 2
+    sides = []
+    for use, a, z in ((anchor - start >= half, anchor - half, anchor + KEY), (anchor - start - count + 1 < half, anchor, anchor + size - half + 1)):
+        side = np.zeros(len(start), U64)
+        side[use] = np.maximum(rolling.slices(a[use], z[use]) >> U64(48), U64(1))
+        sides.append(side)
+    return key[anchor], content, row[first], start, count, anchor, tuple(sides)
 
 
 def _cuts(batches, size: int):
@@ -93,6 +109,9 @@ def _by(names: list[str], rows: list[tuple], types) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
 
+#: Where anchor, content and the two sides begin in a name, and its end. Contents differ where sides agree, so they
+#: need bits of their own: with 32, spans met on 0.5 GB.
+_NAME = (0, 4, 11, 13, 15)
 _TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
 _OUT_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
 
@@ -108,11 +127,11 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
 
 
 def _anchored(docs: DataFrame, size: int, buckets: int, secret: Key) -> DataFrame:
-    """Packed spans; names are 11 bytes of anchor and content hash, places are block positions."""
+    """Packed spans; names are 4 and 7 bytes of anchor and content hash and 2 of each side's, places are block positions."""
 
     def run(batches):
         for uid, own, block in _cuts(batches, size):
-            key, content, row, start, count, anchor = spans(block.bytes, block.offsets, size, secret)
+            key, content, row, start, count, anchor, sides = spans(block.bytes, block.offsets, size, secret)
             doc = np.asarray(own.column("doc_id"))[row]
             place = start + row * GAP
             bucket = ((key & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
@@ -128,28 +147,37 @@ def _anchored(docs: DataFrame, size: int, buckets: int, secret: Key) -> DataFram
             if extra.any():
                 a, b = np.flatnonzero(extra), lowest[extra]
                 ok = (count[a] == count[b]).all() and (anchor[a] - start[a] == anchor[b] - start[b]).all() and same_bytes(block.bytes, start[a], start[b], count[a] + size - 1)
-                out.append((uid % buckets, uid, b"" if ok else b"clash", b"", place[extra].astype("<u4").tobytes(), count[extra].astype(np.uint8).tobytes(), True))
+                out.append((uid % buckets, uid, b"" if ok else b"clash", b"", _planes(place[extra], "<u4"), count[extra].astype(np.uint8).tobytes(), True))
             use = np.flatnonzero(~extra)
             use = use[np.argsort(bucket[use], kind="stable")]
             cut = np.flatnonzero(np.diff(bucket[use], prepend=-1))
             for a, z in zip(cut, [*cut[1:], len(use)]):
                 s = use[a:z]
-                name = (key[s] >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                name = np.concatenate([name, content[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]], 1)
-                out.append((int(bucket[s[0]]), uid, name.tobytes(), _pack_ids(doc[s]), place[s].astype("<u4").tobytes(), count[s].astype(np.uint8).tobytes(), False))
+                parts = zip((key[s] >> U64(24), content[s], *(x[s] for x in sides)), np.diff(_NAME))
+                name = np.concatenate([x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for x, n in parts], 1)
+                out.append((int(bucket[s[0]]), uid, name.tobytes(), _pack_ids(doc[s]), _planes(place[s], "<u4"), count[s].astype(np.uint8).tobytes(), False))
             yield _by(_NAMES, out, _TYPES)
 
     return docs.mapInArrow(run, _ROWS)
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as their first bytes, then their second bytes and so on: ascending or small ones compress."""
+    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _pack_ids(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     wide = int(ids.max()) - low >= 1 << 32
-    return bytes([wide]) + np.array([low], "<i8").tobytes() + (ids - low).astype("<i8" if wide else "<u4").tobytes()
+    return bytes([wide]) + np.array([low], "<i8").tobytes() + _planes(ids - low, "<i8" if wide else "<u4")
 
 
 def _unpack_ids(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<i8", 1, 1)[0] + np.frombuffer(raw, "<i8" if raw[0] else "<u4", offset=9).astype(np.int64)
+    return np.frombuffer(raw, "<i8", 1, 1)[0] + _numbers(raw[9:], "<i8" if raw[0] else "<u4").astype(np.int64)
 
 
 def _part(raw: np.ndarray, a: int, z: int) -> np.ndarray:
@@ -158,6 +186,21 @@ def _part(raw: np.ndarray, a: int, z: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
+def _shared(group: np.ndarray, doc: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Which spans have a side in common with one of their group in another document."""
+    out = np.zeros(len(group), bool)
+    for side in sides:
+        use = np.flatnonzero(side)
+        use = use[np.lexsort((side[use], group[use]))]
+        if len(use):
+            new = np.ones(len(use), bool)
+            new[1:] = (group[use][1:] != group[use][:-1]) | (side[use][1:] != side[use][:-1])
+            first = np.flatnonzero(new)
+            low, high = np.minimum.reduceat(doc[use], first), np.maximum.reduceat(doc[use], first)
+            out[use] |= (low < high)[np.cumsum(new) - 1]
+    return out
+
+
 def _judged(rows: DataFrame) -> DataFrame:
     """block, places, counts, want of spans; reps: block and place of the equal span for which another one goes."""
 
@@ -165,13 +208,13 @@ def _judged(rows: DataFrame) -> DataFrame:
         out, held = [], []
         for block, names, docs, places, counts, through in zip(*(t.column(c).to_pylist() for c in _NAMES[1:])):
             if through:
-                out.append((block, places, counts, CLASH if names else GONE, b""))
+                out.append((block, _numbers(places, "<u4").tobytes(), counts, CLASH if names else GONE, b""))
             else:
-                held.append((block, np.frombuffer(names, np.uint8).reshape(-1, 11), _unpack_ids(docs), np.frombuffer(places, "<u4"), np.frombuffer(counts, np.uint8)))
+                held.append((block, np.frombuffer(names, np.uint8).reshape(-1, _NAME[-1]), _unpack_ids(docs), _numbers(places, "<u4"), np.frombuffer(counts, np.uint8)))
         if held:
             raw, doc, place = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
             uid = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[2]) for h in held])
-            key, content = _part(raw, 0, 5), _part(raw, 5, 11)
+            key, content = (_part(raw, *_NAME[j : j + 2]) for j in (0, 1))
             order = np.lexsort((doc, content, key))
             k, c, d = key[order], content[order], doc[order]
             new_key = np.ones(len(k), bool)
@@ -188,6 +231,8 @@ def _judged(rows: DataFrame) -> DataFrame:
             open_key = np.zeros(len(low_key), bool)
             open_key[of_key[~gone & (d > low_key[of_key])]] = True
             fine = ~gone & open_key[of_key]
+            at = np.flatnonzero(fine)
+            fine[at] = _shared(of_key[at], d[at], [_part(raw[order[at]], *_NAME[j : j + 2]) for j in (2, 3)])
             many = np.bincount(of_key[fine], minlength=len(low_key)) > HOT
             want = np.full(len(k), -1)
             want[order] = np.where(gone, GONE, np.where(fine, np.where(many[of_key], BUSY, OPEN), -1))
@@ -231,11 +276,10 @@ def _where(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, rows array<struct<doc_id:long,key:long,first:long>>")
 
 
-def _by_document(docs: DataFrame, judged: DataFrame, size: int, seed: int) -> DataFrame:
+def _by_document(docs: DataFrame, judged: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """_id, _key, want, starts, counts (windows) of each document; asks: stretches of it to digest."""
     # One row per block and kind; a block's rows are bounded by its bytes.
     packed = judged.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "want")).alias("found"))
-    asked = stash(_asked(judged, size, seed))
     packed = packed.join(asked.select("block", "own"), "block", "left").join(digests.by_block(asked), "block", "full")
     joined = packed.join(_where(docs, size), "block", "left").select("rows", "found", "own", "asks")
 
@@ -369,8 +413,8 @@ _SEGMENTS = "bucket int, docs binary, keys binary, names binary, places binary,
 _SEGMENT_NAMES = [c.split()[0] for c in _SEGMENTS.split(", ")]
 
 
-def _segments(texts: DataFrame, size: int, buckets: int, secret: Key) -> DataFrame:
-    """Spans to sort, with their bytes, for the buckets of their anchors (hot: of their windows)."""
+def _segments(texts: DataFrame, size: int, buckets: int, secret: Key, part: int = 0, parts: int = 1) -> DataFrame:
+    """Spans to sort, with their bytes, for every parts-th bucket of their anchors (hot: of their windows)."""
 
     def of_block(block, own):
         per = [(np.frombuffer(s, "<u4").astype(np.int64), np.frombuffer(c, np.uint8).astype(np.int64)) for s, c in zip(own.column("starts").to_pylist(), own.column("counts").to_pylist())]
@@ -406,14 +450,15 @@ def _segments(texts: DataFrame, size: int, buckets: int, secret: Key) -> DataFra
                 doc, key = np.asarray(own.column("doc_id"))[row], np.asarray(own.column("key"))[row]
                 place = start - block.offsets[row]
                 bucket = (mix(route) % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                order = np.flatnonzero(bucket % parts == part)
+                order = order[np.argsort(bucket[order], kind="stable")]
                 cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 out = []
                 for a, z in zip(cut, [*cut[1:], len(order)]):
                     s = order[a:z]
                     length = count[s] + size - 1
                     take = np.repeat(start[s] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                    out.append((int(bucket[s[0]]), doc[s].astype("<i8").tobytes(), key[s].astype("<i8").tobytes(), name[s].astype("<u8").tobytes(), place[s].astype("<u4").tobytes(), offset[s].astype(np.int8).tobytes(), count[s].astype(np.uint8).tobytes(), block.bytes[take].tobytes()))
+                    out.append((int(bucket[s[0]]), _planes(doc[s], "<i8"), key[s].astype("<i8").tobytes(), name[s].astype("<u8").tobytes(), _planes(place[s], "<u4"), offset[s].astype(np.int8).tobytes(), count[s].astype(np.uint8).tobytes(), block.bytes[take].tobytes()))
                 yield _by(_SEGMENT_NAMES, out, (pa.int32(), *[pa.binary()] * 7))
 
     return texts.mapInArrow(run, _SEGMENTS)
@@ -424,7 +469,8 @@ def _sorted(segments: DataFrame, size: int, secret: Key) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        doc, key, name, place, offset, count = (read(c, k) for c, k in (("docs", "<i8"), ("keys", "<i8"), ("names", "<u8"), ("places", "<u4"), ("offsets", np.int8), ("counts", np.uint8)))
+        key, name, offset, count = (read(c, k) for c, k in (("keys", "<i8"), ("names", "<u8"), ("offsets", np.int8), ("counts", np.uint8)))
+        doc, place = (np.concatenate([_numbers(x, k) for x in t.column(c).to_pylist()]) for c, k in (("docs", "<i8"), ("places", "<u4")))
         data, count = read("data", np.uint8), count.astype(np.int64)
         length = count + size - 1
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -451,28 +497,52 @@ def _sorted(segments: DataFrame, size: int, secret: Key) -> DataFrame:
     return segments.groupBy("bucket").applyInArrow(run, "_id long, _key long, starts binary, counts binary")
 
 
-def _removed(docs: DataFrame, size: int, buckets: int, seed: int) -> DataFrame | None:
+def _in_parts(make, parts: int, spark) -> DataFrame:
+    """make(part) of all parts, stashed one after the other: only one part's shuffle files are there at a time."""
+    out = None
+    for part in range(parts):
+        one = stash(make(part))
+        free_shuffles(spark)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _removed(docs: DataFrame, size: int, buckets: int, total: int, seed: int) -> DataFrame | None:
     """_id, _key, starts, counts of the windows to remove; None if two different spans met under the seed's key."""
     spark, secret = docs.sparkSession, Key(seed)
     real = docs.where("doc_id is not null")
     judged = stash(_judged(_anchored(real, size, buckets, secret)))
     free_shuffles(spark)
     if not judged.where(F.col("want") == CLASH).isEmpty():
+        drop_stash(judged)
         return None
-    found = stash(_by_document(real, judged, size, seed))
-    drop_stash(judged)
+    asked = stash(_asked(judged, size, seed))
     free_shuffles(spark)
-    part = lambda w: F.first(F.when(F.col("want") == w, F.struct(F.col("want"), F.col("starts"), F.col("counts"))), ignorenulls=True)
-    wanted = found.where(F.col("want") > GONE).groupBy("_id", "_key").agg(part(OPEN).alias("open"), part(BUSY).alias("busy"))
-    wanted = wanted.join(digests.by_document(found, "_id", "_key"), ["_id", "_key"], "full")
-    texts = stash(docs.join(wanted.hint("merge"), (docs.doc_id == F.col("_id")) & (docs.key == F.col("_key"))).select("doc_id", "key", "text", "open", "busy", "asks"))
+    found = stash(_by_document(real, judged, asked, size))
+    for x in (judged, asked):
+        drop_stash(x)
     free_shuffles(spark)
+    pick = lambda w: F.first(F.when(F.col("want") == w, F.struct(F.col("want"), F.col("starts"), F.col("counts"))), ignorenulls=True)
+    parts = min(PARTS, 1 + total // PART_BYTES)
+
+    def with_text(part: int) -> DataFrame:
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == part
+        own = found.where(mine("_id"))
+        wanted = own.where(F.col("want") > GONE).groupBy("_id", "_key").agg(pick(OPEN).alias("open"), pick(BUSY).alias("busy"))
+        wanted = wanted.join(digests.by_document(own, "_id", "_key"), ["_id", "_key"], "full")
+        return docs.where(mine("doc_id")).join(wanted.hint("merge"), (docs.doc_id == F.col("_id")) & (docs.key == F.col("_key"))).select("doc_id", "key", "text", "open", "busy", "asks")
+
+    texts = _in_parts(with_text, parts, spark)
     if not digests.all_equal(_digests(texts, secret.salt)):
+        for x in (found, texts):
+            drop_stash(x)
         return None
     to_sort = texts.select("doc_id", "key", "text", F.explode(F.filter(F.array("open", "busy"), lambda w: w.isNotNull())).alias("w")).select("doc_id", "key", "text", "w.*")
-    fine = stash(_sorted(_segments(to_sort, size, buckets, secret), size, secret))
+    # A span to sort brings its windows' bytes and its name: twice the window's size at most, about.
+    spans_ = found.where(F.col("want") > GONE).agg(F.sum(F.length("counts"))).first()[0] or 0
+    rounds = min(buckets, 1 + 2 * size * spans_ // max(total // 2, PART_BYTES))
+    fine = _in_parts(lambda part: _sorted(_segments(to_sort, size, buckets, secret, part, rounds), size, secret), rounds, spark)
     drop_stash(texts)
-    free_shuffles(spark)
     return found.where(F.col("want") == GONE).select("_id", "_key", "starts", "counts").unionByName(fine)
 
 
@@ -482,10 +552,11 @@ def dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     docs must give the same rows in the same order when read twice (a table does).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    buckets, gone = buckets_for(docs), None
+    total = text_bytes(docs)
+    buckets, gone = buckets_for(docs, total=total), None
     for seed in range(1, _TRIES + 1):
         if gone is None:
-            gone = _removed(docs, size, buckets, seed)
+            gone = _removed(docs, size, buckets, total, seed)
     if gone is None:
         raise RuntimeError("hashes of different spans met under every key")
     same = (docs.doc_id == F.col("_id")) & (docs.key == F.col("_key"))

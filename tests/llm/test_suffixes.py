@@ -123,3 +123,54 @@ def test_doubling_sequences_are_told_apart(spark, tmp_path):
     bits = [bin(i).count("1") % 2 for i in range(4096)]
     rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("bc"[b] for b in bits)), (3, "".join("cd"[b] for b in bits))]
     assert run(spark, rows, 50, tmp_path) == brute(rows, 50)
+
+
+def test_spans_with_neither_side_in_common_are_not_sorted(spark):
+    """Documents that share an anchor, but no 35 bytes with it, send nothing to the suffix sort."""
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    common = text(24)
+    rows = [(i, text(100) + common + text(100)) for i in range(40)]
+    near = text(60)
+    near = [(50, text(80) + near + text(80)), (51, text(80) + near[:55] + text(80))]
+
+    def wants(rows):
+        docs = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, key long")
+        return {r.want for r in suffixes._judged(suffixes._anchored(docs, 50, 2, suffixes.Key(1))).collect()}
+
+    assert wants(rows) == set()
+    assert suffixes.OPEN in wants(rows + near)
+
+
+def test_parts_and_rounds_do_the_whole_job(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 1)
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    made, real = [], suffixes.stash
+
+    def counted(df):
+        out = real(df)
+        made.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "stash", counted)
+    rows = corpus(6, 60)
+    assert run(spark, rows, 50, tmp_path) == brute(rows, 50)
+    texts = [n for columns, n in made if "text" in columns]
+    assert len(texts) == suffixes.PARTS and max(texts) < sum(texts) / 2
+    assert len([n for columns, n in made if columns == ["_id", "_key", "starts", "counts"]]) > 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sides_lose_no_window(seed):
+    """Spans with an equal window have an equal side."""
+    rng = np.random.default_rng(seed)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[2000:2400] = data[:400]
+    key, _, _, start, count, anchor, sides = suffixes.spans(data, np.array([0, 1500, 4000]), 50, suffixes.Key(seed))
+    at = {}
+    for i in range(len(start)):
+        for p in range(start[i], start[i] + count[i]):
+            at.setdefault(data[p : p + 50].tobytes(), []).append(i)
+    pairs = {(a, b) for v in at.values() for a in v for b in v if a != b}
+    assert pairs
+    assert all(key[a] == key[b] and any(s[a] and s[a] == s[b] for s in sides) for a, b in pairs)
