@@ -123,9 +123,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = np.asarray(x, dtype=U64)
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+        y = x >> U64(30)
+        y ^= x
+        y *= U64(0xBF58476D1CE4E5B9)
+        y ^= y >> U64(27)
+        y *= U64(0x94D049BB133111EB)
+    y ^= y >> U64(31)
+    return y
 
 
 class _Powers:
@@ -161,7 +165,8 @@ class Rolling:
         up, self.down = powers.upto(len(symbols) + 1)
         self.prefix = np.zeros(len(symbols) + 1, U64)
         with np.errstate(over="ignore"):
-            np.cumsum(symbols.astype(U64) * up[: len(symbols)], dtype=U64, out=self.prefix[1:])
+            np.multiply(symbols, up[: len(symbols)], out=self.prefix[1:], casting="unsafe", dtype=U64)
+            np.cumsum(self.prefix, out=self.prefix)
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -172,6 +177,14 @@ class Rolling:
         with np.errstate(over="ignore"):
             return mix(self.raw(start, end) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def each(self, lo: int, hi: int, n: int) -> np.ndarray:
+        """Hashes of the n symbols from each of the positions lo..hi on, as slices gives them."""
+        with np.errstate(over="ignore"):
+            x = self.prefix[lo + n : hi + n] - self.prefix[lo:hi]
+            x *= self.down[lo:hi]
+            x += U64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+        return mix(x)
+
 
 #: A random value for each byte.
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))

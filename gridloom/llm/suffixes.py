@@ -14,8 +14,9 @@ document with a smaller doc_id.
 2. Suffix sort. Spans whose anchor, but not whose content, occurs in a smaller document, and
    with the same bytes on one of the anchor's sides (every window of `size` bytes holds one
    of the two sides whole: an exact condition), go with their bytes to the anchor's task.
-   There the suffixes at their windows are merge-sorted. Two suffixes are compared by binary search for their common extension on
-   prefix polynomial hashes, then by one byte: logarithmic in the compared length.
+   There the suffixes at their windows are dealt by their first eight bytes, and those alike in
+   these merge-sorted. Two suffixes are compared by the hash of all `size` bytes, then by binary search for their common
+   extension on prefix polynomial hashes, then by one byte: logarithmic in the compared length.
    Neighbours that agree in `size` bytes are verified byte by byte; each run of equal
    windows is removed from all but its smallest document. An anchor with over HOT open
    spans sends each window to a task of the window's own hash instead, so that a
@@ -45,9 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import digests
-from gridloom.llm.common import U64, Key, Rolling, blocks, buckets_for, drop_stash, free_shuffles, mix, sliding_min, stash, text_bytes, window_starts
+from gridloom.llm.common import U64, Key, Rolling, blocks, buckets_for, drop_stash, free_shuffles, mix, sliding_min, stash, text_bytes
 
 KEY, GAP, HOT = 20, 64, 1024
+#: Positions hashed at once.
+CHUNK = 1 << 15
 #: Texts are dealt out in PARTS parts, one after the other (fewer, if they would be below PART_BYTES).
 PARTS, PART_BYTES = 4, 1 << 26
 #: What _judged says of a span: to remove, to sort, to sort window by window, and that two different ones met.
@@ -64,6 +67,20 @@ def rolling_of(data: np.ndarray, key: Key) -> Rolling:
     return Rolling(key.values[data], key.base)
 
 
+def _anchors(rolling: Rolling, n: int, size: int) -> np.ndarray:
+    """The anchor of the window at each of n bytes, chunk by chunk: a chunk's arrays stay in a core's cache."""
+    out = np.empty(n - size + 1, np.int32)
+    for lo in range(0, len(out), CHUNK):
+        hi = min(lo + CHUNK, len(out))
+        key = rolling.each(lo, hi + size - KEY, KEY)
+        key &= ~_LOW
+        key |= np.arange(len(key), dtype=U64)
+        least = sliding_min(key, size - KEY + 1)
+        least &= _LOW
+        np.add(least.view(np.int64), lo, out=out[lo:hi], casting="unsafe")
+    return out
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, size: int, secret: Key):
     """(anchor hash, content hash, text, first window, windows, anchor, side hashes) of each span of a block.
 
@@ -73,16 +90,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, size: int, secret: Key):
     if len(data) < size:
         return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 4 + ((np.zeros(0, U64),) * 2,)
     rolling = rolling_of(data, secret)
-    at = np.arange(len(data) - KEY + 1)
-    key = rolling.slices(at, at + KEY)
-    best = (sliding_min(key >> U64(28) << U64(28) | at.astype(U64), size - KEY + 1) & _LOW).astype(np.int64)
-    window, row = window_starts(offsets, size)
-    anchor = best[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(window)))
-    start, anchor = window[first], anchor[first]
+    best = _anchors(rolling, len(data), size)
+    new = np.ones(len(best) + 1, bool)
+    np.not_equal(best[1:], best[:-1], out=new[1:-1])
+    long = np.flatnonzero(np.diff(offsets) >= size)
+    new[offsets[long]] = new[offsets[long + 1] - size + 1] = True  # a text's first window, and where its windows end
+    start = np.flatnonzero(new)
+    start, count = start[:-1], np.diff(start)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    real = start + size <= offsets[row + 1]
+    start, count, row = start[real], count[real], row[real]
+    anchor = best[start].astype(np.int64)
     with np.errstate(over="ignore"):
         content = mix(rolling.slices(start, start + count - 1 + size) + (anchor - start).astype(U64) * U64(0x9E3779B97F4A7C15))
     half = (size - KEY + 1) // 2
@@ -91,7 +109,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, size: int, secret: Key):
         side = np.zeros(len(start), U64)
         side[use] = np.maximum(rolling.slices(a[use], z[use]) >> U64(48), U64(1))
         sides.append(side)
-    return key[anchor], content, row[first], start, count, anchor, tuple(sides)
+    return rolling.slices(anchor, anchor + KEY), content, row, start, count, anchor, tuple(sides)
 
 
 def _cuts(batches, size: int):
@@ -151,11 +169,12 @@ def _anchored(docs: DataFrame, size: int, buckets: int, secret: Key) -> DataFram
             use = np.flatnonzero(~extra)
             use = use[np.argsort(bucket[use], kind="stable")]
             cut = np.flatnonzero(np.diff(bucket[use], prepend=-1))
-            for a, z in zip(cut, [*cut[1:], len(use)]):
-                s = use[a:z]
-                parts = zip((key[s] >> U64(24), content[s], *(x[s] for x in sides)), np.diff(_NAME))
-                name = np.concatenate([x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for x, n in parts], 1)
-                out.append((int(bucket[s[0]]), uid, name.tobytes(), _pack_ids(doc[s]), _planes(place[s], "<u4"), count[s].astype(np.uint8).tobytes(), False))
+            name = np.empty((len(use), _NAME[-1]), np.uint8)
+            for x, a, z in zip((key >> U64(24), content, *sides), _NAME, _NAME[1:]):
+                name[:, a:z] = x[use].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : z - a]
+            doc, place, count, bucket = doc[use], place[use].astype("<u4"), count[use].astype(np.uint8), bucket[use[cut]].tolist()
+            for b, a, z in zip(bucket, cut, [*cut[1:], len(use)]):
+                out.append((b, uid, name[a:z].tobytes(), _pack_ids(doc[a:z]), _planes(place[a:z], "<u4"), count[a:z].tobytes(), False))
             yield _by(_NAMES, out, _TYPES)
 
     return docs.mapInArrow(run, _ROWS)
@@ -333,64 +352,89 @@ class Suffixes:
     """Suffixes of one byte array, compared over at most `depth` bytes."""
 
     def __init__(self, data: np.ndarray, depth: int, secret: Key = Key(1)):
-        self.data = np.concatenate([data, np.zeros(depth, np.uint8)])
+        self.data = np.concatenate([data, np.zeros(max(depth, 8), np.uint8)])
         self.rolling, self.depth = rolling_of(self.data, secret), depth
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes a and b: binary search on prefix hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
-        while (open_ := low < high).any():
+        # Eight bytes from each position on, in byte order, as a number; and how many of a suffix's bytes they are.
+        self.words, self.head = np.ndarray(len(self.data) - 7, ">u8", self.data, strides=(1,)), min(depth, 8)
+
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        return self.words[at].astype(U64) >> U64(8 * (8 - self.head))
+
+    def common(self, a: np.ndarray, b: np.ndarray, least: int = 0) -> np.ndarray:
+        """Length of the common extension of suffixes a and b, known to be `least` or more: binary search on prefix hashes."""
+        prefix, out = self.rolling.prefix, np.full(len(a), self.depth)
+        at = np.flatnonzero(self.rolling.raw(a, a + self.depth) != self.rolling.raw(b, b + self.depth))
+        a, b = a[at], b[at]
+        pa_, pb, da, db = prefix[a], prefix[b], self.rolling.down[a], self.rolling.down[b]
+        low, high = np.full(len(at), least), np.full(len(at), self.depth - 1)
+        for _ in range(max(self.depth - 1 - least, 0).bit_length()):
             middle = (low + high + 1) // 2
-            same = self.rolling.raw(a, a + middle) == self.rolling.raw(b, b + middle)
-            low = np.where(open_ & same, middle, low)
-            high = np.where(open_ & ~same, middle - 1, high)
-        return low
+            same = (prefix[a + middle] - pa_) * da == (prefix[b + middle] - pb) * db
+            low, high = np.where(same, middle, low), np.where(same, high, np.maximum(middle - 1, low))
+        out[at] = low
+        return out
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        n = self.common(a, b)
+    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray, least: int = 0) -> np.ndarray:
+        n = self.common(a, b, least)
         return np.where(n == self.depth, or_equal, self.data[a + n] < self.data[b + n])
 
     def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether suffixes agree, by hash and then byte by byte."""
-        same = self.common(a, b) == self.depth
+        same = self.rolling.raw(a, a + self.depth) == self.rolling.raw(b, b + self.depth)
         hit = np.flatnonzero(same)
-        for lo in range(0, len(hit), 1 << 16):
-            part = hit[lo : lo + (1 << 16)]
-            step = np.arange(self.depth)
-            same[part] = (self.data[a[part][:, None] + step] == self.data[b[part][:, None] + step]).all(1)
+        a, b, ok = a[hit], b[hit], np.ones(len(hit), bool)
+        for j in (*range(0, self.depth - 8, 8), self.depth - self.head):
+            ok &= self.heads(a + j) == self.heads(b + j)
+        same[hit] = ok
         return same
 
 
 def merge_sort(suffixes: Suffixes, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of suffixes at[...] by group (ascending already), then by content; all groups merge in step."""
-    order = np.arange(len(at))
+    """Order of suffixes at[...] by group (ascending already), then by content.
+
+    Suffixes are dealt by their first bytes; those alike in these are merged, all groups in step.
+    """
+    head = suffixes.heads(at)
+    dealt = np.lexsort((head, group))
     if not len(at):
-        return order
-    first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
-    base = np.repeat(first, np.diff(np.append(first, len(at))))
-    size = np.repeat(np.diff(np.append(first, len(at))), np.diff(np.append(first, len(at))))
-    width = 1
-    while width < size.max():
-        index = np.arange(len(at)) - base
-        pair = base + index // (2 * width) * (2 * width)
-        end = np.minimum(pair + 2 * width, base + size)
+        return dealt
+    new = np.ones(len(at), bool)
+    new[1:] = (head[dealt][1:] != head[dealt][:-1]) | (group[dealt][1:] != group[dealt][:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    # The larger a group, the earlier it is placed: at each width those that still merge come first.
+    big = np.argsort(-size, kind="stable")[: int((size > 1).sum())]
+    size = size[big]
+    base = np.repeat(np.cumsum(size) - size, size)
+    where = np.repeat(first[big], size) + np.arange(len(base)) - base
+    p, order = at[dealt[where]], np.arange(len(base))
+    width, members = 1, np.cumsum(size)
+    while len(size) and width < size[0]:
+        live = int(np.searchsorted(-size, -width, side="left"))
+        n = int(members[live - 1])
+        own, base_, size_ = np.arange(n), base[:n], np.repeat(size[:live], size[:live])
+        index = own - base_
+        pair = base_ + index // (2 * width) * (2 * width)
+        end = np.minimum(pair + 2 * width, base_ + size_)
         split = np.minimum(pair + width, end)
-        right = np.arange(len(at)) >= split
+        right = own >= split
         low, high = np.where(right, pair, split), np.where(right, split, end)
-        other = low.copy()
-        live = np.flatnonzero(low < high)
-        while len(live):
-            middle = (low[live] + high[live]) // 2
+        other, mine = low.copy(), p[order[:n]]
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) // 2
             # A left suffix comes before equal right ones: it passes only those smaller than itself.
-            before = suffixes.less(at[order[middle]], at[order[live]], right[live])
-            low[live] = np.where(before, middle + 1, low[live])
-            high[live] = np.where(before, high[live], middle)
-            live = live[low[live] < high[live]]
-        to = np.where(right, np.arange(len(at)) - split + low, np.arange(len(at)) + low - other)
-        merged = np.empty_like(order)
-        merged[to] = order
-        order, width = merged, width * 2
-    return order
+            before = suffixes.less(mine[middle], mine[todo], right[todo], suffixes.head)
+            low[todo] = np.where(before, middle + 1, low[todo])
+            high[todo] = np.where(before, high[todo], middle)
+            todo = todo[low[todo] < high[todo]]
+        to = np.where(right, own - split + low, own + low - other)
+        merged = np.empty(n, np.int64)
+        merged[to] = order[:n]
+        order[:n], width = merged, width * 2
+    out = dealt.copy()
+    out[where] = dealt[where[order]]
+    return out
 
 
 def windows_to_remove(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray, size: int, secret: Key = Key(1)) -> np.ndarray:
@@ -423,12 +467,16 @@ def _segments(texts: DataFrame, size: int, buckets: int, secret: Key, part: int
         start = np.concatenate([s for s, _ in per]) + block.offsets[row]
         count = np.concatenate([c for _, c in per])
         rolling = rolling_of(block.bytes, secret)
-        # The anchor again: the first smallest hash within the first window.
-        best, anchor = np.full(len(start), np.iinfo(np.uint64).max, U64), start.copy()
-        for j in range(size - KEY + 1):
-            h = rolling.slices(start + j, start + j + KEY) >> U64(28)
-            anchor = np.where(h < best, start + j, anchor)
-            best = np.minimum(best, h)
+        # The anchor again: the first smallest hash that all the span's windows hold.
+        few = np.argsort(count, kind="stable")
+        upto, at = np.searchsorted(count[few], np.arange(1, size - KEY + 2), side="right"), start[few]
+        best, anchor = np.full(len(start), np.iinfo(np.uint64).max, U64), at.copy()
+        for j, n in enumerate(upto):
+            h = rolling.slices(at[:n] + j, at[:n] + j + KEY) >> U64(28)
+            less = h < best[:n]
+            anchor[:n][less] = at[:n][less] + j
+            best[:n] = np.minimum(best[:n], h)
+        anchor[few] = anchor.copy()
         name = rolling.slices(anchor, anchor + KEY)
         offset = anchor - start
         hot = (np.asarray(own.column("want")) == BUSY)[row]

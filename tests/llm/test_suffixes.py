@@ -174,3 +174,41 @@ def test_sides_lose_no_window(seed):
     pairs = {(a, b) for v in at.values() for a in v for b in v if a != b}
     assert pairs
     assert all(key[a] == key[b] and any(s[a] and s[a] == s[b] for s in sides) for a, b in pairs)
+
+
+def test_only_suffixes_alike_in_their_first_bytes_are_merged(monkeypatch):
+    """Comparisons by hash are what the sort costs: none where eight bytes tell, none between groups."""
+    pairs, real = [], suffixes.Suffixes.less
+    monkeypatch.setattr(suffixes.Suffixes, "less", lambda self, a, *rest: pairs.append(len(a)) or real(self, a, *rest))
+    rng = np.random.default_rng(7)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    at = rng.permutation(2900)
+    s = suffixes.Suffixes(data, 50)
+    order = suffixes.merge_sort(s, at, np.zeros(2900, np.int64))
+    assert order.tolist() == sorted(range(2900), key=lambda i: data[at[i] : at[i] + 50].tobytes())
+    assert sum(pairs) == 0
+    # Beginnings in common: groups of 1 to 40, and what is merged is still told apart by hash.
+    size = np.arange(1, 41)
+    group, start = np.repeat(np.arange(40), size), np.arange(820) * 60
+    data = rng.integers(97, 99, 820 * 60 + 60).astype(np.uint8)
+    data[start[:, None] + np.arange(40)] = 120
+    order = suffixes.merge_sort(suffixes.Suffixes(data, 50), start, group)
+    assert order.tolist() == sorted(range(820), key=lambda i: (group[i], data[start[i] : start[i] + 50].tobytes(), i))
+    assert 0 < sum(pairs) < 820 * 21
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_spans_do_not_depend_on_chunks(monkeypatch, chunk):
+    rng = np.random.default_rng(chunk)
+    data = rng.integers(97, 100, 1500).astype(np.uint8)
+    data[300:500] = 97  # equal hashes: the first counts
+    offsets = np.array([0, 0, 49, 49, 99, 400, 400, 1100, 1150, 1199, 1500, 1500])
+    want = suffixes.spans(data, offsets, 50, suffixes.Key(1))
+    text, start, count, anchor = want[2:6]
+    windows = np.concatenate([np.arange(s, s + n) for s, n in zip(start, count)])
+    assert windows.tolist() == [p for a, z in zip(offsets, offsets[1:]) for p in range(a, z - 49)]
+    assert (offsets[text] <= start).all() and (start + count + 49 <= offsets[text + 1]).all()
+    assert (start + count - 1 <= anchor).all() and (anchor + suffixes.KEY <= start + 50).all()
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    got = suffixes.spans(data, offsets, 50, suffixes.Key(1))
+    assert all((x == y).all() for x, y in zip((*want[:6], *want[6]), (*got[:6], *got[6])))
