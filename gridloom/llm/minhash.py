@@ -41,6 +41,8 @@ SHINGLE = 5
 _KEY = Key(0)
 #: Texts of a band that are compared with each other in one group.
 CHUNK = 512
+#: What groups are told apart by, and pairs of signatures that are compared at once.
+_GROUP, _PAIRS = ("band", "kind", "x", "y"), 1 << 14
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP, _LEVEL = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -112,8 +114,18 @@ def bag_minhash(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
     return out
 
 
-def signatures(docs: DataFrame, m: int) -> DataFrame:
-    """doc_id, k1, k2 (a digest of the words), n (shingles), sig (m values of 4 bytes)."""
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[text, band] keys of signatures, different for different bands."""
+    sig = sig[:, : bands * rows].reshape(-1, bands, rows).astype(U64)
+    with np.errstate(over="ignore"):
+        key = np.broadcast_to(np.arange(bands, dtype=U64) * _LEVEL, sig.shape[:2])
+        for j in range(rows):
+            key = mix(key * U64(3) + sig[:, :, j])
+    return key.view(np.int64)
+
+
+def signatures(docs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, k1, k2 (a digest of the words), n (shingles), sig (m values of 4 bytes), keys (of its bands)."""
 
     def run(batches):
         for batch in batches:
@@ -127,28 +139,12 @@ def signatures(docs: DataFrame, m: int) -> DataFrame:
                         *(pa.array(key[:, j]) for j in (0, 1)),
                         pa.array(np.bincount(row, weight, block.n).astype(np.int64)),
                         pa.array([s.tobytes() for s in sig], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * bands), pa.array(band_keys(sig, bands, rows).ravel())),
                     ],
-                    ["doc_id", "k1", "k2", "n", "sig"],
+                    ["doc_id", "k1", "k2", "n", "sig", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, n long, sig binary")
-
-
-def band_keys(sigs: DataFrame, m: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, band, nth (its number) for each band of a signature."""
-
-    def run(batches):
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, m)[:, : bands * rows].reshape(-1, bands, rows).astype(U64)
-            with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(bands, dtype=U64) * _LEVEL, sig.shape[:2])
-                for j in range(rows):
-                    key = mix(key * U64(3) + sig[:, :, j])
-            ids = np.repeat(np.asarray(b.column("doc_id")), bands)
-            nth = np.tile(np.arange(bands, dtype=np.int32), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel().view(np.int64)), pa.array(nth)], ["doc_id", "band", "nth"])
-
-    return sigs.select("doc_id", "sig").mapInArrow(lean(run), "doc_id long, band long, nth int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, n long, sig binary, keys array<long>")
 
 
 def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -200,18 +196,18 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def _chunked(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows of each band by pairs of chunks (x, y): a group holds at most about 2 * CHUNK texts whatever the band's size.
+def _chunked(classed: DataFrame) -> DataFrame:
+    """Texts (nth, doc_id, class, own) of each band of several classes by pairs of chunks (x, y): a group (_GROUP) holds at most about 2 * CHUNK texts whatever the band's size.
 
     Texts of one class need no comparing, so those of a band's largest class meet only the
-    others (x: a chunk of the largest class, y: of the others); the others also meet among themselves
-    (x <= y, main null). A band that a class fills but for a few texts is copied once for each chunk
+    others (kind 0; x: a chunk of the largest class, y: of the others; own is -1 in the largest class); the others also
+    meet among themselves (kind 1, x <= y). A band that a class fills but for a few texts is copied once for each chunk
     of these few, not for each of its own.
     """
     chunks = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
-    sizes = rows.groupBy("band", "class").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max(F.struct("_n", "class")).alias("_top"), F.sum("_n").alias("_all"))
-    sizes = sizes.select("band", F.col("_top.class").alias("_class"), chunks(F.col("_top._n")).alias("_main"), chunks(F.col("_all") - F.col("_top._n")).alias("_rest"))
-    rows = rows.join(sizes, "band").withColumn("main", F.col("class") == F.col("_class"))
+    sizes = classed.groupBy("band", "class").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max(F.struct("_n", "class")).alias("_top"), F.sum("_n").alias("_all"))
+    sizes = sizes.where("_all > _top._n").select("band", F.col("_top.class").alias("_class"), chunks(F.col("_top._n")).alias("_main"), chunks(F.col("_all") - F.col("_top._n")).alias("_rest"))
+    rows = classed.join(sizes, "band").withColumn("main", F.col("class") == F.col("_class"))
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     group = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
@@ -219,39 +215,77 @@ def _chunked(rows: DataFrame, *columns: str) -> DataFrame:
     across = F.when(F.col("main"), F.transform(upto(F.col("_rest")), lambda y: group(0, own_main, y))).otherwise(F.transform(upto(F.col("_main")), lambda x: group(0, x, own_rest)))
     among = F.transform(upto(F.col("_rest")), lambda o: group(1, F.least(own_rest, o), F.greatest(own_rest, o)))
     rows = rows.withColumn("own", F.when(F.col("main"), -1).otherwise(own_rest)).withColumn("g", F.explode(F.when(F.col("main"), across).otherwise(F.concat(across, among))))
-    return rows.select("band", "g.kind", "g.x", "g.y", "own", *columns).groupBy("band", "kind", "x", "y")
+    return rows.select("band", "g.kind", "g.x", "g.y", "own", "nth", "doc_id", "class")
 
 
-def _opened(t: pa.Table, m: int):
-    """ids, classes, sizes, signatures of a group, and which texts each may be compared with."""
-    ids, cls, own, n = (np.asarray(t.column(c)) for c in ("doc_id", "class", "own", "n"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
-    if t.column("kind")[0].as_py() == 0:
-        return ids, cls, n, sig, lambda i, c: (c != c[i]) & ((own < 0) != (own[i] < 0))
-    within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
-    return ids, cls, n, sig, lambda i, c: (c != c[i]) & (within | (own != own[i]))
+def _by_group(texts: DataFrame, run, schema: str) -> DataFrame:
+    """run(table) on tables of whole groups. They are dealt by group, not by band: the chunks of a frequent band are many tasks' work."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
 
+    def whole(batches):
+        kept = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if kept is None else pa.concat_tables([kept, t]).combine_chunks()
+            if t.num_rows:
+                last = int(np.flatnonzero(_starts(t))[-1])
+                kept = t.slice(last)
+                if last:
+                    yield run(t.slice(0, last))
+        if kept is not None:
+            yield run(kept)
+
+    return texts.mapInArrow(lean(whole), schema)
 
-def _best_pairs(rows: DataFrame, m: int, least: float, ratio: float, best: int) -> DataFrame:
-    """For each text of a band the `best` of other classes whose signatures are most like its own."""
 
-    def run(t: pa.Table) -> pa.Table:
-        ids, cls, n, sig, may = _opened(t, m)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for i in range(len(ids)):
-            near = np.flatnonzero(may(i, cls) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i])))
-            like = (sig[near] == sig[i]).mean(1)
-            near, like = near[like >= least], like[like >= least]
-            near = near[np.lexsort((ids[near], -like))[:best]]
-            pairs.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _starts(t: pa.Table) -> np.ndarray:
+    """Which rows begin a group."""
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (t.column(c).to_numpy() for c in _GROUP)], axis=0)
+    return new
 
-    return _chunked(rows, "doc_id", "class", "n", "sig").applyInArrow(run, "a long, b long").distinct()
+
+def _pairs(t: pa.Table, m: int, ratio: float, cls: np.ndarray):
+    """Slices (i, j, equal slots) of the pairs of rows to compare: of one group, of different classes (as cls is by then) and of sizes within ratio."""
+    kind, x, y, own, n = (t.column(c).to_numpy() for c in ("kind", "x", "y", "own", "n"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, m)
+    bounds = np.append(np.flatnonzero(_starts(t)), len(n))
+    later = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(n)) - 1
+    total, lo = np.append(0, np.cumsum(later)), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PAIRS, side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), later[lo:hi])
+        j = np.arange(len(i)) - (total[i] - total[lo]) + i + 1
+        use = (cls[i] != cls[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
+        use &= np.where(kind[i] == 0, (own[i] < 0) != (own[j] < 0), (x[i] == y[i]) | (own[i] != own[j]))
+        yield i[use], j[use], sig[i[use]] == sig[j[use]]
+        lo = hi
+
+
+def _best_pairs(texts: DataFrame, m: int, least: float, ratio: float, best: int) -> DataFrame:
+    """For each text of a group the `best` of other classes whose signatures are most like its own."""
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        ids, found = t.column("doc_id").to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j, same in _pairs(t, m, ratio, t.column("class").to_numpy()):
+            like = same.mean(1)
+            near = like >= least
+            found.append((i[near], j[near], like[near]))
+        i, j, like = (np.concatenate(x) for x in zip(*found))
+        i, j, like = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(like, 2)
+        order = np.lexsort((ids[j], -like, i))
+        i, j = i[order], j[order]
+        use = np.arange(len(i)) - np.searchsorted(i, i) < best
+        a, b = ids[i[use]], ids[j[use]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return _by_group(texts, run, "a long, b long").distinct()
 
 
 def _bag_hashes(pool: DataFrame) -> DataFrame:
-    """doc_id, bag: sorted 32-bit hashes of (shingle, occurrence)."""
+    """doc_id, n, sig, bag: sorted 32-bit hashes of (shingle, occurrence)."""
 
     def run(batches):
         for b in batches:
@@ -259,37 +293,33 @@ def _bag_hashes(pool: DataFrame) -> DataFrame:
             for value, weight in _bags(b.column("text")):
                 nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 out.append(np.unique((mix(np.repeat(value, weight) + nth.astype(U64) * _STEP) >> U64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bag"])
-
-    return pool.mapInArrow(lean(run), "doc_id long, bag binary")
-
-
-def _all_pairs(rows: DataFrame, m: int, bands: int, width: int, least: float, threshold: float) -> DataFrame:
-    """All pairs of different classes that may reach the threshold, less those that links found in the group make needless."""
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, cls, n, sig, may = _opened(t, m)
-        cls, nth = cls.copy(), t.column("nth")[0].as_py()
-        bags = [np.frombuffer(x, np.uint32) for x in t.column("bag").to_pylist()]
-        out = []
-        for i in range(len(ids)):
-            near = np.flatnonzero(may(i, cls) & (ids > ids[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
-            same = sig[near] == sig[i]
-            like = same.mean(1) >= least
-            first = same[:, : bands * width].reshape(-1, bands, width).all(2).argmax(1) == nth
-            for j in near[like & first]:
-                if cls[j] == cls[i]:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "sig")), pa.array(out, pa.binary())], ["doc_id", "n", "sig", "bag"])
+
+    return pool.mapInArrow(lean(run), "doc_id long, n long, sig binary, bag binary")
+
+
+def _all_pairs(texts: DataFrame, m: int, bands: int, width: int, least: float, threshold: float) -> DataFrame:
+    """All pairs of different classes that may reach the threshold, less those that links found beside them make needless."""
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        ids, nth, cls = (t.column(c).to_numpy() for c in ("doc_id", "nth", "class"))
+        bags, cls, out = [np.frombuffer(x, np.uint32) for x in t.column("bag").to_pylist()], cls.copy(), []
+        for i, j, same in _pairs(t, m, threshold, cls):
+            first = same[:, : bands * width].reshape(-1, bands, width).all(2).argmax(1) == nth[i]
+            near = first & (same.mean(1) >= least)
+            for x, y in zip(i[near], j[near]):
+                if cls[x] == cls[y]:
                     continue
-                both = np.intersect1d(bags[i], bags[j], assume_unique=True).size
-                close = both / max(len(bags[i]) + len(bags[j]) - both, 1)
+                both = np.intersect1d(bags[x], bags[y], assume_unique=True).size
+                close = both / max(len(bags[x]) + len(bags[y]) - both, 1)
                 if close >= threshold - 0.01:
-                    out.append((ids[i], ids[j]))
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
                 if close >= threshold + 0.01:
-                    cls[cls == cls[j]] = cls[i]
+                    cls[cls == cls[y]] = cls[x]
         a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
-        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _chunked(rows, "nth", "doc_id", "class", "n", "sig", "bag").applyInArrow(run, "a long, b long").distinct()
+    return _by_group(texts, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, more_slots: int = 30, rounds: int = 1) -> DataFrame:
@@ -300,28 +330,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
     bounded_batches(docs.sparkSession)
     m = bands * rows + more_slots
     slack = threshold - 4 * (threshold * (1 - threshold) / m) ** 0.5
-    sigs = stash(signatures(docs, m))
+    sigs = stash(signatures(docs, m, bands, rows))
     texts = sigs.where("n > 0 and doc_id is not null")
-    copies = stash(texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id")))
-    heads = texts.join(copies.select(F.col("text_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = band_keys(heads, m, bands, rows)
+    copies = stash(texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"), F.first("keys").alias("keys")))
+    keyed = copies.select(F.col("text_id").alias("doc_id"), F.posexplode("keys").alias("nth", "band"))
     shared = keyed.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     keyed = stash(keyed.join(shared.select("band", "low"), "band"))
+    free_shuffles(docs.sparkSession)
     # Only texts with a candidate are ever read again.
-    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(keyed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    pool = stash(pool)
+    heads = texts.select("doc_id", "n", "sig").join(keyed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pool = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(heads.hint("merge"), "doc_id"))
     free_shuffles(docs.sparkSession)
     tried = stash(keyed.where("doc_id > low").groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a")).select("a", "b"))
     links = stash(verify(pool, tried, threshold))
     label = components(links)
     for last in [False] * rounds + [True]:
         classed = keyed.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "nth", "doc_id", F.coalesce("label", "doc_id").alias("class"))
-        mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-        signed = classed.join(mixed, "band").join(heads.select("doc_id", "n", "sig"), "doc_id")
-        if last:
-            more = _all_pairs(signed.join(_bag_hashes(pool).hint("merge"), "doc_id"), m, bands, rows, slack, threshold)
-        else:
-            more = _best_pairs(signed, m, slack, threshold, 2)
+        signed = (_bag_hashes(pool) if last else pool.select("doc_id", "n", "sig")).dropDuplicates(["doc_id"])
+        near = _chunked(classed).join(signed.hint("merge"), "doc_id")
+        more = _all_pairs(near, m, bands, rows, slack, threshold) if last else _best_pairs(near, m, slack, threshold, 2)
         more = stash(more.join(tried, ["a", "b"], "left_anti"))
         free_shuffles(docs.sparkSession)
         if more.isEmpty():

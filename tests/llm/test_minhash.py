@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gridloom.llm import minhash
 from gridloom.llm.common import U64, blocks
@@ -116,6 +117,48 @@ def test_bands_of_many_chunks_lose_no_pair(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == brute(rows)
 
 
+def test_few_tasks(spark):
+    """Every shuffle costs a task for each partition, however few its rows: 920 tasks here while band keys, signatures and groups were made twice, 690 since."""
+    docs, context = frame(spark, corpus(0)), spark.sparkContext
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("few tasks", "test_few_tasks")
+    try:
+        minhash.near_duplicates(docs).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("few tasks") for s in status.getJobInfo(job).stageIds}
+    assert 0 < sum(status.getStageInfo(s).numCompletedTasks for s in stages) < 800
+
+
+def test_groups_of_a_band_are_dealt_and_whole(spark, monkeypatch):
+    """One band of 60 classes: its chunks are several tasks' work; batches of 7 rows cut groups."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    classed = spark.createDataFrame([(1, 0, i, min(i, 60)) for i in range(100)], "band long, nth int, doc_id long, class long")
+    monkeypatch.setattr(minhash, "CHUNK", 9)
+    spark.conf.set(key, 7)
+    try:
+        rows = minhash._chunked(classed)
+        want = {tuple(r)[:-1]: r["count"] for r in rows.groupBy(*minhash._GROUP).count().collect()}
+
+        def run(t):
+            at = np.append(np.flatnonzero(minhash._starts(t)), t.num_rows)
+            columns = [pa.array(t.column(c).to_numpy()[at[:-1]]) for c in minhash._GROUP]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(at))], [*minhash._GROUP, "n"])
+
+        got = minhash._by_group(rows, run, "band long, kind int, x int, y int, n long").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, was)
+    assert len(got) == len(want) > 20 and {tuple(r)[:4]: r.n for r in got} == want
+    assert len({r.task for r in got}) > 1
+
+
 def test_sequences_that_polynomial_hashes_confuse(spark):
     """Texts and words of the a/b doubling sequence and its complement are different texts."""
     bits = [bin(i).count("1") % 2 for i in range(2048)]
