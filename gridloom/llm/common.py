@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import hashlib
 import re
@@ -85,10 +86,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@functools.cache
+def spare_lasting() -> None:
+    """Once in a process, exempt what lasts (modules above all) from garbage collection, which Spark's workers do in full after each task."""
+    gc.freeze()
+
+
 def lean(run):
     """A mapInArrow function that gives memory back at its end."""
 
     def wrapped(batches):
+        spare_lasting()
         try:
             yield from run(batches)
         finally:

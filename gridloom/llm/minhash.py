@@ -319,7 +319,7 @@ def _all_pairs(texts: DataFrame, m: int, bands: int, width: int, least: float, t
         a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _by_group(texts, run, "a long, b long").distinct()
+    return _by_group(texts, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, more_slots: int = 30, rounds: int = 1) -> DataFrame:
@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
         signed = (_bag_hashes(pool) if last else pool.select("doc_id", "n", "sig")).dropDuplicates(["doc_id"])
         near = _chunked(classed).join(signed.hint("merge"), "doc_id")
         more = _all_pairs(near, m, bands, rows, slack, threshold) if last else _best_pairs(near, m, slack, threshold, 2)
-        more = stash(more.join(tried, ["a", "b"], "left_anti"))
+        # The last round's pairs leave one band each, and few near enough to leave it have been tried in vain.
+        more = stash(more if last else more.join(tried, ["a", "b"], "left_anti"))
         free_shuffles(docs.sparkSession)
         if more.isEmpty():
             continue

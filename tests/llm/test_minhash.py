@@ -1,3 +1,4 @@
+import gc
 from collections import Counter
 
 import numpy as np
@@ -5,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom.llm import minhash
-from gridloom.llm.common import U64, blocks
+from gridloom.llm.common import U64, blocks, lean
 from gridloom.llm.graph import components
 
 
@@ -136,6 +137,16 @@ def test_few_tasks(spark):
     assert 0 < sum(status.getStageInfo(s).numCompletedTasks for s in stages) < 800
 
 
+def test_workers_do_not_collect_what_lasts(spark):
+    """A full collection after each task went through every module's objects."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.get_freeze_count()] * len(b))], ["n"])
+
+    assert min(r.n for r in spark.range(8).mapInArrow(lean(run), "n long").collect()) > 10_000
+
+
 def test_groups_of_a_band_are_dealt_and_whole(spark, monkeypatch):
     """One band of 60 classes: its chunks are several tasks' work; batches of 7 rows cut groups."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
